@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maskline.llm import quality
+from maskline.llm import quality, sharding, urls, warc
 
-MODULES = (quality,)
+MODULES = (quality, sharding, urls, warc)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
