@@ -33,8 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskline.llm.stage import table
-
+from maskline.llm.stage import table, with_id
 #: The pattern that splits a text into pieces, of the public vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts of PLAIN characters only, where these ranges are the letters, digits and white space.
@@ -216,8 +215,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, with_id(df, id_col, "ids array<int>"))
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -231,8 +229,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
                 texts = [codec.value.decode_bytes(pc.fill_null(i.values, -1).to_numpy(zero_copy_only=False) if i.is_valid else np.zeros(0, np.int32)).decode("utf-8", "replace") for i in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, ids_col, "decoded"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind}, {ids_col} array<int>, decoded string")
+    return df.select(id_col, ids_col).mapInArrow(run, with_id(df, id_col, f"{ids_col} array<int>, decoded string"))
 
 
 def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.llm import textkit as tk
-from maskline.llm.stage import table
+from maskline.llm.stage import table, with_id
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bangs", "n_bars")
 
@@ -93,8 +93,7 @@ def measurements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _measure(batch.column(1)))], names=[id_col, *MEASURES])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, with_id(df, id_col, ", ".join(f"{m} long" for m in MEASURES)))
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

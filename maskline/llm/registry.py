@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maskline.llm import bpe, quality, sharding, urls, warc
+from maskline.llm import bpe, decontaminate, langid, quality, sharding, urls, warc
 
-MODULES = (bpe, quality, sharding, urls, warc)
+MODULES = (bpe, decontaminate, langid, quality, sharding, urls, warc)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +28,13 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives the loss of executors."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def with_id(df: DataFrame, id_col: str, rest: str) -> StructType:
+    """Schema of df's id column (of any type, a struct of whole rows as well) and further columns in DDL."""
+    return StructType([df.schema[id_col], *StructType.fromDDL(rest).fields])
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """(_row struct of all columns, text): lets an operator carry whole rows in place of an id; ``_row.*`` undoes it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
