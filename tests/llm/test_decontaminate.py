@@ -29,7 +29,7 @@ def test_planted_and_clean(spark):
     got = d.contamination(df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) + 1
     for r in got:
-        assert r.item_words == len(items[r.item_id]) and r.n_matched >= 0.8 * r.item_words
+        assert r.item_words == len(items[r.item_id]) and r.n_matched >= min(d.MIN_WORDS, d.MIN_SHARE * r.item_words)
     kept = {r.doc_id for r in d.clean(df, bench).collect()}
     assert kept == {k for k, _ in docs} - {k for k, _ in want}
     old, d.SLICE_WORDS = d.SLICE_WORDS, 200  # several passes give the same
