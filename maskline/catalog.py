@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from maskline.queries import harvesting, scalars  # noqa: F401  (they register)
+from maskline.queries.base import ORACLES, QUERIES
+
 FLAGSHIP = "mask_documents"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
