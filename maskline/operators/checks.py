@@ -48,10 +48,10 @@ def blacklist_scan(tables: dict[str, tuple[DataFrame, str, Sequence[str]]], term
 def hit_counts(before: DataFrame, after: DataFrame, id_col: str, column: str, rules: DataFrame) -> DataFrame:
     """(rule, mode, before, after, passed) of rules (rule, mode, real, fake): matches of the real in the input and of the fake in the output.
 
-    Mode exact wants equal counts, drop wants none of the real left, info always passes.
+    Mode exact wants equal counts, drop wants none of the real left, info always passes. Case does not count.
     """
     count = lambda df, side, as_name: (
-        df.select(F.explode(t.alnum_tokens(F.col(column))).alias("w")).join(rules.select("rule", F.col(side).alias("w")), "w").groupBy("rule").agg(F.count("*").alias(as_name))
+        df.select(F.explode(t.alnum_tokens(F.lower(column))).alias("w")).join(rules.select("rule", F.lower(side).alias("w")), "w").groupBy("rule").agg(F.count("*").alias(as_name))
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     both = rules.select("rule", "mode").distinct().join(count(before, "real", "before"), "rule", "left").join(count(after, "fake", "after"), "rule", "left").join(count(after, "real", "left_over"), "rule", "left")

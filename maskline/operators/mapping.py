@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskline.functions import text as t
+from maskline.shared import shared_dir, written
 
 #: Parts of invented names. Fixed values of this library.
 STARTS = ("Bal", "Cor", "Del", "Fen", "Gar", "Hol", "Jun", "Kel", "Lom", "Mar", "Nev", "Ost", "Pal", "Quin", "Ras", "Sel", "Tor", "Ulm", "Ver", "Wes")
@@ -105,23 +106,23 @@ def salted_unique(reals: DataFrame, seed: str, category: str, used: DataFrame |
     """(real, fake, salt): same-shape fakes, distinct and neither real nor used; only losers are drawn again.
 
     Of equal candidates the first real keeps it. settle=False leaves out what
-    the given rounds have not placed; else that is an error.
+    the given rounds have not placed; else that is an error. Each round is written.
     """
-    left = reals.select("real").distinct()
+    folder = shared_dir(reals.sparkSession)
+    left = written(reals.select("real").distinct(), folder, "reals")
     taken = left.select(F.col("real").alias("fake"))
     if used is not None:
         taken = taken.union(used.select("fake"))
+    taken = written(taken.distinct(), folder, "taken")
     placed = None
     for salt in range(rounds):
         tried = left.select("real", t.shape_fake(F.col("real"), seed, category, salt).alias("fake"))
-        free = tried.join(taken.distinct(), "fake", "left_anti")
-        won = free.groupBy("fake").agg(F.min("real").alias("real")).select("real", "fake", F.lit(salt).alias("salt"))
-        if settle:
-            won = won.checkpoint() if reals.sparkSession.sparkContext.getCheckpointDir() else won.cache()
+        won = tried.join(taken, "fake", "left_anti").groupBy("fake").agg(F.min("real").alias("real")).select("real", "fake", F.lit(salt).alias("salt"))
+        won = written(won, folder, f"won-{salt}")
         placed = won if placed is None else placed.union(won)
-        left = left.join(won, "real", "left_anti")
+        left = written(left.join(won, "real", "left_anti"), folder, f"left-{salt}")
         taken = taken.union(won.select("fake"))
-        if settle and left.isEmpty():
+        if left.isEmpty():
             return placed
     if settle:
         raise ValueError(f"{category}: fakes are exhausted after {rounds} rounds")

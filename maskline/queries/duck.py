@@ -132,7 +132,7 @@ def salted(name: str, reals: str, category: str, rounds: int, taken: str | None
     for k in range(rounds):
         before = "".join(f" UNION ALL SELECT fake FROM {p}" for p in placed)
         gone = "".join(f" AND real NOT IN (SELECT real FROM {p})" for p in placed)
-        out.append(f"""{name}_{k} AS (SELECT min(real) AS real, fake, {k} AS salt FROM (SELECT real, {shape('real', category, str(k))} AS fake FROM (SELECT DISTINCT real FROM {reals}) WHERE true{gone})
+        out.append(f"""{name}_{k} AS MATERIALIZED (SELECT min(real) AS real, fake, {k} AS salt FROM (SELECT real, {shape('real', category, str(k))} AS fake FROM (SELECT DISTINCT real FROM {reals}) WHERE true{gone})
  WHERE fake NOT IN ({used}{before}) GROUP BY fake)""")
         placed.append(f"{name}_{k}")
     out.append(f"{name} AS (" + " UNION ALL ".join(f"SELECT real, fake, salt FROM {p}" for p in placed) + ")")
