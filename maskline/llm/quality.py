@@ -143,5 +143,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BLANK = r"\x20\x09-\x0D"
+_LEFT = lambda keep: f"CAST(length(regexp_replace(text, '{keep}', '', 'g')) AS BIGINT)"
+_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))
+_ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS ws FROM d),
+wins AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(str_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^{_BLANK}]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, {_LEFT(f'[{_BLANK}]')} AS word_chars, {_LEFT('[^#*$%&|<>]')} AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+ coalesce(lines.n, 0) AS n_lines, {_LEFT('[^A-Za-z]')} AS n_letters, {_LEFT('[^A-Z]')} AS n_upper, {_LEFT('[^!]')} AS n_bangs, {_LEFT('[^|]')} AS n_bars
+ FROM d JOIN w USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (fail_bits & {mask(POLICIES["2024.2"])}) = 0 AS kept,
+ fail_bits, '2024.2' AS policy, n_lines, n_letters, n_upper, n_bangs, n_bars FROM b"""
+
 QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_quality_rules": _ORACLE}
