@@ -24,6 +24,7 @@ columns are ignored. Words are told apart by 59-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,9 @@ CLASSES, WIDTH, HIDDEN = 32, 32, 16
 #: Streams side by side, words in a window, rounds of averaging, first step size.
 STREAMS, WINDOW, ROUNDS, STEP = 256, 16, 3, 0.01
 #: Bytes of text in a chunk, and states whose outputs are computed together.
-CHUNK_BYTES, OUTPUTS = 1 << 22, 16_384
+CHUNK_BYTES, OUTPUTS = 6 << 20, 16_384
+#: A place among a chunk's keys and its count share one long: the count takes the low bits.
+COUNT_BITS = 40
 SIZE = CLASSES * WIDTH
 _LOW = np.uint64(WIDTH - 1)
 #: Key of the end token; no word has it, as words of bucket 0 never hash to 0 but for chance.
@@ -59,8 +62,18 @@ def word_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys, lengths
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Places as compressed planes of bytes; the more frequent a key the smaller its place, so the upper planes are nearly empty."""
+    return zlib.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
-    """One row per chunk of texts: ids, held-out marks, token counts, distinct keys, their training counts, and the tokens as places among the keys."""
+    """One row per chunk of texts: ids, held-out marks, token counts, distinct keys by falling frequency, their training counts, and the tokens as places among the keys."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,10 +81,14 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFr
             held_out = np.array(batch.column(1).to_pylist(), bool)
             for i, j, buf, offsets in tk.chunks(batch.column(2), CHUNK_BYTES):
                 keys, lengths = word_keys(buf, offsets)
-                own, place = np.unique(keys, return_inverse=True)
-                learn = np.repeat(~held_out[i:j], lengths)
-                train = np.bincount(place[learn], minlength=len(own))
-                one = [own.tobytes(), train.astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), lengths.tobytes(), held_out[i:j].tobytes()]
+                own, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                own, place = own[order], rank[place]
+                train = np.bincount(place[np.repeat(~held_out[i:j], lengths)], minlength=len(own))
+                one = [own.tobytes(), packed(train), packed(place), lengths.tobytes(), held_out[i:j].tobytes()]
+                del keys, order, rank, place, train
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in one)], names=["ids", "own", "train", "place", "lengths", "held"])
 
@@ -81,17 +98,17 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFr
 
 
 def chunk_keys(chunks: DataFrame) -> DataFrame:
-    """(chunk, key, n): training count of each distinct key of each chunk."""
+    """(chunk, place, key, n): training count of each distinct key of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, own, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, n = np.frombuffer(own, np.int64), np.frombuffer(train, np.int32)
+            for chunk, own, train in zip(*batch.columns, strict=True):
+                key, n = np.frombuffer(own.as_py(), np.int64), unpacked(train.as_py())
                 for k in range(0, len(key), 20_000):
-                    part = key[k : k + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part), pa.array(n[k : k + 20_000].astype(np.int64))], names=["chunk", "key", "n"])
+                    part, times = key[k : k + 20_000], n[k : k + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk.as_py())), pa.array(np.arange(k, k + len(part))), pa.array(part), pa.array(times)], names=["chunk", "place", "key", "n"])
 
-    return chunks.select("chunk", "own", "train").mapInArrow(run, "chunk long, key long, n long")
+    return chunks.select("chunk", "own", "train").mapInArrow(run, "chunk long, place long, key long, n long")
 
 
 class Vocabulary:
@@ -254,7 +271,7 @@ def train(chunks: DataFrame, vocabulary: Vocabulary) -> Network:
             trainer = Trainer(Network(weights), end, step)
             for batch in batches:
                 for own, place, lengths, held in zip(*batch.columns, strict=True):
-                    places = words.place(np.frombuffer(own.as_py(), np.uint64))[np.frombuffer(place.as_py(), np.int32)]
+                    places = words.place(np.frombuffer(own.as_py(), np.uint64))[unpacked(place.as_py())]
                     learn = ~np.frombuffer(held.as_py(), bool)
                     trainer.feed(places[np.repeat(learn, np.frombuffer(lengths.as_py(), np.int64))])
             trainer.finish()
@@ -321,13 +338,12 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         words, weights = shared.value
         net, out = Network(weights), []
-        key = found.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, c = key[order], found.column("c").to_numpy()[order]
+        tagged = found.column("tag").to_numpy()
         for row in texts.to_batches():
             for ids, own, place, lengths, held_out in zip(*(row.column(n) for n in ("ids", "own", "place", "lengths", "held")), strict=True):
-                own, place, lengths = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(place.as_py(), np.int32), np.frombuffer(lengths.as_py(), np.int64)
-                count = c[np.searchsorted(key, own)].astype(np.float64)
+                own, place, lengths = np.frombuffer(own.as_py(), np.uint64), unpacked(place.as_py()), np.frombuffer(lengths.as_py(), np.int64)
+                count = np.zeros(len(own))
+                count[tagged >> COUNT_BITS] = tagged & ((1 << COUNT_BITS) - 1)
                 where = words.place(own)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 summed = lambda v: np.bincount(doc, v[place], len(lengths))  # noqa: E731, B023
@@ -339,7 +355,8 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
                 out.append(pa.Table.from_arrays(columns, names=names))
         return pa.concat_tables(out)
 
-    per_chunk = chunk_keys(chunks).select("chunk", "key").join(counts, "key").select("chunk", "key", "c")
+    # words that no training text has keep count 0 and need not come back
+    per_chunk = chunk_keys(chunks).select("chunk", "place", "key").join(counts.where("c > 0").hint("merge"), "key").select("chunk", F.expr(f"(place << {COUNT_BITS}) | c").alias("tag"))
     both = chunks.select("chunk", "ids", "own", "place", "lengths", "held").groupBy("chunk").cogroup(per_chunk.groupBy("chunk"))
     return both.applyInArrow(score, f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
