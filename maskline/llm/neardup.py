@@ -32,12 +32,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.llm import textkit as tk
 from maskline.llm.components import components
-from maskline.llm.stage import shared_dir, table, with_id, written
+from maskline.llm.stage import discard, shared_dir, table, with_id, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 RECALL = 0.999
@@ -241,13 +241,14 @@ def _verified(t: pa.Table) -> list[np.ndarray] | None:
     return [node, _roots(linked, node), (linked * weight[None, :]).sum(1)]
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """(id, class_id, n_links) for each row of df."""
-    folder = folder or shared_dir(df.sparkSession)
-    rows = written(signatures(df, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), folder, "rows")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid"), F.min(id_col).alias("least"), F.count("*").alias("weight"))
+def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
+    """(node, class_id, n_links) of rows (uid, node, sketch, text, ...); a class has the least name of its rows.
+
+    The large sides are merged on sorted keys at every size, never broadcast by chance.
+    """
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid"), F.min(name).alias("least"), F.count("*").alias("weight"))
     nodes = written(nodes, folder, "nodes")
-    sketches = written(rows.select("uid", "sketch").join(nodes.select("uid", "node"), "uid").select("node", "sketch"), folder, "sketches")
+    sketches = written(rows.select("uid", "sketch").join(nodes.select("uid", "node").hint("merge"), "uid").select("node", "sketch"), folder, "sketches")
 
     # candidates: runs of splits, brute force in small buckets
     found = []
@@ -256,8 +257,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
         paths = written(paths, folder, f"paths-{level}")
         sizes = written(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), folder, f"sizes-{level}")
         last = level >= DEPTH
-        members = paths.join(sizes if last else sizes.where(F.col("size") <= BUCKET), "path")
-        members = blocks(members, "path", "size", BUCKET // 2).join(sketches, "node")
+        members = paths.join((sizes if last else sizes.where(F.col("size") <= BUCKET)).hint("merge"), "path")
+        members = blocks(members, "path", "size", BUCKET // 2).join(sketches.hint("merge"), "node")
         edges = in_groups(members.select("group", "node", "side", "sketch"), _candidates, "u long, v long")
         found.append(written(edges.distinct(), folder, f"edges-{level}"))
         if last or sizes.where(F.col("size") > BUCKET).isEmpty():
@@ -273,7 +274,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
     # every pair of a candidate component, exactly
     sizes = written(groups.groupBy("label").agg(F.count("*").alias("size")), folder, "group-sizes")
     members = written(groups.join(sizes, "label").join(nodes.select("node", "uid", "weight"), "node"), folder, "members")
-    texts = written(rows.select("uid", "text").join(members, "uid"), folder, "texts")
+    texts = written(rows.select("uid", "text").join(members.hint("merge"), "uid"), folder, "texts")
     compared = in_groups(blocks(texts, "label", "size", BLOCK).select("group", "node", "side", "weight", "text"), _verified, "node long, root long, links long")
     compared = written(compared.groupBy("node", "root").agg(F.sum("links").alias("links")), folder, "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
@@ -284,12 +285,36 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
     tied = tied.join(least, "label").select("node", "class_id", "links")
     final = nodes.join(tied, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     final = written(final, folder, "final")
+    work = [f"{kind}-{k}" for k in range(LEVELS, level + 1, LEVELS) for kind in ("paths", "sizes", "edges")]
+    discard(rows.sparkSession, folder, *work, "nodes", "sketches", "candidates", "groups", "group-sizes", "members", "texts", "compared", "links", "linked", "tied", "least")
+    return final
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """(id, class_id, n_links) for each row of df."""
+    folder = folder or shared_dir(df.sparkSession)
+    rows = written(signatures(df, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), folder, "rows")
+    final = _joined(rows, F.col(id_col), folder)
     return (
-        rows.select(id_col, "node").join(final, "node", "left")
+        rows.select(id_col, "node").join(final.hint("merge"), "node", "left")
         .select(id_col, F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
 
 
+def one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Rows of df, one of each class: that with the least id (null last). Rows without words all stay."""
+    folder = folder or shared_dir(df.sparkSession)
+    rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("_rest")
+    rows = signatures(df.select(rest, F.col(text_col)), "_rest", text_col).withColumn("uid", F.monotonically_increasing_id())
+    rows = written(rows, folder, "rows")
+    own = F.col("_rest").getField(id_col)
+    name = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("uid").alias("row"))
+    final = _joined(rows, name, folder).select("node", "class_id")
+    kept = rows.select("uid", "node", name.alias("name")).join(final.hint("merge"), "node", "left").where("node is null or name = class_id").select("uid")
+    stay = rows.select("uid", "_rest", "text").join(kept.hint("merge"), "uid", "left_semi")
+    return stay.select(*(F.col("text").alias(c) if c == text_col else F.col("_rest").getField(c).alias(c) for c in df.columns))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> doc_id, class_id, n_links."""
     return classes(table(spark, sf_dir, "documents"))
