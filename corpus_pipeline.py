@@ -27,11 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that with the least id (null last)."""
-    folder = shared_dir(spark)
-    uid = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
-    named = written(docs.withColumn("_uid", uid), folder, "docs")
-    kept = neardup.classes(named, "_uid", folder=folder).where(F.col("_uid") == F.col("class_id")).select(F.col("_uid.row").alias("_at"))
-    return named.withColumn("_at", F.col("_uid.row")).join(kept, "_at", "left_semi").drop("_at", "_uid")
+    return neardup.one_per_class(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
