@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -40,8 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
 NOT_PLAIN = re.compile("[^\t\n\r -~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ſ‐-‧‰-⁞₠-₿]")
-#: Pieces that a task remembers, and the longest of them.
-CACHE_PIECES, CACHE_LENGTH = 120_000, 64
+#: Pieces that a task remembers in each of two generations, the longest of them, and pairs of tokens.
+CACHE_PIECES, CACHE_LENGTH, CACHE_PAIRS = 80_000, 64, 400_000
 #: Rows that go back to the JVM at once.
 OUT_ROWS = 1000
 
@@ -69,6 +70,7 @@ class Codec:
         for text, i in self.special.items():
             self.tokens[i] = text.encode()
         self.ordinary = sorted(vocab.values())
+        self.sizes = [len(x) for x in self.tokens]
         self.left, self.right = list(range(size)), list(range(size))
         self.joined: dict[tuple[int, int], int] = {}
         #: id -> order of its merge; bytes come first
@@ -127,27 +129,31 @@ class Codec:
         return good
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        n = len(piece)
+        n, size, shorter, compatible = len(piece), self.sizes, self.shorter, self.compatible
         longest = [-1] * n
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - len(self.tokens[i])
-            if longest[start] < 0 or len(self.tokens[i]) > len(self.tokens[longest[start]]):
-                longest[start] = i
+        for end, i in self.automaton.iter(piece.decode("latin-1")):  # ends rise, so the last match at a place is its longest
+            longest[end + 1 - size[i]] = i
+        if n and size[longest[0]] == n:  # every token is its own encoding
+            return [longest[0]]
         taken: list[int] = []
         open_at = bytearray(b"\x01" * (n + 1))
         at, token = 0, longest[0] if n else -1
         while at < n:
-            end = at + len(self.tokens[token])
-            if open_at[end] and (not taken or self.fits(taken[-1], token)):
-                taken.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-                continue
-            token = self.shorter[token]
+            end = at + size[token]
+            if open_at[end]:
+                good = not taken or compatible.get((taken[-1], token))
+                if good is None:
+                    good = self.fits(taken[-1], token)
+                if good:
+                    taken.append(token)
+                    at = end
+                    token = longest[at] if at < n else -1
+                    continue
+            token = shorter[token]
             if token < 0:  # nothing fits here: give back the last token
                 open_at[at] = 0
                 token = taken.pop()
-                at -= len(self.tokens[token])
+                at -= size[token]
         return taken
 
     @cached_property
@@ -168,12 +174,20 @@ class Codec:
         codec = self
 
         class Known(dict):
+            """Pieces of this and the last generation: what is in use survives when the older half is dropped."""
+
+            older: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                ids = np.array(codec.encode_piece(piece.encode()), np.int32).tobytes()
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = array("i", codec.encode_piece(piece.encode())).tobytes()
                 if len(piece) <= CACHE_LENGTH:
                     if len(self) >= CACHE_PIECES:
+                        self.older = dict(self)
                         self.clear()
-                        codec.compatible.clear()
+                        if len(codec.compatible) > CACHE_PAIRS:
+                            codec.compatible.clear()
                     self[piece] = ids
                 return ids
 
