@@ -5,16 +5,21 @@ are folded into ``( ... )+`` groups, which gives the page's expression. The
 expressions of one host are aligned one after another: where they agree they
 stay, where one has what the other lacks that part becomes ``( ... )?``, and a
 lone unit next to a group of the same unit joins it. The result is a union-free
-regular expression, the host's wrapper; every ``T`` in it is a text slot. Slots
-whose text is the same on all pages of the host are template text.
-
-Extraction takes the slots inside ``article`` or ``main``, without the elements
-that hold menus, headers, footers, sidebars, notices, adverts, forms, scripts
-or reader comments. On a page that has neither element it takes all slots of
-the body outside such elements that are not template text.
+regular expression, the host's wrapper; every ``T`` in it is a text slot. Each
+page is then matched against the wrapper of its host, which gives every text
+its slot. The elements around a text are evidence for the label of its slot:
+outside (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+reader comments), article (inside ``article`` or ``main``) or body. A body slot
+whose text is the same on all pages that have it is template text.
+
+Extraction takes the article slots; on a page that has neither ``article`` nor
+``main`` it takes the body slots that are not template text. A slot that an
+optional element surrounds on some pages only is labelled for each case. A page
+that its wrapper does not match loses no template text.
 
 Work on a host is never gathered: expressions are made distinct per batch, then
-aligned in SALTS streams per host, then the few wrappers of a host are aligned.
+aligned in SALTS streams per host, then the few wrappers of a host are aligned;
+pages meet their wrapper by join, and facts of slots are summed.
 
 Defined results: null or empty html gives an empty text; a null or bare URL has
 an empty host; unclosed tags close with their parent, stray end tags are
@@ -30,6 +35,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -202,26 +208,104 @@ def align(a: str, b: str) -> str:
 
 
 def observe(pages: DataFrame) -> DataFrame:
-    """(host, expression or path, ...) facts of pages (host, html), distinct within a batch."""
+    """(host, item, n) of pages (host, html): their expressions, distinct within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str, str], list[int]] = {}
+            found: dict[tuple[str, str], int] = defaultdict(int)
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stream, slots = parse(page or "")
-                found.setdefault((host, "wrapper", fold(" ".join(stream) + " ").strip()), [0, 0, 0])[2] += 1
-                texts: dict[str, int] = defaultdict(int)
-                for path, text, out, main in slots:
-                    if not out and not main:
-                        texts[path] = zlib.crc32(text.encode(), texts[path])
-                for path, h in texts.items():
-                    fact = found.setdefault((host, "slot", path), [h, h, 0])
-                    fact[:] = min(fact[0], h), max(fact[1], h), fact[2] + 1
-            keys, values = list(found), list(found.values())
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "kind", "item", "low", "high", "n"])
-
-    return pages.select("host", F.col("html").cast("string")).mapInArrow(run, "host string, kind string, item string, low long, high long, n long")
+                found[host, fold(" ".join(parse(page or "")[0]) + " ").strip()] += 1
+            columns = [pa.array([k[i] for k in found], pa.string()) for i in range(2)] + [pa.array(found.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "item", "n"])
+
+    return pages.select("host", F.col("html").cast("string")).mapInArrow(run, "host string, item string, n long")
+
+
+@lru_cache(maxsize=256)
+def _program(wrapper: str) -> tuple[list[tuple[str, int]], list[tuple[int, ...]]]:
+    """Words of a wrapper with the slot of each (0 for tags), and the words that may come first from each place; the last is the end."""
+    words: list[tuple[str, int]] = []
+    jumps: dict[int, tuple[int, ...]] = {}
+    starts, slots = [], 0
+    for w in wrapper.split():
+        if w == "(":
+            starts.append(len(words))
+            words.append(("(", 0))
+            jumps[starts[-1]] = (len(words),)
+        elif w in (")+", ")?"):
+            start = starts.pop()
+            if w == ")+":
+                jumps[len(words)] = (start + 1, len(words) + 1)
+            else:
+                jumps[len(words)] = (len(words) + 1,)
+                jumps[start] = (start + 1, len(words))
+            words.append((w, 0))
+        else:
+            slots += w == "T"
+            words.append((w, slots if w == "T" else 0))
+    first = []
+    for k in range(len(words) + 1):
+        seen, order, todo = set(), [], [k]
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                if at in jumps:
+                    todo += reversed(jumps[at])
+                else:
+                    order.append(at)
+        first.append(tuple(order))
+    return words, first
+
+
+@lru_cache(maxsize=2048)
+def places(wrapper: str, stream: str) -> tuple[int, ...] | None:
+    """The wrapper's slot of each text of a stream, in order; None if the wrapper does not match it.
+
+    All ways are followed side by side, so the time is bounded; groups go on as long as they can.
+    """
+    words, first = _program(wrapper)
+    ways: dict[int, tuple | None] = dict.fromkeys(first[0])
+    for w in stream.split():
+        then: dict[int, tuple | None] = {}
+        for at, path in ways.items():
+            if at < len(words) and words[at][0] == w:
+                path = (words[at][1], path) if w == "T" else path
+                for k in first[at + 1]:
+                    then.setdefault(k, path)
+        ways = then
+    if len(words) not in ways:
+        return None
+    path, out = ways[len(words)], []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return tuple(reversed(out))
+
+
+def slotted(page: str | None, wrapper: str | None) -> tuple[bool, list[tuple[int | None, str, bool, bool]]]:
+    """(whether the page has an article, its texts as (slot, text, outside, in article))."""
+    stream, slots = parse(page or "")
+    at = places(wrapper or "", "".join(x + " " for x in stream)) or (None,) * len(slots)
+    article = any(main for *_, main in slots) or any(x.partition(".")[0] in ("+article", "+main") for x in stream)
+    return article, [(k, text, out, main) for k, (_, text, out, main) in zip(at, slots, strict=True)]
+
+
+def observe_slots(pages: DataFrame) -> DataFrame:
+    """(host, slot, hash) of the body slots of pages (host, html, wrapper)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str, int, int]] = []
+            for host, page, wrapper in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                texts: dict[int, int] = defaultdict(int)
+                for slot, text, out, main in slotted(page, wrapper)[1]:
+                    if slot and not out and not main:
+                        texts[slot] = zlib.crc32(text.encode(), texts[slot])
+                rows += [(host, slot, h) for slot, h in texts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int64())], names=["host", "slot", "hash"])
+
+    return pages.select("host", "html", "wrapper").mapInArrow(run, "host string, slot int, hash long")
 
 
 def _align_streams(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -247,19 +331,20 @@ def _align_streams(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, folder: str) -> DataFrame:
-    """(host, wrapper, n_pages, constants): constants are the paths of template text."""
-    facts = written(observe(pages).groupBy("host", "kind", "item").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")), folder, "facts")
-    parts = facts.where("kind = 'wrapper'").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
-    whole = _align_streams(_align_streams(parts, ["host", "salt"]), ["host"])
-    same = facts.where("kind = 'slot' and low = high and n > 2").groupBy("host").agg(F.array_sort(F.collect_list("item")).alias("constants"))  # paths of a template
-    return written(whole.join(same, "host", "left").select("host", F.col("item").alias("wrapper"), F.col("n").alias("n_pages"), F.coalesce("constants", F.array().cast("array<string>")).alias("constants")), folder, "wrappers")
+    """(host, wrapper, n_pages, constants): constants are the slots of template text."""
+    facts = written(observe(pages).groupBy("host", "item").agg(F.sum("n").alias("n")), folder, "facts")
+    parts = facts.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    whole = written(_align_streams(_align_streams(parts, ["host", "salt"]), ["host"]).select("host", F.col("item").alias("wrapper"), F.col("n").alias("n_pages")), folder, "aligned")
+    slots = observe_slots(pages.join(whole, "host")).groupBy("host", "slot").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"))
+    same = slots.where("low = high and n > 2").groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("constants"))  # slots of a wrapper
+    return written(whole.join(same, "host", "left").select("host", "wrapper", "n_pages", F.coalesce("constants", F.array().cast("array<int>")).alias("constants")), folder, "wrappers")
 
 
-def main_text(page: str | None, constants: frozenset[str]) -> str:
-    stream, slots = parse(page or "")
-    if any(main for *_, main in slots) or any(x.partition(".")[0] in ("+article", "+main") for x in stream):
-        return " ".join(text for _, text, out, main in slots if main and not out)
-    return " ".join(text for path, text, out, _ in slots if not out and path not in constants)
+def main_text(page: str | None, wrapper: str | None, constants: frozenset[int]) -> str:
+    article, texts = slotted(page, wrapper)
+    if article:
+        return " ".join(text for _, text, out, main in texts if main and not out)
+    return " ".join(text for slot, text, out, _ in texts if not out and slot not in constants)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", folder: str | None = None) -> DataFrame:
@@ -270,7 +355,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", folder: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, frozenset(constants or ())) for page, constants in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            texts = [main_text(page, wrapper, frozenset(constants or ())) for page, constants, wrapper in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(texts, pa.string()), batch.column(4)], names=[id_col, "url", "text", "wrapper"])
 
     return both.mapInArrow(run, with_id(both, id_col, "url string, text string, wrapper string"))

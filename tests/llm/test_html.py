@@ -50,6 +50,16 @@ def test_wrapper_of_a_host(spark):
         assert h.accepts(w, h.fold(" ".join(h.parse(make(k))[0]) + " ").strip())
 
 
+def test_template_text_is_told_by_slot(spark):
+    """Both divs have one path; only the wrapper tells the first, which is the same on all pages, from the second."""
+    make = lambda k: f"<body><div>Our shop</div><h4>Story {k}</h4><div>text {k}</div>{'<aside><p>more</p></aside>' if k % 2 else '<p>own ' + str(k) + '</p>'}</body>"
+    df = spark.createDataFrame([(k, "http://shop.org/", make(k)) for k in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(df).collect()}
+    assert got[3] == "Story 3 text 3" and got[4] == "Story 4 text 4 own 4"
+    assert h.places("+a T -a ( +b T -b )+ ( +c T -c )?", "+a T -a +b T -b +b T -b ") == (1, 2, 2)
+    assert h.places("+a T -a", "+b T -b ") is None
+
+
 def test_alignment():
     assert h.fold("a b a b a b c ") == "( a b )+ c "
     assert h.align("a ( b )+ c", "a b c") == "a ( b )+ c"
