@@ -10,7 +10,8 @@ page is then matched against the wrapper of its host, which gives every text
 its slot. The elements around a text are evidence for the label of its slot:
 outside (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 reader comments), article (inside ``article`` or ``main``) or body. A body slot
-whose text is the same on all pages that have it is template text.
+is template text if its text is the same on all pages that have it and these
+are three at least whose other body texts differ; copies of a page count once.
 
 Extraction takes the article slots; on a page that has neither ``article`` nor
 ``main`` it takes the body slots that are not template text. A slot that an
@@ -29,9 +30,9 @@ columns are ignored; an empty table gives an empty result. Nothing is cut off.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -283,29 +284,36 @@ def places(wrapper: str, stream: str) -> tuple[int, ...] | None:
     return tuple(reversed(out))
 
 
-def slotted(page: str | None, wrapper: str | None) -> tuple[bool, list[tuple[int | None, str, bool, bool]]]:
-    """(whether the page has an article, its texts as (slot, text, outside, in article))."""
+def slotted(page: str | None, wrapper: str | None) -> tuple[bool, list[tuple[str | None, str, bool, bool]]]:
+    """(whether the page has an article, its texts as (slot, text, outside, in article)); a slot is its number and the elements around it."""
     stream, slots = parse(page or "")
     at = places(wrapper or "", "".join(x + " " for x in stream)) or (None,) * len(slots)
     article = any(main for *_, main in slots) or any(x.partition(".")[0] in ("+article", "+main") for x in stream)
-    return article, [(k, text, out, main) for k, (_, text, out, main) in zip(at, slots, strict=True)]
+    return article, [(k and f"{k} {path}", text, out, main) for k, (path, text, out, main) in zip(at, slots, strict=True)]
 
 
 def observe_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot, hash) of the body slots of pages (host, html, wrapper)."""
+    """(host, content, slots) of pages (host, html, wrapper): the body texts of a page by slot, and one digest of them all; distinct within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, int, int]] = []
+            found: dict[tuple[str, int], list[dict[str, str | int]]] = {}
             for host, page, wrapper in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                texts: dict[int, int] = defaultdict(int)
+                texts: dict[str, list[str]] = defaultdict(list)
                 for slot, text, out, main in slotted(page, wrapper)[1]:
                     if slot and not out and not main:
-                        texts[slot] = zlib.crc32(text.encode(), texts[slot])
-                rows += [(host, slot, h) for slot, h in texts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int64())], names=["host", "slot", "hash"])
+                        texts[slot].append(text)
+                if texts:
+                    slots = [{"slot": slot, "hash": _digest(repr(t))} for slot, t in sorted(texts.items())]
+                    found[host, _digest(repr(slots))] = slots
+            columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.list_(pa.struct([("slot", pa.string()), ("hash", pa.int64())])))], names=["host", "content", "slots"])
 
-    return pages.select("host", "html", "wrapper").mapInArrow(run, "host string, slot int, hash long")
+    return pages.select("host", "html", "wrapper").mapInArrow(run, "host string, content long, slots array<struct<slot:string,hash:long>>")
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def _align_streams(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -335,12 +343,13 @@ def wrappers(pages: DataFrame, folder: str) -> DataFrame:
     facts = written(observe(pages).groupBy("host", "item").agg(F.sum("n").alias("n")), folder, "facts")
     parts = facts.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
     whole = written(_align_streams(_align_streams(parts, ["host", "salt"]), ["host"]).select("host", F.col("item").alias("wrapper"), F.col("n").alias("n_pages")), folder, "aligned")
-    slots = observe_slots(pages.join(whole, "host")).groupBy("host", "slot").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"))
+    contents = observe_slots(pages.join(whole, "host")).dropDuplicates(["host", "content"])  # copies of a page are one
+    slots = contents.select("host", F.inline("slots")).groupBy("host", "slot").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"))
     same = slots.where("low = high and n > 2").groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("constants"))  # slots of a wrapper
-    return written(whole.join(same, "host", "left").select("host", "wrapper", "n_pages", F.coalesce("constants", F.array().cast("array<int>")).alias("constants")), folder, "wrappers")
+    return written(whole.join(same, "host", "left").select("host", "wrapper", "n_pages", F.coalesce("constants", F.array().cast("array<string>")).alias("constants")), folder, "wrappers")
 
 
-def main_text(page: str | None, wrapper: str | None, constants: frozenset[int]) -> str:
+def main_text(page: str | None, wrapper: str | None, constants: frozenset[str]) -> str:
     article, texts = slotted(page, wrapper)
     if article:
         return " ".join(text for _, text, out, main in texts if main and not out)

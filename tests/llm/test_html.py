@@ -60,6 +60,15 @@ def test_template_text_is_told_by_slot(spark):
     assert h.places("+a T -a", "+b T -b ") is None
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<body><h4>News</h4><div>The whole story</div></body>"
+    other = lambda k: f"<body><h5>Shop</h5><table><tr><td>item {k}</table></body>"
+    rows = [(k, "http://a.org/", copy) for k in range(3)] + [(k, None, copy) for k in range(3, 8)] + [(k, None, other(k)) for k in range(8, 12)] + [(12, None, other(11))]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(8)} == {"News The whole story"}
+    assert [got[k] for k in range(8, 13)] == ["item 8", "item 9", "item 10", "item 11", "item 11"]
+
+
 def test_alignment():
     assert h.fold("a b a b a b c ") == "( a b )+ c "
     assert h.align("a ( b )+ c", "a b c") == "a ( b )+ c"
