@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 from pyspark.sql.window import Window
 
 from maskline.functions import text as t
@@ -102,11 +103,62 @@ def numbers(keys: DataFrame, seed: str, digits: int = 4) -> DataFrame:
     return out.where(F.assert_true(F.col("fake_last4").isNotNull(), F.lit("no free account numbers; use more digits")).isNull()).select("key", "fake_last4", F.concat(F.lit("xxxx"), F.col("fake_last4")).alias("fake_number"))
 
 
-def salted_unique(reals: DataFrame, seed: str, category: str, used: DataFrame | None = None, rounds: int = 20, settle: bool = True) -> DataFrame:
+@F.udf(LongType())
+def _room(shape: str, most: int) -> int:
+    """How many values have that shape, most at most."""
+    n = 1
+    for c in shape:
+        n = min(most, n * SIZES.get(c, 1))
+    return n
+
+
+@F.udf(StringType())
+def _nth(shape: str, i: int) -> str:
+    """The i-th value of a shape."""
+    out = []
+    for c in reversed(shape):
+        i, k = divmod(i, SIZES[c]) if c in SIZES else (i, 0)
+        out.append(chr(ord(c) + k))
+    return "".join(reversed(out))
+
+
+#: Characters of a shape and how many values each stands for.
+SIZES = {"0": 10, "A": 26, "a": 26}
+
+
+def placed_by_rank(left: DataFrame, taken: DataFrame, seed: str, category: str, folder: str, widen: bool = False) -> DataFrame:
+    """(real, fake): each real of left takes a free value of its shape by rank; of a full shape, with widen, one with digits added.
+
+    Of the first len(left) + len(taken) values of a shape, len(left) are free or the shape is full, so no more are made.
+    """
+    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
+    left, placed, k = left.select("real", shape(F.col("real")).alias("shape")), None, 0
+    while True:
+        wanted = left.groupBy("shape").agg(F.count("*").alias("n"))
+        used = taken.groupBy(shape(F.col("fake")).alias("shape")).agg(F.count("*").alias("m"))
+        sizes = wanted.join(used, "shape", "left").select("shape", _room("shape", F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+        chunks = sizes.select("shape", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(10_000))).alias("first")).repartition("shape", "first")
+        ids = chunks.select("shape", F.explode(F.sequence("first", F.least(F.col("first") + 9_999, F.col("n") - 1))).alias("i"))
+        free = written(ids.select("shape", _nth("shape", "i").alias("fake")).join(taken.select("fake"), "fake", "left_anti"), folder, f"free-{k}")
+        fakes = ranked(free.withColumn("_h", hashed(seed, f"free-{category}", F.col("fake"))), "_h", ["shape"]).select("shape", "rank", "fake")
+        reals = ranked(left.withColumn("_h", hashed(seed, f"left-{category}", F.col("real"))), "_h", ["shape"]).select("shape", "rank", "real")
+        both = written(reals.join(fakes, ["shape", "rank"], "left").select("real", "shape", "fake"), folder, f"ranked-{k}")
+        won = both.where("fake is not null").select("real", "fake")
+        placed = won if placed is None else placed.union(won)
+        left = both.where("fake is null").select("real", F.concat("shape", F.lit("0")).alias("shape"))
+        if left.isEmpty():
+            return placed
+        if not widen:
+            raise ValueError(f"{category}: fakes are exhausted: no value of the shape is free")
+        taken, k = taken.select("fake").union(won.select("fake")), k + 1
+
+
+def salted_unique(reals: DataFrame, seed: str, category: str, used: DataFrame | None = None, rounds: int = 20, widen: bool = False) -> DataFrame:
     """(real, fake, salt): same-shape fakes, distinct and neither real nor used; only losers are drawn again.
 
-    Of equal candidates the first real keeps it. settle=False leaves out what
-    the given rounds have not placed; else that is an error. Each round is written.
+    Of equal candidates the first real keeps it. What the rounds have not placed
+    takes a free value by rank, with salt = rounds. If a shape has no free value
+    left, that is an error, or with widen the fake is longer. Each round is written.
     """
     folder = shared_dir(reals.sparkSession)
     left = written(reals.select("real").distinct(), folder, "reals")
@@ -124,12 +176,10 @@ def salted_unique(reals: DataFrame, seed: str, category: str, used: DataFrame |
         taken = taken.union(won.select("fake"))
         if left.isEmpty():
             return placed
-    if settle:
-        raise ValueError(f"{category}: fakes are exhausted after {rounds} rounds")
-    return placed
+    return placed.union(placed_by_rank(left, taken, seed, category, folder, widen).withColumn("salt", F.lit(rounds)))
 
 
-def extend(mapping: DataFrame, reals: DataFrame, seed: str, category: str, rounds: int = 20, settle: bool = True) -> DataFrame:
+def extend(mapping: DataFrame, reals: DataFrame, seed: str, category: str, rounds: int = 20, widen: bool = False) -> DataFrame:
     """(real, fake) of a saved mapping and of values that are new; old fakes stay."""
     new = reals.select("real").distinct().join(mapping.select("real"), "real", "left_anti")
-    return mapping.select("real", "fake").union(salted_unique(new, seed, category, mapping.select("fake").union(mapping.select(F.col("real").alias("fake"))), rounds, settle).select("real", "fake"))
+    return mapping.select("real", "fake").union(salted_unique(new, seed, category, mapping.select("fake").union(mapping.select(F.col("real").alias("fake"))), rounds, widen).select("real", "fake"))

@@ -125,7 +125,7 @@ def run_reals(db: Tables) -> DataFrame:
 
 @query("SELECT real, fake, CAST(salt AS INTEGER) AS salt FROM m", "ledger", f"{RUNS}, {d.salted('m', 'run_reals', 'run', ROUNDS)}")
 def digit_run_map(db: Tables) -> DataFrame:
-    return m.salted_unique(run_reals(db), SEED, "run", rounds=ROUNDS, settle=False)
+    return m.salted_unique(run_reals(db), SEED, "run", rounds=ROUNDS, widen=True)
 
 
 @query(f"SELECT code AS real, {d.shape('code', 'code')} AS fake FROM (SELECT DISTINCT unnest({d.codes('description')}) AS code FROM ledger)", "ledger")
@@ -143,7 +143,7 @@ def entity_reals(db: Tables) -> DataFrame:
 
 @query("SELECT real, fake, CAST(salt AS INTEGER) AS salt FROM m", "accounts", f"{ENTITIES}, {d.salted('m', 'entity_reals', 'entity', ROUNDS)}")
 def entity_codes(db: Tables) -> DataFrame:
-    return m.salted_unique(entity_reals(db), SEED, "entity", rounds=ROUNDS, settle=False)
+    return m.salted_unique(entity_reals(db), SEED, "entity", rounds=ROUNDS, widen=True)
 
 
 _SHORT = "short_reals AS (SELECT DISTINCT substr(lpad(real, 6, '0'), 3, 4) AS real FROM run_reals)"
@@ -153,7 +153,7 @@ _SHORT = "short_reals AS (SELECT DISTINCT substr(lpad(real, 6, '0'), 3, 4) AS re
 def salted_unique(db: Tables) -> DataFrame:
     """A crowded domain: four digits, so that many values need further rounds."""
     short = run_reals(db).select(F.substring(F.lpad("real", 6, "0"), 3, 4).alias("real")).distinct()
-    return m.salted_unique(short, SEED, "short", rounds=ROUNDS, settle=False).groupBy("salt").agg(F.count("*").alias("n"), F.count_distinct("fake").alias("n_fakes"))
+    return m.salted_unique(short, SEED, "short", rounds=ROUNDS, widen=True).groupBy("salt").agg(F.count("*").alias("n"), F.count_distinct("fake").alias("n_fakes"))
 
 
 _OLD = "right(real, 1) < '6'"
@@ -162,12 +162,12 @@ EXTEND = f"""{RUNS}, old_reals AS (SELECT real FROM run_reals WHERE {_OLD}), {d.
 
 
 def old_mapping(db: Tables) -> DataFrame:
-    return m.salted_unique(run_reals(db).where("right(real, 1) < '6'"), SEED, "run", rounds=ROUNDS, settle=False).select("real", "fake")
+    return m.salted_unique(run_reals(db).where("right(real, 1) < '6'"), SEED, "run", rounds=ROUNDS, widen=True).select("real", "fake")
 
 
 @query("SELECT real, fake FROM o UNION ALL SELECT real, fake FROM n", "ledger", EXTEND)
 def extend_mapping(db: Tables) -> DataFrame:
-    return m.extend(written(old_mapping(db), shared_dir(db.spark), "old"), run_reals(db), SEED, "run", ROUNDS, settle=False)
+    return m.extend(written(old_mapping(db), shared_dir(db.spark), "old"), run_reals(db), SEED, "run", ROUNDS, widen=True)
 
 
 @query("SELECT real FROM new_reals", "ledger", EXTEND)
