@@ -8,7 +8,7 @@ after level; similar sets stay together in some branch. Buckets of at most
 BUCKET sets are compared by brute force; larger ones are split further, and
 what is still large after DEPTH levels (sets that are nearly equal) is compared
 in pairs of blocks, so that no task holds a large group. Runs repeat until a
-pair at the threshold meets with probability RECALL.
+pair at the threshold meets with probability RECALL even after DEPTH levels.
 
 Equal sets are one node throughout. Compared pairs only link candidates; each
 candidate component is then checked exactly, block by block: every pair of its
@@ -27,6 +27,7 @@ an empty result. Sets are told apart by 64-bit digests.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -44,8 +45,8 @@ RECALL = 0.999
 COORDINATES = 128
 LEVELS, DEPTH = 3, 9
 BUCKET, BLOCK = 400, 200
-#: Share of equal coordinates from which two sets are candidates: 2.8 deviations below the threshold.
-CANDIDATE = 0.70
+#: Share of equal coordinates from which two sets are candidates: 4.2 deviations below the threshold.
+CANDIDATE = 0.65
 
 _rng = np.random.default_rng(811)
 _MULTIPLY = _rng.integers(0, 2**32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -60,8 +61,32 @@ def survival(levels: int, similarity: float = THRESHOLD) -> float:
     return p
 
 
-def runs(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(LEVELS)))
+def starts(n: int) -> np.ndarray:
+    """Paths from which runs start."""
+    return tk.mix(np.arange(1, n + 1, dtype=np.uint64))
+
+
+def _twice(path: np.ndarray) -> np.ndarray:
+    """Whether a path takes the second split too."""
+    return (tk.mix(path + np.uint64(3)) >> np.uint64(32)) < np.uint64(int((1 / THRESHOLD - 1) * 2**32))
+
+
+@functools.cache
+def runs(recall: float = RECALL, most: int = 200) -> int:
+    """Runs after which a pair at the threshold is a candidate with probability recall, at the deepest level.
+
+    The share of its equal coordinates varies around the threshold, which
+    CANDIDATE cuts below; of the roots it counts which really split twice.
+    """
+    equal = range(math.ceil(CANDIDATE * COORDINATES), COORDINATES + 1)
+    weight = np.array([math.comb(COORDINATES, k) * THRESHOLD**k * (1 - THRESHOLD) ** (COORDINATES - k) for k in equal])
+    below = np.array([k / COORDINATES * survival(DEPTH - 1, k / COORDINATES) for k in equal])
+    miss = np.ones(len(weight))
+    for n, twice in enumerate(_twice(starts(most)), 1):
+        miss = miss * (1 - below) ** (2 if twice else 1)
+        if 1 - weight.sum() + (weight * miss).sum() <= 1 - recall:
+            return n
+    raise ValueError("the recall is out of reach")
 
 
 def shingle_sets(text: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,12 +133,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _descend(path: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(path, row) after LEVELS more levels; values: coordinates by row. What is chosen depends on the path alone."""
-    second = np.uint64(int((1 / THRESHOLD - 1) * 2**32))
     for _ in range(LEVELS):
         parts = []
         for k in (1, 2):
             chosen = tk.mix(path + np.uint64(k))
-            go = slice(None) if k == 1 else np.flatnonzero((tk.mix(path + np.uint64(3)) >> np.uint64(32)) < second)
+            go = slice(None) if k == 1 else np.flatnonzero(_twice(path))
             c = (chosen[go] >> np.uint64(20)) % np.uint64(COORDINATES)
             value = values[rows[go], c.astype(np.int64)].astype(np.uint64)
             parts.append((tk.mix(path[go] * np.uint64(0x9E3779B97F4A7C15) + (c << np.uint64(16)) + value + np.uint64(k << 40)), rows[go]))
@@ -132,7 +156,7 @@ def _paths(df: DataFrame, first: bool) -> DataFrame:
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 own = np.arange(len(node))
                 if first:
-                    start = [(np.full(len(node), int(tk.mix(np.array([r + 1], np.uint64))[0]), np.uint64), own) for r in range(runs())]
+                    start = [(np.full(len(node), start, np.uint64), own) for start in starts(runs())]
                 else:
                     start = [(part.column(2).to_numpy().view(np.uint64), own)]
                 for path, rows in start:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from maskline.llm import neardup as nd
@@ -64,6 +65,26 @@ def test_recall_of_runs():
     assert 1 - (1 - nd.survival(nd.LEVELS)) ** nd.runs() >= nd.RECALL
 
 
+def test_recall_at_the_deepest_level():
+    """Lone pairs at 0.8 whose buckets are split down to DEPTH still meet, and are candidates."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    one = rng.integers(0, 2**16, (n, nd.COORDINATES)).astype(np.uint16)
+    two = np.where(rng.random(one.shape) < nd.THRESHOLD, one, rng.integers(0, 2**16, one.shape).astype(np.uint16))
+    met = np.zeros(n, bool)
+    for r in range(nd.runs()):
+        start = np.full(n, int(nd.tk.mix(np.array([r + 1], np.uint64))[0]), np.uint64)
+        sides = []
+        for values in (one, two):
+            path, rows = start, np.arange(n)
+            for _ in range(nd.DEPTH // nd.LEVELS):
+                path, rows = nd._descend(path, rows, values)
+            sides.append(set(zip(path.tolist(), rows.tolist(), strict=True)))
+        met[[k for _, k in sides[0] & sides[1]]] = True
+    met &= (one == two).mean(1) >= nd.CANDIDATE
+    assert met.mean() >= 0.9975
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)]
