@@ -18,9 +18,10 @@ Extraction takes the article slots; on a page that has neither ``article`` nor
 optional element surrounds on some pages only is labelled for each case. A page
 that its wrapper does not match loses no template text.
 
-Work on a host is never gathered: expressions are made distinct per batch, then
-aligned in SALTS streams per host, then the few wrappers of a host are aligned;
-pages meet their wrapper by join, and facts of slots are summed.
+Work on a host is never gathered: expressions are made distinct, then aligned in
+a tree: groups of about FAN by hash, then the groups' wrappers in groups again,
+until a host has one, so the number of groups follows the host's expressions.
+Pages meet their wrapper by join, and facts of slots are summed.
 
 Defined results: null or empty html gives an empty text; a null or bare URL has
 an empty host; unclosed tags close with their parent, stray end tags are
@@ -54,11 +55,15 @@ RAW = frozenset("script style textarea title noscript iframe template svg xmp".s
 #: Elements that never hold the article, and words of class, id or role that mark such elements. Fixed values.
 OUTSIDE = frozenset("head nav header footer aside form button select textarea menu dialog script style title noscript iframe template svg object canvas".split())
 OUTSIDE_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads banner breadcrumb copyright disclaimer footer header login menu modal nav navigation notice notices pager promo recommended related replies reply respond search share sharing signup skip social sponsor subscribe toolbar".split()
 )
+#: Words that mark such an element in any name; the others only beside numbers and PLAIN words, so that ``social-science`` or ``post-header`` stay. Fixed values.
+STRONG = frozenset("adbox advert adverts advertisement advertising breadcrumbs comment comments consent cookie cookies disqus gdpr masthead navbar newsletter pagination popup promoted sidebar sponsored widget widgets".split())
+PLAIN = frozenset("area bar block bottom box button buttons container form global group icons inner item items left link links list main outer page posts primary right row secondary section site top unit wrap wrapper".split())
 WHOLE = frozenset("html body main".split())  # never outside because of their attributes
-SALTS = 16
-#: Longest unit, in tags and slots, that is looked for when folding repeats.
+#: Expressions of a host that one step of the alignment takes in order.
+FAN = 64
+#: Longest unit, in tags and slots, that is folded; longer repeats stay as they are, which makes a wrapper longer but loses no text.
 UNIT = 12
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""", re.S)
@@ -71,7 +76,8 @@ def outside(tag: str, attributes: str) -> bool:
         return True
     if tag in WHOLE or not attributes:
         return False
-    return any(w in OUTSIDE_WORDS for _, v in ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z0-9]+", v.lower()))
+    names = [[w for w in re.split(r"[^a-z]+", name) if w] for _, v in ATTRIBUTE.findall(attributes) for name in v.lower().split()]
+    return any(not STRONG.isdisjoint(name) or (not OUTSIDE_WORDS.isdisjoint(name) and OUTSIDE_WORDS.union(PLAIN).issuperset(name)) for name in names)
 
 
 def parse(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
@@ -146,10 +152,7 @@ def fold(stream: str) -> str:
             return m[0]
         return m[1] if len(nodes(m[1])) == 1 and unit[-1] == ")+" else f"( {m[1]})+ "
 
-    for _ in range(6):
-        folded = REPEAT.sub(group, stream)
-        if folded == stream:
-            break
+    while (folded := REPEAT.sub(group, stream)) != stream:  # each pass takes tags or groups away
         stream = folded
     return stream
 
@@ -168,14 +171,18 @@ def nodes(expression: str) -> list[str]:
 
 def accepts(wrapper: str, expression: str) -> bool:
     """True if the wrapper matches the streams that the expression stands for, with each group once and twice."""
-    import regex
+    return all(_matches(wrapper, _sample(expression, n)) for n in (1, 2))
 
-    pattern = "".join({"(": "(?:", ")+": ")+", ")?": ")?"}.get(w) or re.escape(w + " ") for w in wrapper.split())
-    try:
-        compiled = regex.compile(pattern)
-        return all(compiled.fullmatch(_sample(expression, n), timeout=1.0) for n in (1, 2))
-    except TimeoutError:
-        return False
+
+def _matches(wrapper: str, stream: str) -> bool:
+    """Whether the wrapper matches a stream; all ways at once, so the time is bounded by the product of the lengths."""
+    words, first = _program(wrapper)
+    ways = set(first[0])
+    for w in stream.split():
+        ways = {k for at in ways if at < len(words) and words[at][0] == w for k in first[at + 1]}
+        if not ways:
+            return False
+    return len(words) in ways
 
 
 def _sample(expression: str, times: int) -> str:
@@ -340,9 +347,16 @@ def _align_streams(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def wrappers(pages: DataFrame, folder: str) -> DataFrame:
     """(host, wrapper, n_pages, constants): constants are the slots of template text."""
-    facts = written(observe(pages).groupBy("host", "item").agg(F.sum("n").alias("n")), folder, "facts")
-    parts = facts.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
-    whole = written(_align_streams(_align_streams(parts, ["host", "salt"]), ["host"]).select("host", F.col("item").alias("wrapper"), F.col("n").alias("n_pages")), folder, "aligned")
+    level = written(observe(pages).groupBy("host", "item").agg(F.sum("n").alias("n")), folder, "facts")
+    depth = 0
+    while True:
+        sizes = level.groupBy("host").agg(F.count("*").alias("size"))
+        salt = F.pmod(F.xxhash64("item"), F.ceil(F.col("size") / FAN).cast("int"))
+        parts = level.join(sizes, "host").withColumn("salt", salt)
+        level, depth = written(_align_streams(parts, ["host", "salt"]), folder, f"aligned-{depth}"), depth + 1
+        if level.groupBy("host").count().where("count > 1").isEmpty():
+            break
+    whole = level.select("host", F.col("item").alias("wrapper"), F.col("n").alias("n_pages"))
     contents = observe_slots(pages.join(whole, "host")).dropDuplicates(["host", "content"])  # copies of a page are one
     slots = contents.select("host", F.inline("slots")).groupBy("host", "slot").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"))
     same = slots.where("low = high and n > 2").groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("constants"))  # slots of a wrapper

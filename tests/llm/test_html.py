@@ -76,3 +76,25 @@ def test_alignment():
     assert h.align("a ( b )? c", "a c") == "a ( b )? c"
     w = h.align("a x c", "a y c")
     assert h.accepts(w, "a x c") and h.accepts(w, "a y c")
+
+
+def test_names_that_only_look_like_outside(spark):
+    inner = "<div class='social-science'><p>theory</p></div><div class='post-header'><h1>Head</h1></div><div class='user-comments'>no</div><div id='ad-7'>no</div><div class='site-header'>no</div><div class='search links'>no</div><p>rest"
+    got = h.extract(spark.createDataFrame([(1, "http://a.org/", f"<article>{inner}</article>")], "page_id long, url string, html string")).first()
+    assert got.text == "theory Head rest"
+
+
+def test_hot_host_and_any_partitioning(spark):
+    """One host with more layouts than one step aligns; the same texts come from 1 and 64 partitions, and without its wrapper a page keeps template text."""
+    kinds = [f"<h{k % 3 + 2}>Own {k}</h{k % 3 + 2}>" + "".join(f"<{t}>{t} {k}</{t}>" for j, t in enumerate(("ul", "ol", "dl", "pre", "center", "address", "figure")) if k >> j & 1) for k in range(128)]
+    make = lambda k: f"<body><div>Our shop</div><section>{kinds[k]}</section><div>text {k}</div></body>"
+    df = spark.createDataFrame([(k, None, make(k)) for k in range(128)] + [(128, None, make(5))], "page_id long, url string, html string")
+    one = {r.page_id: r.text for r in h.extract(df.repartition(1)).collect()}
+    assert one == {r.page_id: r.text for r in h.extract(df.repartition(64)).collect()}
+    assert one[5] == one[128] and one[5].endswith("text 5") and one[5].startswith("Own 5")
+    assert h.main_text(make(5), None, frozenset()).startswith("Our shop Own 5")
+
+
+def test_long_streams_match_in_bounded_time():
+    w = "( ( +a -a )? ( +a -a )? ( +a -a )? ( +a -a )? )+ +b -b"
+    assert not h.accepts(w, " ".join(["+a -a"] * 5000)) and h.accepts(w, " ".join(["+a -a"] * 5000) + " +b -b")
