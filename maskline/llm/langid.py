@@ -5,13 +5,15 @@ off to its 5-grams; if none is known to its 4-grams, and so on to single
 characters. A text scores the sum over its words; the score of the answer is
 its share after softmax (equal priors).
 
-The model is fitted on a bounded sample of labelled rows: about SAMPLE_ROWS,
-chosen by a hash of the id, whatever the size of the table. Counting words and
+Words are letters (Unicode category L) with the marks that follow them. The
+model is fitted on a bounded sample of labelled rows: about SAMPLE_ROWS, chosen
+by a hash of id and text, whatever the size of the table. Counting words and
 n-grams is a Spark job; the tables that reach the executors have at most
-MAX_WORDS and MAX_GRAMS rows and MAX_LANGS languages. Every text is scored
-whole.
+MAX_WORDS and MAX_GRAMS rows, and fewer where they would hold over CELLS scores.
+Every text is scored whole.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
+rows equal in id and text are in the sample together or not at all;
 a text of words that share no character with the model gives the first language
 in order, with equal shares; ties go to the first language in order; without
 labelled rows everything is ``und``; repeated rows are scored row by row; other
@@ -21,8 +23,11 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -33,14 +38,36 @@ from pyspark.sql import functions as F
 from maskline.llm.stage import shared_dir, table, with_id, written
 
 SAMPLE_ROWS = 20_000
-MAX_WORDS, MAX_GRAMS, MAX_LANGS, MAX_ORDER = 100_000, 100_000, 200, 5
+MAX_WORDS, MAX_GRAMS, MAX_ORDER = 100_000, 100_000, 5
+#: Scores, rows times languages, of one table.
+CELLS = 20_000_000
 #: A word or n-gram is known if the sample has it so often.
 LEAST_COUNT = 2
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 60_000
 
 
+@cache
+def word_pattern() -> re.Pattern:
+    """A letter, then letters and marks; built once a process from the Unicode categories."""
+    sets: dict[str, list[str]] = {"L": [], "M": []}
+    for kind, ranges in sets.items():
+        first = None
+        for c in range(sys.maxunicode + 2):
+            inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+            if inside and first is None:
+                first = c
+            elif not inside and first is not None:
+                ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+                first = None
+    letters, marks = ("".join(x) for x in sets.values())
+    return re.compile(f"[{letters}][{letters}{marks}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    return word_pattern().findall((text or "").lower())
+
+
 def grams(word: str, order: int) -> list[str]:
     w = f"_{word}_" if order > 1 else word
     return [w[i : i + order] for i in range(len(w) - order + 1)]
@@ -62,11 +89,11 @@ class Model(NamedTuple):
 
 
 def training(df: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> DataFrame:
-    """About rows of the allowed rows that have a label, by a hash of the id."""
+    """About rows of the allowed rows that have a label, by a hash of id and text."""
     labelled = df.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = labelled.select(F.lit(1)).count()
     share = min(1 << 20, (rows << 20) // max(n, 1) + 1)
-    return labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share).select("lang", "text")
+    return labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col("text")), F.lit(1 << 20)) < share).select("lang", "text")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +103,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(k, 2000)
             counts: dict[str, Counter] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                counts.setdefault(lang, Counter()).update(words_of(text))
             for lang, c in counts.items():
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([lang] * len(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["item", "lang", "n"])
 
@@ -94,7 +121,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _table(counts: DataFrame, langs: list[str], most: int, by_length: bool) -> tuple[dict[str, int], np.ndarray]:
     """The most frequent items (most at most), with log frequency by language."""
-    by_item = counts.groupBy("item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # at most MAX_LANGS entries
+    by_item = counts.groupBy("item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # an entry per language
+    most = max(1000, min(most, CELLS // len(langs)))
     kept = by_item.where(F.col("all") >= LEAST_COUNT).orderBy(F.desc("all"), "item").limit(most).collect()
     n = np.zeros((len(kept), len(langs)))
     place = {x: k for k, x in enumerate(langs)}
@@ -113,9 +141,7 @@ def fit(sample: DataFrame, folder: str) -> Model | None:
     """Model of a sample of (lang, text); None if it is empty."""
     words = sample.select("lang", F.col("text").cast("string")).mapInArrow(_counted, "item string, lang string, n long")
     words = written(words.groupBy("item", "lang").agg(F.sum("n").alias("n")), folder, "words")
-    langs = sorted(r.lang for r in words.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())  # labels of a bounded sample
     if not langs:
         return None
     pieces = words.mapInArrow(_gram_counts, "item string, lang string, n long").groupBy("item", "lang").agg(F.sum("n").alias("n"))
@@ -124,7 +150,7 @@ def fit(sample: DataFrame, folder: str) -> Model | None:
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row; no shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS, MAX_GRAMS and MAX_LANGS
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS, MAX_GRAMS and CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -146,7 +172,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(1):
-                words = WORD.findall((text.as_py() or "").lower()) if m is not None else []
+                words = words_of(text.as_py()) if m is not None else []
                 if not words:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
