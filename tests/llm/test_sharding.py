@@ -28,3 +28,25 @@ def test_shards(spark):
     assert s.shard(df.limit(0)).count() == 0
     again = {(r.doc_id, r.size, r.text_crc32): (r.shard, r.slot) for r in s.shard(df.repartition(7)).where("doc_id > 200").collect()}
     assert again == {(r.doc_id, r.size, r.text_crc32): (r.shard, r.slot) for r in got if r.doc_id is not None and r.doc_id > 200}
+
+
+def test_order_against_sql(spark):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(s.ORACLES["op9_sharding"])
+    got = s.op9_sharding(spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    for value in ("", "a", "The quick brown fox", "é"):
+        acc = 0xFFFFFFFF
+        for byte in value.encode():
+            acc = acc >> 8 ^ s._crc_entry((acc ^ byte) & 255)
+        assert acc ^ 0xFFFFFFFF == zlib.crc32(value.encode())
+
+
+def test_rows_without_ids_are_spread(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") + 1000).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    folder = s.shared_dir(spark)
+    assert s.shard(df, folder=folder).count() == 3000
+    assert spark.read.parquet(folder + "/rows").groupBy("curve", "_slice").count().agg(F.max("count")).first()[0] < 200
