@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.llm import textkit as tk
-from maskline.llm.stage import table, with_id
+from maskline.llm.stage import shared_dir, table, with_id, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bangs", "n_bars")
 
@@ -132,21 +132,31 @@ def ablation(book: DataFrame, policy: str = "2024.2") -> DataFrame:
     )
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of docs, written once: policies and ablations read it and never the texts."""
+    return written(ledger(docs), shared_dir(docs.sparkSession), "ledger")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> doc_id, base measurements, base_failed, kept, and the ledger's bits."""
-    book = ledger(table(spark, sf_dir, "documents"))
+    """documents -> doc_id, base measurements, base_failed, kept, what the earlier policy kept, and the ledger's bits."""
     base = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    return book.select(
+    return stored(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & passes()).alias("kept"),
+        base.alias("base_failed"), (~base & passes()).alias("kept"), passes("2024.1-base").alias("kept_2024_1"),
         "fail_bits", F.lit("2024.2").alias("policy"), "n_lines", "n_letters", "n_upper", "n_bangs", "n_bars",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy decides over documents, from the stored ledger."""
+    book = stored(table(spark, sf_dir, "documents"))
+    return ablation(book, "2024.1-base").union(ablation(book, "2024.2"))
+
+
 _BLANK = r"\x20\x09-\x0D"
 _LEFT = lambda keep: f"CAST(length(regexp_replace(text, '{keep}', '', 'g')) AS BIGINT)"
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))
-_ORACLE = rf"""
+_BOOK = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS ws FROM d),
 wins AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
@@ -156,9 +166,16 @@ lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM
 m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, {_LEFT(f'[{_BLANK}]')} AS word_chars, {_LEFT('[^#*$%&|<>]')} AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
  coalesce(lines.n, 0) AS n_lines, {_LEFT('[^A-Za-z]')} AS n_letters, {_LEFT('[^A-Z]')} AS n_upper, {_LEFT('[^!]')} AS n_bangs, {_LEFT('[^|]')} AS n_bars
  FROM d JOIN w USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (fail_bits & {mask(POLICIES["2024.2"])}) = 0 AS kept,
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)"""
+_ORACLE = rf"""{_BOOK}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (fail_bits & {mask(POLICIES["2024.2"])}) = 0 AS kept, (fail_bits & {mask(POLICIES["2024.1-base"])}) = 0 AS kept_2024_1,
  fail_bits, '2024.2' AS policy, n_lines, n_letters, n_upper, n_bangs, n_bars FROM b"""
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {"op8_quality_rules": _ORACLE}
+_RULE = lambda policy, r: (
+    f"SELECT '{policy}' AS policy, '{r}' AS rule, CAST({mask((r,))} AS BIGINT) AS bit, count(*) AS n_rows, count(*) FILTER (({RULES[r]})) AS n_failed,"
+    f" count(*) FILTER ((fail_bits & {mask(POLICIES[policy])}) = {mask((r,))}) AS n_only, count(*) FILTER ((fail_bits & {mask(POLICIES[policy]) - mask((r,))}) = 0) AS n_kept_without FROM b"
+)
+_ABLATION = _BOOK + " UNION ALL ".join(_RULE(p, r) for p in POLICIES for r in POLICIES[p])
+
+QUERIES = {"op8_quality_rules": op8_quality_rules, "quality_ablation": quality_ablation}
+ORACLES: dict[str, str] = {"op8_quality_rules": _ORACLE, "quality_ablation": _ABLATION}
