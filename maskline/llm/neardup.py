@@ -5,15 +5,18 @@ Chosen-path join (Christiani and Pagh 2017; Christiani, Pagh and Sivertsen
 coordinates. A run splits all sets by the value at a coordinate that the path
 so far selects, and with probability 1/THRESHOLD - 1 by a second one, level
 after level; similar sets stay together in some branch. Buckets of at most
-BUCKET sets are compared by brute force; larger ones are split further, and
-what is still large after DEPTH levels (sets that are nearly equal) is compared
-in pairs of blocks, so that no task holds a large group. Runs repeat until a
-pair at the threshold meets with probability RECALL even after DEPTH levels.
+BUCKET sets are compared by brute force. Sets that fall into a larger bucket
+start anew in more runs, whose large buckets are split further; what is still
+large after DEPTH levels (sets that are nearly equal) is compared in pairs of
+blocks, so that no task holds a large group. Runs repeat until a pair at the
+threshold meets with probability RECALL: for all sets after LEVELS levels, for
+those of large buckets even after DEPTH levels.
 
 Equal sets are one node throughout. Compared pairs only link candidates; each
 candidate component is then checked exactly, block by block: every pair of its
-sets is counted by its true Jaccard similarity. Links are summed per text and
-never listed, and components never leave Spark.
+sets is counted by its true Jaccard similarity. What blocks exchange are sets
+of hashes, made once per text. Links are summed per text and never listed, and
+components never leave Spark.
 
 Result: one row per input row with class_id (least id of its component) and
 n_links (how many other rows are similar to it, copies included).
@@ -44,7 +47,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 RECALL = 0.999
 COORDINATES = 128
 LEVELS, DEPTH = 3, 9
-BUCKET, BLOCK = 400, 200
+BUCKET, BLOCK = 400, 100
+#: Bytes of the sets of one block, and rows up to which the ids of candidates are sent to all executors (16 bytes each).
+BLOCK_BYTES, SMALL_ROWS = 16 << 20, 2_000_000
 #: Share of equal coordinates from which two sets are candidates: 4.2 deviations below the threshold.
 CANDIDATE = 0.65
 
@@ -72,15 +77,15 @@ def _twice(path: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def runs(recall: float = RECALL, most: int = 200) -> int:
-    """Runs after which a pair at the threshold is a candidate with probability recall, at the deepest level.
+def runs(levels: int, recall: float = RECALL, most: int = 200) -> int:
+    """Runs after which a pair at the threshold is a candidate with probability recall, so many levels deep.
 
     The share of its equal coordinates varies around the threshold, which
     CANDIDATE cuts below; of the roots it counts which really split twice.
     """
     equal = range(math.ceil(CANDIDATE * COORDINATES), COORDINATES + 1)
     weight = np.array([math.comb(COORDINATES, k) * THRESHOLD**k * (1 - THRESHOLD) ** (COORDINATES - k) for k in equal])
-    below = np.array([k / COORDINATES * survival(DEPTH - 1, k / COORDINATES) for k in equal])
+    below = np.array([k / COORDINATES * survival(levels - 1, k / COORDINATES) for k in equal])
     miss = np.ones(len(weight))
     for n, twice in enumerate(_twice(starts(most)), 1):
         miss = miss * (1 - below) ** (2 if twice else 1)
@@ -145,8 +150,8 @@ def _descend(path: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np
     return path, rows
 
 
-def _paths(df: DataFrame, first: bool) -> DataFrame:
-    """(path, node) of nodes (node, sketch), or of (node, sketch, path) further down."""
+def _paths(df: DataFrame, n_runs: int = 0) -> DataFrame:
+    """(path, node) of nodes (node, sketch) in so many runs, or of (node, sketch, path) further down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +160,8 @@ def _paths(df: DataFrame, first: bool) -> DataFrame:
                 node = part.column(0).to_numpy()
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 own = np.arange(len(node))
-                if first:
-                    start = [(np.full(len(node), start, np.uint64), own) for start in starts(runs())]
+                if n_runs:
+                    start = [(np.full(len(node), start, np.uint64), own) for start in starts(n_runs)]
                 else:
                     start = [(part.column(2).to_numpy().view(np.uint64), own)]
                 for path, rows in start:
@@ -166,11 +171,10 @@ def _paths(df: DataFrame, first: bool) -> DataFrame:
     return df.mapInArrow(run, "path long, node long")
 
 
-def blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """rows (key, node, size, ...) with group and side: one group if size is small, else a group for each pair of blocks."""
-    n = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
+def blocks(rows: DataFrame, key: str, size: Column) -> DataFrame:
+    """rows (key, node, ...) with group and side: one group if size (in blocks) is at most two, else a group for each pair of blocks."""
     return (
-        rows.withColumn("_n", F.when(F.col(size) <= 2 * block, 1).otherwise(n))
+        rows.withColumn("_n", F.when(size <= 2, 1).otherwise(F.ceil(size)).cast("int"))
         .withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_n")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
         .withColumn("group", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
@@ -253,11 +257,11 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(t: pa.Table) -> list[np.ndarray] | None:
-    """(node, root, links) of the rows (group, node, side, weight, text): exact similarity."""
+    """(node, root, links) of the rows (group, node, side, weight, hashes): exact similarity."""
     if t.num_rows < 2:
         return None
     node, side, weight = (t.column(k).to_numpy() for k in (1, 2, 3))
-    sets = [s for _, s in shingle_sets(t.column(4).combine_chunks())]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(4)]
     n = np.array([len(s) for s in sets])
     inner = intersections(sets)
     # inner / (n + n - inner) >= 4 / 5, in whole numbers
@@ -265,41 +269,69 @@ def _verified(t: pa.Table) -> list[np.ndarray] | None:
     return [node, _roots(linked, node), (linked * weight[None, :]).sum(1)]
 
 
+def _hash_sets(df: DataFrame) -> DataFrame:
+    """(label, node, weight, hashes) of rows (label, node, weight, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sets = zip(*((i, s.tobytes()) for i, s in shingle_sets(batch.column(3))), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[:3]), pa.array(sets, pa.binary())], names=["label", "node", "weight", "hashes"])
+
+    return df.select("label", "node", "weight", "text").mapInArrow(run, "label long, node long, weight long, hashes binary")
+
+
+def _compared(paths: DataFrame, sketches: DataFrame, folder: str, name: str, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(star edges (u, v) found in buckets, sizes of buckets) of paths (path, node). All buckets are compared if last, else the small ones."""
+    paths = written(paths, folder, f"paths-{name}")
+    sizes = written(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), folder, f"sizes-{name}")
+    members = paths.join((sizes if last else sizes.where(F.col("size") <= BUCKET)).hint("merge"), "path")
+    members = blocks(members, "path", F.col("size") / (BUCKET // 2)).join(sketches.hint("merge"), "node")
+    edges = in_groups(members.select("group", "node", "side", "sketch"), _candidates, "u long, v long")
+    return written(edges.distinct(), folder, f"edges-{name}"), sizes
+
+
+def _candidate_edges(sketches: DataFrame, folder: str) -> DataFrame:
+    """Star edges (u, v) of pairs that are likely similar: runs of splits, brute force in small buckets."""
+
+    def in_large(paths: DataFrame, sizes: DataFrame) -> DataFrame:
+        return paths.join(sizes.where(F.col("size") > BUCKET).select("path").hint("merge"), "path")
+
+    read = lambda name: sketches.sparkSession.read.parquet(f"{folder}/paths-{name}")
+    edges, sizes = _compared(_paths(sketches, runs(LEVELS)), sketches, folder, "all", False)
+    large = written(in_large(read("all"), sizes).select("node").distinct(), folder, "large")
+    if large.isEmpty():
+        return edges
+    # sets of large buckets: more runs, split level after level
+    own = written(sketches.join(large.hint("merge"), "node"), folder, "large-sketches")
+    paths = _paths(own, runs(DEPTH))
+    for level in range(LEVELS, DEPTH + 1, LEVELS):
+        more, sizes = _compared(paths, own, folder, str(level), level >= DEPTH)
+        edges = edges.union(more)
+        if sizes.where(F.col("size") > BUCKET).isEmpty():
+            break
+        paths = _paths(in_large(read(level), sizes).join(own.hint("merge"), "node").select("node", "sketch", "path")).distinct()
+    return edges
+
+
 def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
     """(node, class_id, n_links) of rows (uid, node, sketch, text, ...); a class has the least name of its rows.
 
-    The large sides are merged on sorted keys at every size, never broadcast by chance.
+    The large sides are merged on sorted keys. Only the ids of candidates go to
+    all executors where they are few (SMALL_ROWS), so that the texts stay in place.
     """
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid"), F.min(name).alias("least"), F.count("*").alias("weight"))
     nodes = written(nodes, folder, "nodes")
     sketches = written(rows.select("uid", "sketch").join(nodes.select("uid", "node").hint("merge"), "uid").select("node", "sketch"), folder, "sketches")
-
-    # candidates: runs of splits, brute force in small buckets
-    found = []
-    level, paths = LEVELS, _paths(sketches, True)
-    while True:
-        paths = written(paths, folder, f"paths-{level}")
-        sizes = written(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), folder, f"sizes-{level}")
-        last = level >= DEPTH
-        members = paths.join((sizes if last else sizes.where(F.col("size") <= BUCKET)).hint("merge"), "path")
-        members = blocks(members, "path", "size", BUCKET // 2).join(sketches.hint("merge"), "node")
-        edges = in_groups(members.select("group", "node", "side", "sketch"), _candidates, "u long, v long")
-        found.append(written(edges.distinct(), folder, f"edges-{level}"))
-        if last or sizes.where(F.col("size") > BUCKET).isEmpty():
-            break
-        large = paths.join(sizes.where(F.col("size") > BUCKET).select("path"), "path").join(sketches, "node")
-        paths = _paths(large.select("node", "sketch", "path"), False).distinct()
-        level += LEVELS
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
+    edges = _candidate_edges(sketches, folder)
     groups = written(components(edges, f"{folder}/candidates"), folder, "groups")
 
     # every pair of a candidate component, exactly
-    sizes = written(groups.groupBy("label").agg(F.count("*").alias("size")), folder, "group-sizes")
-    members = written(groups.join(sizes, "label").join(nodes.select("node", "uid", "weight"), "node"), folder, "members")
-    texts = written(rows.select("uid", "text").join(members.hint("merge"), "uid"), folder, "texts")
-    compared = in_groups(blocks(texts, "label", "size", BLOCK).select("group", "node", "side", "weight", "text"), _verified, "node long, root long, links long")
+    members = written(groups.join(nodes.select("node", "uid", "weight").hint("merge"), "node"), folder, "members")
+    few = members.hint("broadcast" if members.count() <= SMALL_ROWS else "merge")
+    sets = written(_hash_sets(rows.select("uid", "text").join(few, "uid")), folder, "sets")
+    sizes = written(sets.groupBy("label").agg(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("hashes")) / BLOCK_BYTES).alias("size")), folder, "group-sizes")
+    parts = blocks(sets.join(sizes, "label"), "label", F.col("size"))
+    compared = in_groups(parts.select("group", "node", "side", "weight", "hashes"), _verified, "node long, root long, links long")
     compared = written(compared.groupBy("node", "root").agg(F.sum("links").alias("links")), folder, "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), f"{folder}/links")
@@ -309,8 +341,9 @@ def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
     tied = tied.join(least, "label").select("node", "class_id", "links")
     final = nodes.join(tied, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     final = written(final, folder, "final")
-    work = [f"{kind}-{k}" for k in range(LEVELS, level + 1, LEVELS) for kind in ("paths", "sizes", "edges")]
-    discard(rows.sparkSession, folder, *work, "nodes", "sketches", "candidates", "groups", "group-sizes", "members", "texts", "compared", "links", "linked", "tied", "least")
+    levels = ["all", *map(str, range(LEVELS, DEPTH + 1, LEVELS))]
+    work = [f"{kind}-{k}" for k in levels for kind in ("paths", "sizes", "edges")]
+    discard(rows.sparkSession, folder, *work, "large", "large-sketches", "nodes", "sketches", "candidates", "groups", "group-sizes", "members", "sets", "compared", "links", "linked", "tied", "least")
     return final
 
 

@@ -43,10 +43,12 @@ def corpus(rng, groups, most):
     return docs
 
 
-@pytest.mark.parametrize("bucket", [400, 6])
-def test_against_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "block_bytes", "small"), [(400, 1 << 24, 10**6), (6, 1 << 24, 0), (6, 2000, 0)])
+def test_against_brute_force(spark, monkeypatch, bucket, block_bytes, small):
     monkeypatch.setattr(nd, "BUCKET", bucket)
     monkeypatch.setattr(nd, "BLOCK", bucket // 2)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(nd, "SMALL_ROWS", small)
     rng = random.Random(11)
     docs = corpus(rng, 60, 9) + [None, "", " \n", "a b", "A  B", "a b c", "long " * 60_000, "long " * 60_000]
     docs = list(enumerate(docs)) + [(3, None), (700, docs[5]), (701, docs[5])]
@@ -62,7 +64,8 @@ def test_empty_and_null_ids(spark):
 
 
 def test_recall_of_runs():
-    assert 1 - (1 - nd.survival(nd.LEVELS)) ** nd.runs() >= nd.RECALL
+    assert 1 - (1 - nd.survival(nd.LEVELS)) ** nd.runs(nd.LEVELS) >= nd.RECALL
+    assert nd.runs(nd.LEVELS) < nd.runs(nd.DEPTH)
 
 
 def test_recall_at_the_deepest_level():
@@ -72,7 +75,7 @@ def test_recall_at_the_deepest_level():
     one = rng.integers(0, 2**16, (n, nd.COORDINATES)).astype(np.uint16)
     two = np.where(rng.random(one.shape) < nd.THRESHOLD, one, rng.integers(0, 2**16, one.shape).astype(np.uint16))
     met = np.zeros(n, bool)
-    for r in range(nd.runs()):
+    for r in range(nd.runs(nd.DEPTH)):
         start = np.full(n, int(nd.tk.mix(np.array([r + 1], np.uint64))[0]), np.uint64)
         sides = []
         for values in (one, two):
