@@ -5,12 +5,13 @@ Chosen-path join (Christiani and Pagh 2017; Christiani, Pagh and Sivertsen
 coordinates. A run splits all sets by the value at a coordinate that the path
 so far selects, and with probability 1/THRESHOLD - 1 by a second one, level
 after level; similar sets stay together in some branch. Buckets of at most
-BUCKET sets are compared by brute force. Sets that fall into a larger bucket
-start anew in more runs, whose large buckets are split further; what is still
-large after DEPTH levels (sets that are nearly equal) is compared in pairs of
-blocks, so that no task holds a large group. Runs repeat until a pair at the
-threshold meets with probability RECALL: for all sets after LEVELS levels, for
-those of large buckets even after DEPTH levels.
+BUCKET sets are compared by brute force, larger ones in random blocks, which
+links what is nearly equal. Sets that fall into a larger bucket then start anew
+in more runs. There a bucket whose sets are all linked already needs no more
+work; large ones are split further, and what is still large after DEPTH levels
+is compared in pairs of blocks, so that no task holds a large group. Runs repeat
+until a pair at the threshold meets with probability RECALL: for all sets after
+LEVELS levels, for those of large buckets even after DEPTH levels.
 
 Equal sets are one node throughout. Compared pairs only link candidates; each
 candidate component is then checked exactly, block by block: every pair of its
@@ -151,24 +152,24 @@ def _descend(path: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np
 
 
 def _paths(df: DataFrame, n_runs: int = 0) -> DataFrame:
-    """(path, node) of nodes (node, sketch) in so many runs, or of (node, sketch, path) further down."""
+    """(path, node, label) of sets (node, label, sketch) in so many runs, or of (node, label, sketch, path) further down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                node = part.column(0).to_numpy()
-                values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+                node, label = part.column(0).to_numpy(), part.column(1).to_numpy()
+                values = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 own = np.arange(len(node))
                 if n_runs:
                     start = [(np.full(len(node), start, np.uint64), own) for start in starts(n_runs)]
                 else:
-                    start = [(part.column(2).to_numpy().view(np.uint64), own)]
+                    start = [(part.column(3).to_numpy().view(np.uint64), own)]
                 for path, rows in start:
                     path, rows = _descend(path, rows, values)
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[rows])], names=["path", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[rows]), pa.array(label[rows])], names=["path", "node", "label"])
 
-    return df.mapInArrow(run, "path long, node long")
+    return df.select("node", "label", "sketch", *(() if n_runs else ("path",))).mapInArrow(run, "path long, node long, label long")
 
 
 def blocks(rows: DataFrame, key: str, size: Column) -> DataFrame:
@@ -280,36 +281,44 @@ def _hash_sets(df: DataFrame) -> DataFrame:
     return df.select("label", "node", "weight", "text").mapInArrow(run, "label long, node long, weight long, hashes binary")
 
 
-def _compared(paths: DataFrame, sketches: DataFrame, folder: str, name: str, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(star edges (u, v) found in buckets, sizes of buckets) of paths (path, node). All buckets are compared if last, else the small ones."""
+def _sized(paths: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(paths, sizes (path, size) of the buckets in which not all sets are linked yet), both written."""
     paths = written(paths, folder, f"paths-{name}")
-    sizes = written(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), folder, f"sizes-{name}")
-    members = paths.join((sizes if last else sizes.where(F.col("size") <= BUCKET)).hint("merge"), "path")
-    members = blocks(members, "path", F.col("size") / (BUCKET // 2)).join(sketches.hint("merge"), "node")
-    edges = in_groups(members.select("group", "node", "side", "sketch"), _candidates, "u long, v long")
-    return written(edges.distinct(), folder, f"edges-{name}"), sizes
+    sizes = paths.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b"))
+    return paths, written(sizes.where("size > 1 and a <> b").select("path", "size"), folder, f"sizes-{name}")
 
 
-def _candidate_edges(sketches: DataFrame, folder: str) -> DataFrame:
-    """Star edges (u, v) of pairs that are likely similar: runs of splits, brute force in small buckets."""
+def _edges(members: DataFrame, sketches: DataFrame, folder: str, name: str) -> DataFrame:
+    """Star edges (u, v) among members (group, node, side)."""
+    rows = members.select("group", "node", "side").join(sketches.select("node", "sketch").hint("merge"), "node")
+    found = in_groups(rows.select("group", "node", "side", "sketch"), _candidates, "u long, v long")
+    return written(found.distinct(), folder, f"edges-{name}")
 
-    def in_large(paths: DataFrame, sizes: DataFrame) -> DataFrame:
-        return paths.join(sizes.where(F.col("size") > BUCKET).select("path").hint("merge"), "path")
 
-    read = lambda name: sketches.sparkSession.read.parquet(f"{folder}/paths-{name}")
-    edges, sizes = _compared(_paths(sketches, runs(LEVELS)), sketches, folder, "all", False)
-    large = written(in_large(read("all"), sizes).select("node").distinct(), folder, "large")
+def _candidate_edges(sketches: DataFrame, folder: str) -> DataFrame:
+    """Star edges (u, v) of pairs that are likely similar: runs of splits, brute force in small buckets."""
+    per_block = F.col("size") / (BUCKET // 2)
+    paths, sizes = _sized(_paths(sketches.withColumn("label", F.col("node")), runs(LEVELS)), folder, "all")
+    members = paths.join(sizes.hint("merge"), "path")
+    # a large bucket: one round of random blocks, other ones for each path
+    block = F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("node", "path"), F.ceil(per_block))).otherwise(F.lit(0))
+    edges = _edges(members.select(F.xxhash64("path", block).alias("group"), "node", F.lit(0).alias("side")), sketches, folder, "all")
+    large = written(members.where(F.col("size") > BUCKET).select("node").distinct(), folder, "large")
     if large.isEmpty():
         return edges
-    # sets of large buckets: more runs, split level after level
-    own = written(sketches.join(large.hint("merge"), "node"), folder, "large-sketches")
+    # sets of large buckets: more runs, split level after level, where they are not linked yet
+    linked = components(edges, f"{folder}/first")
+    own = large.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    own = written(sketches.join(own.hint("merge"), "node"), folder, "large-sketches")
     paths = _paths(own, runs(DEPTH))
     for level in range(LEVELS, DEPTH + 1, LEVELS):
-        more, sizes = _compared(paths, own, folder, str(level), level >= DEPTH)
-        edges = edges.union(more)
-        if sizes.where(F.col("size") > BUCKET).isEmpty():
+        paths, sizes = _sized(paths, folder, str(level))
+        wanted = sizes if level >= DEPTH else sizes.where(F.col("size") <= BUCKET)
+        edges = edges.union(_edges(blocks(paths.join(wanted.hint("merge"), "path"), "path", per_block), own, folder, str(level)))
+        rest = sizes.where(F.col("size") > BUCKET).select("path")
+        if level >= DEPTH or rest.isEmpty():
             break
-        paths = _paths(in_large(read(level), sizes).join(own.hint("merge"), "node").select("node", "sketch", "path")).distinct()
+        paths = _paths(paths.join(rest.hint("merge"), "path").select("path", "node").join(own.hint("merge"), "node")).distinct()
     return edges
 
 
@@ -343,7 +352,7 @@ def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
     final = written(final, folder, "final")
     levels = ["all", *map(str, range(LEVELS, DEPTH + 1, LEVELS))]
     work = [f"{kind}-{k}" for k in levels for kind in ("paths", "sizes", "edges")]
-    discard(rows.sparkSession, folder, *work, "large", "large-sketches", "nodes", "sketches", "candidates", "groups", "group-sizes", "members", "sets", "compared", "links", "linked", "tied", "least")
+    discard(rows.sparkSession, folder, *work, "large", "first", "large-sketches", "nodes", "sketches", "candidates", "groups", "group-sizes", "members", "sets", "compared", "links", "linked", "tied", "least")
     return final
 
 
