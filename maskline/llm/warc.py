@@ -1,26 +1,30 @@
 """WARC archives: writing captures, reading records, and assembling transactions.
 
 Each capture becomes three WARC/1.1 records (request, response or revisit, and
-metadata) that WARC-Concurrent-To ties together. Spark's text writer lays the
-records out (each followed by two CRLF), so the archives can live in any store
-that Spark reaches; ``maxRecordsPerFile`` bounds a file. Reading parses whole
-files by Content-Length, and transactions are assembled by grouping records on
-the identifier of their capture.
+metadata) that WARC-Concurrent-To ties together. Every record is a gzip member
+of its own, as the standard asks, and each archive begins with a warcinfo
+record. A task fills archives of about FILE_BYTES compressed bytes, one row of
+a text table each, so that Spark's writer puts them into any store that it
+reaches. It ends a row with a separator: here an empty gzip member, which
+decompresses to nothing. Reading takes one member after another from an
+archive's bytes and never holds an archive decompressed; transactions are
+assembled by grouping records on the identifier of their capture.
 
 Among captures with equal payloads of at least ``min_bytes`` the one with the
 largest id is the response and the others revisit it. Defined results: null
 html is an empty payload, a null URL an empty one; rows that repeat the largest
 id of their payload are all responses; a null id is written as ``null`` and
 never the target of a revisit unless no other id has that payload; columns
-beside id, URL and html are ignored; an empty table gives empty archives.
+beside id, URL and html are ignored; an empty table gives empty archives. A
+payload larger than FILE_BYTES has an archive of its own.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 
 from maskline.llm.stage import shared_dir, table, written
 
-#: Records in one archive file: a file is read by one task, whole.
-RECORDS_PER_FILE = 3000
+#: Compressed bytes from which an archive is full: an archive is read by one task.
+FILE_BYTES = 16 << 20
+LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -49,6 +54,18 @@ def record(kind: str, record_id: str, uri: str, headers: list[tuple[str, str]],
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+def member(data: bytes) -> bytes:
+    """data as one gzip member."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _info(name: str) -> bytes:
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields"]
+    block = b"format: WARC File Format 1.1\r\n"
+    return member("\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
 def _clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]+", "%20", url or "")
 
@@ -85,36 +102,56 @@ def with_revisits(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
 
 
 def write_archives(captures: DataFrame, path: str) -> None:
-    """Write (page_id, url, html, refers_to) as gzip-compressed WARC files under path."""
+    """Write (page_id, url, html, refers_to) as WARC files under path, a gzip member for each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, files, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join([_info(f"{part}.{files}"), *held])], pa.binary())], names=["value"])
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                out: list[bytes] = []
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
-                    out += _capture(page_id, url, html, refers_to, f"{part}.{n}")
+                    for x in _capture(page_id, url, html, refers_to, f"{part}.{n}"):
+                        held.append(member(x + b"\r\n\r\n"))
+                        size += len(held[-1])
                     n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+                    if size >= FILE_BYTES:
+                        yield done()
+                        files, held, size = files + 1, [], 0
+        if held:
+            yield done()
 
-    rows = captures.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value string")
-    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    rows = captures.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary")
+    # bytes pass through a text column and the writer as they are; the separator is an empty member
+    rows.select(F.col("value").cast("string")).write.option("lineSep", member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record."""
-    at = 0
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What the gzip members of an archive hold, one after another."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        head = data[at:stop].decode().split("\r\n")
-        if stop < 0 or not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        size = int(headers["content-length"])
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
+        unpack, out = zlib.decompressobj(31), []
+        while not unpack.eof and at < len(data):
+            part = view[at : at + step]
+            out.append(unpack.decompress(part))
+            at += len(part) - len(unpack.unused_data)
+        yield b"".join(out)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record of plain bytes, or of an archive of gzip members."""
+    for plain in members(data) if data[:2] == b"\x1f\x8b" else (data,):
+        at = 0
+        while at < len(plain):
+            stop = plain.find(b"\r\n\r\n", at)
+            head = plain[at:stop].decode().split("\r\n")
+            if stop < 0 or not head[0].startswith("WARC/"):
+                raise ValueError(f"no WARC record at byte {at}")
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+            size = int(headers["content-length"])
+            yield headers, plain[stop + 4 : stop + 4 + size]
+            at = stop + 4 + size + 4
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -156,13 +193,15 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data, rows = content.as_py(), []
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                for headers, block in parse(data):
+                rows, size = [], 0
+                for headers, block in parse(content.as_py()):
+                    if headers["warc-type"] == "warcinfo":
+                        continue
                     rows.append(_row(headers, block, payload))
-                    if len(rows) == 500:
+                    size += len(block) if payload else 0
+                    if len(rows) == 500 or size > FILE_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, wanted)
-                        rows = []
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, wanted)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)

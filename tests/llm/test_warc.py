@@ -35,3 +35,20 @@ def test_empty(spark):
     folder = shared_dir(spark)
     w.write_archives(w.with_revisits(spark.createDataFrame([], "page_id long, url string, html string"), folder), folder + "/warc")
     assert w.transactions(w.read_records(spark, folder + "/warc")).count() == 0
+
+
+def test_each_record_is_a_member_and_files_are_bounded(spark, monkeypatch):
+    import gzip
+    import random
+
+    monkeypatch.setattr(w, "FILE_BYTES", 20_000)
+    rng, folder = random.Random(1), shared_dir(spark)
+    rows = [(i, "http://a.org/", "".join(rng.choice("abcdefgh<>") for _ in range(3000)), None) for i in range(60)]
+    w.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, refers_to long").coalesce(2), folder + "/warc")
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(folder + "/warc").collect()]
+    assert len(files) > 3 and all(len(f) < 30_000 for f in files)
+    for f in files:
+        parts = list(w.members(f))
+        assert parts[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and all(p.startswith(b"WARC/1.1") and p.endswith(b"\r\n\r\n") for p in parts if p)
+        assert gzip.decompress(f) == b"".join(parts) and sum(1 for _ in w.parse(f)) == sum(bool(p) for p in parts)
+    assert w.transactions(w.read_records(spark, folder + "/warc")).count() == 60
