@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskline.queries import harvesting, mapping, masking, scalars  # noqa: F401  (they register)
+from maskline.queries import harvesting, mapping, masking, runs, scalars  # noqa: F401  (they register)
 from maskline.queries.base import ORACLES, QUERIES
 
 FLAGSHIP = "mask_documents"

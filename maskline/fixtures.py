@@ -45,6 +45,15 @@ SELECT concat(cast(1 + s_suppkey % 900 AS string), ' Old ', translate(cast(s_sup
  concat('Ho', translate(lpad(cast(s_suppkey AS string),5,'0'),'0123456789','bdfgklmnpr'),' LLC') AS llc,
  concat('xxxx', lpad(cast(s_suppkey * 13 % 10000 AS string),4,'0')) AS bank1
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "holdings": """
+SELECT address, prop, llc, bank1 FROM properties
+UNION ALL SELECT address, concat(prop, 'B'), concat('Al', llc), '' FROM properties WHERE prop LIKE '%1%'
+UNION ALL SELECT '', concat(prop, '7'), '', 'cash' FROM properties WHERE prop LIKE '%2%'
+UNION ALL SELECT ', ', concat(prop, '8'), concat('Ov', llc), '' FROM properties WHERE prop LIKE '%3%'""",
+    "owners": """
+SELECT category, term FROM terms WHERE category <> 'Names' OR term LIKE '% %5%' OR length(term) < 6
+UNION ALL SELECT 'Names', substr(llc, 1, length(llc) - 4) FROM properties WHERE prop LIKE '%4%'
+UNION ALL SELECT 'Names', concat(substr(llc, 1, length(llc) - 4), ' CK') FROM properties WHERE prop LIKE '%5%'""",
     "accounts": """
 SELECT concat(given,' ',family,suffix) AS account, concat('xxxx',l4) AS account_num,
  concat(given,' ',family,suffix,' - xxxx',l4,' (',upper(substr(md5(cast(id AS string)),1,4)),')') AS unique_account_identifier
@@ -67,6 +76,8 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "ledger": ("orders", "people", "nation", "region"),
     "terms": ("people", "nation", "region"),
     "properties": ("supplier", "nation"),
+    "holdings": ("properties",),
+    "owners": ("terms", "properties"),
     "accounts": ("people",),
     "statements": ("events",),
 }

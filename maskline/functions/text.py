@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Account-type words that end an account name. Fixed values.
-SUFFIXES = ("ck", "chk", "checking", "sav", "savings", "llc", "inc", "corp", "co", "ltd", "lp", "trust", "visa", "mc", "mastercard", "amex", "card", "cc", "loan", "mortgage", "heloc", "ira", "mm", "cd", "acct", "account")
+SUFFIXES = ("ck", "chk", "checking", "check", "savings", "sav", "sv", "llc", "inc", "corp", "co", "trust", "mgmt", "holdings", "ops", "fund", "escrow", "bus", "business", "biz", "visa", "card", "cc", "loan", "paypal", "credit")
 #: Words in a column's name that mark money, and whole names of statement columns. Fixed values.
-MONEY_WORDS = ("amount", "balance", "value", "price", "cash", "deposit", "mortgage", "building", "land", "rent", "total", "cost", "equity", "loan")
-MONEY_NAMES = ("amount", "running bal.", "running balance", "balance", "debit", "credit", "summary amt.")
+MONEY_WORDS = ("amount", "balance", "deposit", "building", "land", "depreciation", "mortgage", "cash", "rent", "value", "price", "cost", "fee", "income", "expense")
+MONEY_NAMES = ("amount", "running bal.", "running balance", "balance", "summary amt.")
 
 SPACE = r"^\s+|\s+$"
 WORD = r"[\p{L}\p{N}]+"
@@ -31,6 +31,11 @@ def digit_runs(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d{5,}"), F.lit(0))
 
 
+def all_digits(c: Column) -> Column:
+    """Every maximal run of digits."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), F.lit(0))
+
+
 def alnum_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
 
@@ -58,7 +63,7 @@ def bare_form(key: Column) -> Column:
 def split_core(c: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """Struct (core, suffix): an account-type word at the end of two or more words is the suffix."""
     words = F.split(F.trim(c), r"\s+")
-    last = F.lower(F.regexp_replace(F.element_at(words, -1), "[.,]+$", ""))
+    last = F.lower(F.regexp_replace(F.element_at(words, -1), "^[.,]+|[.,]+$", ""))
     cut = (F.size(words) > 1) & last.isin(*suffixes)
     return F.struct(
         F.when(cut, F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " ")).otherwise(F.array_join(words, " ")).alias("core"),
@@ -77,10 +82,10 @@ def parse_address(c: Column) -> Column:
     """Struct (street, city, state, zip) of a comma-separated address; empty where absent."""
     parts = F.filter(F.transform(F.split(c, ","), lambda s: F.trim(s)), lambda x: x != "")
     part = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
-    before = F.regexp_extract(c, r"\b([A-Z]{2})\b[ ,]*\b\d{5}\b", 1)
+    before = F.regexp_extract(c, r"\b([A-Za-z]{2})\b[,\s]*\d{5}", 1)
     return F.struct(
         part(0).alias("street"), part(1).alias("city"),
-        F.coalesce(F.nullif(before, F.lit("")), F.regexp_extract(c, r",\s*([A-Z]{2})\b", 1)).alias("state"),
+        F.coalesce(F.nullif(before, F.lit("")), F.regexp_extract(c, r",\s*([A-Za-z]{2})\b", 1)).alias("state"),
         F.regexp_extract(c, r"\b(\d{5})\b", 1).alias("zip"),
     )
 
@@ -119,20 +124,22 @@ def scrub_codes(c: Column, seed: str) -> Column:
 
 
 def property_code(street: Column) -> Column:
-    """At most three digits of the number, a dash, and the first three letters of the street's name, in capitals."""
-    number = F.substring(F.regexp_extract(street, r"^\s*(\d+)", 1), 1, 3)
-    letters = F.regexp_replace(F.regexp_replace(street, r"^\s*\d+\s*", ""), "[^A-Za-z]", "")
-    return F.concat(number, F.lit("-"), F.upper(F.substring(letters, 1, 3)))
+    """Three characters of the street's number at most, a dash, and the first three letters of the word after it, in capitals."""
+    parts = F.split(F.trim(street), r"\s+")
+    letters = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"[^\p{L}]", "")
+    return F.concat(F.substring(F.get(parts, F.lit(0)), 1, 3), F.lit("-"), F.upper(F.substring(letters, 1, 3)))
 
 
-#: ``1,234.56`` with an optional sign or ``$`` in either order, or in parentheses.
-MONEY = r"^\s*(?:[-+]?\$?|\$[-+])\s*\d[\d,]*(?:\.\d+)?\s*$|^\s*\(\s*\$?\s*\d[\d,]*(?:\.\d+)?\s*\)\s*$"
+#: ``1,234.56``: two decimals, with an optional minus or ``$`` in either order, and parentheses on both sides or on none.
+MONEY = r"^\s*(?:-?\$?|\$-)[0-9,]+\.[0-9]{2}\s*$|^\s*\(-?\$?[0-9,]+\.[0-9]{2}\)\s*$"
+AMOUNT = "decimal(18,2)"
 
 
 def parse_money(c: Column) -> Column:
-    """decimal(18,2), or null where the text is no amount; parentheses and a minus are negative."""
-    number = F.regexp_replace(c, r"[^0-9.]", "").cast("decimal(18,2)")
-    return F.when(c.rlike(MONEY), F.when(c.rlike(r"[-(]"), -number).otherwise(number).cast("decimal(18,2)"))
+    """decimal(18,2), or null where the text is no amount or too large; parentheses or a minus are negative, both positive."""
+    number = F.regexp_replace(c, r"[^0-9.]", "").try_cast(AMOUNT)
+    negative = c.rlike(r"\(") != c.contains("-")
+    return F.when(c.rlike(MONEY), F.when(negative, -number).otherwise(number).cast(AMOUNT))
 
 
 def format_money(value: Column, original: Column) -> Column:
@@ -141,14 +148,14 @@ def format_money(value: Column, original: Column) -> Column:
 
 
 def scale(value: Column, factor: str) -> Column:
-    """A decimal amount times a factor (decimal text), rounded half up to cents."""
-    return F.round(value.cast("decimal(18,2)") * F.lit(factor).cast("decimal(6,4)"), 2).cast("decimal(18,2)")
+    """A decimal amount times a factor (decimal text), rounded half up to cents; null where it outgrows decimal(18,2)."""
+    return F.round(value.try_cast(AMOUNT) * F.lit(factor).cast("decimal(6,4)"), 2).try_cast(AMOUNT)
 
 
 def scale_amount_text(c: Column, factor: str) -> Column:
     """Text amounts scaled; other text unchanged."""
-    value = parse_money(c)
-    return F.when(value.isNotNull(), format_money(scale(value, factor), c)).otherwise(c)
+    value = scale(parse_money(c), factor)
+    return F.when(value.isNotNull(), format_money(value, c)).otherwise(c)
 
 
 def is_date_like(c: Column) -> Column:
@@ -174,13 +181,22 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def word_runs(tokens: Column, longest: int) -> Column:
+    """Array of struct (at, run): at each word, from 1, the run of at most longest words that begins there."""
+    return F.transform(tokens, lambda w, i: F.struct((i + 1).alias("at"), F.slice(tokens, i + 1, longest).alias("run")))
+
+
 def ngrams(tokens: Column, longest: int) -> Column:
-    """Array of struct (at, n, gram): every run of 1 to longest words, joined by one space."""
+    """Array of struct (at, n, gram): every run of 1 to longest words, joined by one space. For short texts."""
     runs = lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<at:int,n:int,gram:string>>"))
     return F.concat(*(runs(n) for n in range(1, longest + 1)))
 
 
-def clip(text: Column, start: Column, size: Column, around: int = 25) -> Column:
-    """What surrounds a hit, without line breaks or tabs."""
-    first = F.greatest(start - around, F.lit(1))
-    return F.translate(F.substr(text, first, start - first + size + around), "\n\r\t", "   ")
+def clip(text: Column, at: Column, n: Column, around: int = 25) -> Column:
+    """What surrounds the n words from word at (from 1) of a text, without line breaks or tabs."""
+    parts = F.regexp_extract_all(text, F.lit(rf"[^\p{{L}}\p{{N}}]*{WORD}"), F.lit(0))
+    upto = lambda k: F.length(F.array_join(F.slice(parts, F.lit(1), k), ""))
+    word = F.length(F.regexp_extract(F.get(parts, at - 1), WORD, 0))
+    start, end = upto(at) - word, upto(at + n - 1)
+    first = F.greatest(start - around, F.lit(0))
+    return F.translate(F.substr(text, first + 1, end - first + around), "\n\r\t", "   ")

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from maskline.functions import text as t
 from maskline.operators.identifiers import locate_terms
+from maskline.shared import shared_dir, written
 
 
 def leak_terms(terms: DataFrame, names: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(category, term): words (listed terms, account names) and digits (last fours, runs, codes) that must not come out."""
+    """(category, term): words (listed terms, account names) and digits (what numbers holds in term: last fours, runs, codes) that must not come out."""
     word = terms.select(F.lit("word").alias("category"), "term").union(names.select(F.lit("word"), "term"))
     return word.union(numbers.select(F.lit("digit"), "term")).where("term <> ''").distinct()
 
 
-def leak_scan(df: DataFrame, id_col: str, columns: Sequence[str], terms: DataFrame, longest: int = 3) -> DataFrame:
+def leak_scan(df: DataFrame, id_col: str, columns: Sequence[str], terms: DataFrame) -> DataFrame:
     """(id, column, kind, hit): one leak per cell; words before digits, then the first place, then the longest term."""
-    found = locate_terms(df, id_col, list(columns), terms, longest)
+    found = locate_terms(df, id_col, list(columns), terms)
     first = F.min(F.struct((F.col("category") != "word").alias("p"), "at", (-F.col("n")).alias("n"), "category", "term")).alias("b")
     return found.groupBy(id_col, "column").agg(first).select(id_col, "column", F.col("b.category").alias("kind"), F.col("b.term").alias("hit"))
 
@@ -36,25 +37,40 @@ def leak_gate(before: DataFrame, after: DataFrame) -> DataFrame:
     return counts.withColumn("passed", (F.col("leaks_before") > 0) & (F.col("leaks_after") == 0))
 
 
-def blacklist_scan(tables: dict[str, tuple[DataFrame, str, Sequence[str]]], terms: DataFrame, longest: int = 3) -> DataFrame:
-    """(table, term, n_cells, first_id): blacklist terms in all cells of all tables, with the first row that has each."""
+def first_leaks(leaks: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
+    """The first n leaks (or failing rules) for a report."""
+    return leaks.orderBy(*order).limit(n)
+
+
+def blacklist_scan(tables: dict[str, tuple[DataFrame, str, Sequence[str]]], terms: DataFrame) -> DataFrame:
+    """(table, term, n_cells, first_id, column, context): blacklist terms in all cells of all tables, with the first cell that has each and what surrounds it."""
     out = None
     for name, (df, id_col, columns) in tables.items():
-        hits = locate_terms(df, id_col, list(columns), terms, longest).select(F.lit(name).alias("table"), "term", F.col(id_col).cast("bigint").alias("id"), "column").distinct()
-        out = hits if out is None else out.union(hits)
-    return out.groupBy("table", "term").agg(F.count("*").alias("n_cells"), F.min("id").alias("first_id"))
+        hits = locate_terms(df, id_col, list(columns), terms, cells=True)
+        hits = hits.select(F.lit(name).alias("table"), "term", F.col(id_col).cast("string").alias("id"), "column", "at", "n", "cell")
+        # one row per cell, then one per term: no cell is counted twice and no list is built
+        cells = hits.groupBy("table", "term", "id", "column").agg(F.min(F.struct("at", "n")).alias("at"), F.any_value("cell").alias("cell"))
+        first = F.min_by(F.struct("id", "column", "at", "cell"), F.struct(F.length("id"), "id", "column")).alias("f")
+        part = cells.groupBy("table", "term").agg(F.count("*").alias("n_cells"), first)
+        out = part if out is None else out.union(part)
+    context = t.clip(F.col("f.cell"), F.col("f.at.at"), F.col("f.at.n"))
+    return out.select("table", "term", "n_cells", F.col("f.id").alias("first_id"), "f.column", context.alias("context"))
 
 
-def hit_counts(before: DataFrame, after: DataFrame, id_col: str, column: str, rules: DataFrame) -> DataFrame:
+def hit_counts(before: DataFrame, after: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     """(rule, mode, before, after, passed) of rules (rule, mode, real, fake): matches of the real in the input and of the fake in the output.
 
-    Mode exact wants equal counts, drop wants none of the real left, info always passes. Case does not count.
+    Mode exact wants equal counts, drop wants none of the real left, info always passes. Case does not count; reals and fakes are
+    single words. The rules are written once, as each side reads them.
     """
-    count = lambda df, side, as_name: (
-        df.select(F.explode(t.alnum_tokens(F.lower(column))).alias("w")).join(rules.select("rule", F.lower(side).alias("w")), "w").groupBy("rule").agg(F.count("*").alias(as_name))
-    )
+    rules = written(rules, shared_dir(before.sparkSession), "rules")
+    side = lambda c: F.struct(F.lower(c).alias("w"), F.lit(c).alias("side"))
+    sides = rules.select("rule", F.explode(F.array(side("real"), side("fake"))).alias("x")).select("rule", "x.*")
+    found = lambda df: df.select(F.explode(t.alnum_tokens(F.lower(column))).alias("w")).join(sides, "w").groupBy("rule")
+    one = found(before).agg(F.count_if(F.col("side") == "real").alias("before"))
+    two = found(after).agg(F.count_if(F.col("side") == "fake").alias("after"), F.count_if(F.col("side") == "real").alias("left_over"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    both = rules.select("rule", "mode").distinct().join(count(before, "real", "before"), "rule", "left").join(count(after, "fake", "after"), "rule", "left").join(count(after, "real", "left_over"), "rule", "left")
+    both = rules.select("rule", "mode").distinct().join(one, "rule", "left").join(two, "rule", "left")
     passed = F.when(F.col("mode") == "exact", F.col("before") == F.col("after")).when(F.col("mode") == "drop", F.col("left_over") == 0).otherwise(True)
     return both.select("rule", "mode", zero("before"), zero("after"), zero("left_over")).withColumn("passed", passed)
 

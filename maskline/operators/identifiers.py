@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskline.functions import text as t
+from maskline.shared import shared_dir, written
+
+#: First words of terms, with lengths, that are sent to all executors; more are joined.
+FIRST_WORDS = 1_000_000
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -84,26 +88,32 @@ def blacklist_coverage(terms: DataFrame) -> DataFrame:
     return black.join(listed, "k", "left").select("term", F.coalesce("hit", F.lit(False)).alias("covered"))
 
 
-def term_keys(terms: DataFrame, longest: int) -> DataFrame:
-    """terms with gram: their words in lower case; terms of more than longest words are an error downstream, so they are checked here."""
-    words = t.words(F.col("term"))
-    return terms.withColumn("n_words", F.size(words)).where((F.col("n_words") > 0) & (F.assert_true(F.col("n_words") <= longest, F.lit("a term has too many words")).isNull())).withColumn("gram", F.array_join(words, " "))
-
-
-def cell_grams(df: DataFrame, id_col: str, columns: list[str], longest: int) -> DataFrame:
-    """(id, column, at, n, gram): runs of words of each cell."""
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")) for c in columns))).alias("x")
-    grams = df.select(id_col, cells).select(id_col, "x.column", F.explode(t.ngrams(t.words(F.col("x.cell")), longest)).alias("g"))
-    return grams.select(id_col, "column", "g.at", "g.n", "g.gram")
+def term_keys(terms: DataFrame) -> DataFrame:
+    """terms with gram, their words in lower case joined by one space, first (its first word) and n_words; terms without words go."""
+    keyed = terms.withColumn("_w", t.words(F.col("term"))).where(F.size("_w") > 0)
+    return keyed.select(*terms.columns, F.array_join("_w", " ").alias("gram"), F.get("_w", F.lit(0)).alias("first"), F.size("_w").alias("n_words"))
 
 
-def locate_terms(df: DataFrame, id_col: str, columns: list[str], terms: DataFrame, longest: int = 3) -> DataFrame:
-    """(id, column, at, n, category, term): every place where a term stands as whole words.
+def locate_terms(df: DataFrame, id_col: str, columns: list[str], terms: DataFrame, keep: tuple[str, ...] = ("category", "term"), cells: bool = False) -> DataFrame:
+    """(id, column, at, n, kept columns of terms): every place where a term (column term) stands as whole words, with its cell if asked.
 
-    An equi-join on runs of words, never a scan of all terms for each cell. Only
-    the keys that can match are shuffled: runs meet the terms on their text.
+    Words are found once per cell. A word that begins no term is dropped where it
+    is read; for the others the runs of the lengths that terms with that first
+    word have meet the terms by equality. So only runs that can match are
+    shuffled, and a cell costs time in proportion to its words.
     """
-    return cell_grams(df, id_col, columns, longest).join(term_keys(terms, longest).select("category", "term", "gram"), "gram").select(id_col, "column", "at", "n", "category", "term")
+    keys = written(term_keys(terms).select(*keep, "gram", "first", "n_words"), shared_dir(df.sparkSession), "terms")
+    firsts = keys.select("first", "n_words").distinct()
+    longest, n = firsts.agg(F.max("n_words"), F.count("*")).first()
+    firsts = firsts.hint("broadcast") if n <= FIRST_WORDS else firsts
+    one = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")) for c in columns))).alias("x")
+    words = df.select(id_col, one).select(id_col, "x.column", "x.cell", t.words(F.col("x.cell")).alias("_w"))
+    extra = ["cell"] if cells else []
+    places = words.select(id_col, "column", *extra, F.explode(t.word_runs(F.col("_w"), longest or 1)).alias("p"))
+    places = places.select(id_col, "column", *extra, "p.at", "p.run", F.get("p.run", F.lit(0)).alias("first"))
+    runs = places.join(firsts, "first").where(F.size("run") >= F.col("n_words"))
+    runs = runs.select(id_col, "column", *extra, "at", F.col("n_words").alias("n"), F.array_join(F.slice("run", F.lit(1), F.col("n_words")), " ").alias("gram"))
+    return runs.join(keys.select("gram", *keep), "gram").select(id_col, "column", *extra, "at", "n", *keep)
 
 
 def sample(values: DataFrame, column: str, n: int) -> DataFrame:

@@ -9,9 +9,11 @@ sees a whole category.
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
 from pyspark.sql.window import Window
 
 from maskline.functions import text as t
@@ -25,6 +27,11 @@ STREET_KINDS = ("St", "Ave", "Rd", "Ln")
 RANK_DIGITS = 2
 
 
+def new_seed() -> str:
+    """A seed for a run that names none; it is kept with the mapping, so the run can be repeated."""
+    return secrets.token_hex(3)
+
+
 def hashed(seed: str, category: Column | str, value: Column) -> Column:
     label = F.lit(category) if isinstance(category, str) else category
     return F.sha2(F.concat_ws("|", F.lit(seed), label, value).cast("binary"), 256)
@@ -54,20 +61,34 @@ POOL_WORDS = len(STARTS) * len(MIDDLES) * len(ENDS)
 
 
 def pool(spark: SparkSession, kind: str, size: int) -> DataFrame:
-    """(kind, value): candidates by rule. single: up to 2,000; person: two words; town: a word and its kind; street: number, word and kind."""
+    """(kind, value): candidates by rule. single: one word; person: two words; town: a word and its kind; street: number, word and kind.
+
+    Past the product of its parts each value gets one more invented word, so a pool follows the data.
+    """
     i = F.col("id")
     stride = 7919  # prime to POOL_WORDS, so that second words differ along the pool
-    second = invented((i * stride + (i / POOL_WORDS).cast("bigint")) % POOL_WORDS)
+    most = {"single": POOL_WORDS, "person": POOL_WORDS**2, "town": POOL_WORDS * 4, "street": 999 * POOL_WORDS * 4}[kind]
+    if size > most * POOL_WORDS:
+        raise ValueError(f"pool {kind} has {most * POOL_WORDS} candidates at most")
+    k, more = i % most, (i / most).cast("bigint")
+    second = invented((k * stride + (k / POOL_WORDS).cast("bigint")) % POOL_WORDS)
     value = {
-        "single": invented(i % POOL_WORDS),
-        "person": F.concat_ws(" ", invented(i % POOL_WORDS), second),
-        "town": F.concat_ws(" ", invented(i % POOL_WORDS), _pick(("Falls", "Heights", "Grove", "Harbor"), (i / POOL_WORDS).cast("bigint") % 4)),
-        "street": F.concat_ws(" ", (i % 999 + 1).cast("string"), invented((i / 999).cast("bigint") % POOL_WORDS), _pick(STREET_KINDS, (i / (999 * POOL_WORDS)).cast("bigint") % 4)),
+        "single": invented(k % POOL_WORDS),
+        "person": F.concat_ws(" ", invented(k % POOL_WORDS), second),
+        "town": F.concat_ws(" ", invented(k % POOL_WORDS), _pick(("Falls", "Heights", "Grove", "Harbor"), (k / POOL_WORDS).cast("bigint") % 4)),
+        "street": F.concat_ws(" ", (k % 999 + 1).cast("string"), invented((k / 999).cast("bigint") % POOL_WORDS), _pick(STREET_KINDS, (k / (999 * POOL_WORDS)).cast("bigint") % 4)),
     }[kind]
-    most = {"single": POOL_WORDS, "person": POOL_WORDS**2, "town": POOL_WORDS * 4, "street": 999 * POOL_WORDS * 4}[kind]
-    if size > most:
-        raise ValueError(f"pool {kind} has {most} candidates at most")
-    return spark.range(size).select(F.lit(kind).alias("kind"), value.alias("value"))
+    longer = F.concat(value, F.lower(invented(more - 1))) if kind == "single" else F.concat_ws(" ", value, invented(more - 1))
+    return spark.range(size).select(F.lit(kind).alias("kind"), F.when(more > 0, longer).otherwise(value).alias("value"))
+
+
+#: Least size of each pool; with more reals or forbidden terms it grows (``pool_size``).
+LEAST_POOL = {"single": POOL_WORDS, "person": 40_000, "town": 4_000, "street": 100_000}
+
+
+def pool_size(kind: str, n_reals: int, n_forbidden: int) -> int:
+    """Candidates that leave enough for n_reals when n_forbidden terms strike some out."""
+    return max(LEAST_POOL[kind], 3 * (n_reals + n_forbidden))
 
 
 def allowed(candidates: DataFrame, forbidden: DataFrame) -> DataFrame:
@@ -103,27 +124,30 @@ def numbers(keys: DataFrame, seed: str, digits: int = 4) -> DataFrame:
     return out.where(F.assert_true(F.col("fake_last4").isNotNull(), F.lit("no free account numbers; use more digits")).isNull()).select("key", "fake_last4", F.concat(F.lit("xxxx"), F.col("fake_last4")).alias("fake_number"))
 
 
-@F.udf(LongType())
-def _room(shape: str, most: int) -> int:
-    """How many values have that shape, most at most."""
-    n = 1
-    for c in shape:
-        n = min(most, n * SIZES.get(c, 1))
-    return n
+#: Characters of a shape and how many values each stands for. Fixed values.
+SIZES = {"0": 10, "A": 26, "a": 26}
 
 
-@F.udf(StringType())
-def _nth(shape: str, i: int) -> str:
-    """The i-th value of a shape."""
-    out = []
-    for c in reversed(shape):
-        i, k = divmod(i, SIZES[c]) if c in SIZES else (i, 0)
-        out.append(chr(ord(c) + k))
-    return "".join(reversed(out))
+def shape(c: Column) -> Column:
+    """The text with 0 for digits, A for capitals and a for small letters."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
 
 
-#: Characters of a shape and how many values each stands for.
-SIZES = {"0": 10, "A": 26, "a": 26}
+def _choices(c: Column) -> Column:
+    return F.when(c == "0", 10).when(c.isin("A", "a"), 26).otherwise(1).cast("bigint")
+
+
+def room(shape: Column, most: Column) -> Column:
+    """How many values have that shape, most at most."""
+    return F.aggregate(F.split(shape, ""), F.lit(1).cast("bigint"), lambda n, c: F.least(n * _choices(c), most))
+
+
+def nth(shape: Column, i: Column) -> Column:
+    """The i-th value of a shape, from 0; the last character counts fastest."""
+    start = F.struct(i.cast("bigint").alias("i"), F.lit("").alias("text"))
+    step = lambda acc, c: F.struct((acc["i"] / _choices(c)).cast("bigint").alias("i"), F.concat(F.char(F.ascii(c) + acc["i"] % _choices(c)), acc["text"]).alias("text"))
+    plain = lambda acc, c: F.when(c.isin(*SIZES), step(acc, c)).otherwise(F.struct(acc["i"].alias("i"), F.concat(c, acc["text"]).alias("text")))
+    return F.aggregate(F.reverse(F.split(shape, "")), start, plain, lambda acc: acc["text"])
 
 
 def placed_by_rank(left: DataFrame, taken: DataFrame, seed: str, category: str, folder: str, widen: bool = False) -> DataFrame:
@@ -131,15 +155,14 @@ def placed_by_rank(left: DataFrame, taken: DataFrame, seed: str, category: str,
 
     Of the first len(left) + len(taken) values of a shape, len(left) are free or the shape is full, so no more are made.
     """
-    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
     left, placed, k = left.select("real", shape(F.col("real")).alias("shape")), None, 0
     while True:
         wanted = left.groupBy("shape").agg(F.count("*").alias("n"))
         used = taken.groupBy(shape(F.col("fake")).alias("shape")).agg(F.count("*").alias("m"))
-        sizes = wanted.join(used, "shape", "left").select("shape", _room("shape", F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+        sizes = wanted.join(used, "shape", "left").select("shape", room(F.col("shape"), F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
         chunks = sizes.select("shape", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(10_000))).alias("first")).repartition("shape", "first")
         ids = chunks.select("shape", F.explode(F.sequence("first", F.least(F.col("first") + 9_999, F.col("n") - 1))).alias("i"))
-        free = written(ids.select("shape", _nth("shape", "i").alias("fake")).join(taken.select("fake"), "fake", "left_anti"), folder, f"free-{k}")
+        free = written(ids.select("shape", nth(F.col("shape"), F.col("i")).alias("fake")).join(taken.select("fake"), "fake", "left_anti"), folder, f"free-{k}")
         fakes = ranked(free.withColumn("_h", hashed(seed, f"free-{category}", F.col("fake"))), "_h", ["shape"]).select("shape", "rank", "fake")
         reals = ranked(left.withColumn("_h", hashed(seed, f"left-{category}", F.col("real"))), "_h", ["shape"]).select("shape", "rank", "real")
         both = written(reals.join(fakes, ["shape", "rank"], "left").select("real", "shape", "fake"), folder, f"ranked-{k}")
@@ -153,29 +176,39 @@ def placed_by_rank(left: DataFrame, taken: DataFrame, seed: str, category: str,
         taken, k = taken.select("fake").union(won.select("fake")), k + 1
 
 
+def unique_draws(reals: DataFrame, draw: Callable[[int], Column], taken: DataFrame, rounds: int, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed (real, fake, salt), left, taken (fake)) after so many rounds of draw(salt), a column of reals (real, ...).
+
+    Of equal candidates the first real keeps it; the others are drawn again. One table is written per round.
+    """
+    left, placed = reals, None
+    for salt in range(rounds):
+        tried = left.withColumn("fake", draw(salt))
+        first = tried.join(taken, "fake", "left_anti").groupBy("fake").agg(F.min("real").alias("_first"))
+        round_ = tried.join(first, "fake", "left").withColumn("_won", F.coalesce(F.col("real") == F.col("_first"), F.lit(False)))
+        round_ = written(round_.drop("_first"), folder, f"round-{salt}")
+        won = round_.where("_won").select("real", "fake", F.lit(salt).alias("salt"))
+        placed = won if placed is None else placed.union(won)
+        left, taken = round_.where("not _won").drop("fake", "_won"), taken.union(won.select("fake"))
+        if left.isEmpty():
+            break
+    return placed, left, taken
+
+
 def salted_unique(reals: DataFrame, seed: str, category: str, used: DataFrame | None = None, rounds: int = 20, widen: bool = False) -> DataFrame:
     """(real, fake, salt): same-shape fakes, distinct and neither real nor used; only losers are drawn again.
 
-    Of equal candidates the first real keeps it. What the rounds have not placed
-    takes a free value by rank, with salt = rounds. If a shape has no free value
-    left, that is an error, or with widen the fake is longer. Each round is written.
+    What the rounds have not placed takes a free value by rank, with salt = rounds.
+    If a shape has no free value left, that is an error, or with widen the fake is longer.
     """
     folder = shared_dir(reals.sparkSession)
     left = written(reals.select("real").distinct(), folder, "reals")
     taken = left.select(F.col("real").alias("fake"))
     if used is not None:
-        taken = taken.union(used.select("fake"))
-    taken = written(taken.distinct(), folder, "taken")
-    placed = None
-    for salt in range(rounds):
-        tried = left.select("real", t.shape_fake(F.col("real"), seed, category, salt).alias("fake"))
-        won = tried.join(taken, "fake", "left_anti").groupBy("fake").agg(F.min("real").alias("real")).select("real", "fake", F.lit(salt).alias("salt"))
-        won = written(won, folder, f"won-{salt}")
-        placed = won if placed is None else placed.union(won)
-        left = written(left.join(won, "real", "left_anti"), folder, f"left-{salt}")
-        taken = taken.union(won.select("fake"))
-        if left.isEmpty():
-            return placed
+        taken = written(taken.union(used.select("fake")).distinct(), folder, "taken")
+    placed, left, taken = unique_draws(left, lambda salt: t.shape_fake(F.col("real"), seed, category, salt), taken, rounds, folder)
+    if left.isEmpty():
+        return placed
     return placed.union(placed_by_rank(left, taken, seed, category, folder, widen).withColumn("salt", F.lit(rounds)))
 
 

@@ -2,12 +2,16 @@
 
 ``mask_text`` replaces known terms at word boundaries (``_`` separates words),
 in one pass from left to right whose output is never read again. At each place
-the categories are tried in order, and within one the longest term first.
+the categories are tried in order, and within one the longest term first. A
+term is known by its words, in lower case: white space and punctuation between
+and around them do not count, as in the leak scan, so that no spelling that the
+scan finds is left. What stands around a term in the text stays.
 Runs of five or more digits, and codes, that no term covers get a fake of their
-shape. Terms match without regard to case.
+shape; such fakes are a function of seed and text, so the mapping's own are not
+sent where it has no other fake for them.
 
-A mapping of up to MAX_TERMS terms is sent to the executors; a larger one takes
-``mask_text_by_join``, which brings each row only the terms that it holds.
+A mapping of up to MAX_TERMS terms is sent to the executors after it is
+counted; with a larger one each row gets the terms that it holds by join.
 """
 
 from __future__ import annotations
@@ -15,23 +19,30 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskline.functions import text as t
+from maskline.operators.identifiers import locate_terms
+from maskline.shared import shared_dir, written
 
 #: Order of categories at one place: related tables, and the ledger.
 RELATED = ("street", "address", "acctnum", "llc", "name", "town", "propcode", "entcode", "last4", "glued", "run", "code")
 LEDGER = ("account_name", "name", "town", "acctnum", "run", "last4", "code")
-MAX_TERMS = 1_000_000
-MASKED = "struct<text:string,hits:array<struct<kind:string,real:string,fake:string>>>"
+#: Categories whose terms also stand between other letters than ASCII.
+ASCII_BOUND = ("propcode", "entcode", "last4", "run")
+MAX_TERMS = 200_000
+HITS = "array<struct<kind:string,real:string,fake:string>>"
 
 _PARTS = re.compile(r"[^\W_]+")
+_ASCII, _DIGITS = re.compile("[A-Za-z0-9]+"), re.compile("[0-9]+")
 _RUN, _CODE = re.compile(r"[0-9]{5,}"), re.compile(r"(?=.*[A-Za-z])(?=.*[0-9].*[0-9])[A-Za-z0-9]{5,}")
 
 
+@lru_cache(maxsize=100_000)
 def shape_fake(text: str, seed: str, category: str, salt: int = 0) -> str:
     """The same function as the column function of this name."""
     out = []
@@ -47,91 +58,141 @@ def shape_fake(text: str, seed: str, category: str, salt: int = 0) -> str:
     return "".join(out)
 
 
+def _inner(real: str, fake: str, start: int, end: int) -> str:
+    """The fake without what stands around the real's words and stays in the text."""
+    head, tail = real[:start], real[end:]
+    fake = fake[len(head) :] if head and fake.startswith(head) else fake
+    return fake[: len(fake) - len(tail)] if tail and fake.endswith(tail) else fake
+
+
 class Terms:
-    """Terms by lower-case text, and by first word how many words they may have."""
+    """Terms by their words in lower case, and by first word how many words they may have."""
 
     def __init__(self, rows: Sequence[tuple[str, str, str]], order: Sequence[str]):
         rank = {c: k for k, c in enumerate(order)}
-        self.by_text: dict[str, list[tuple[int, str, str]]] = {}
+        self.by_words: dict[str, tuple[int, str, str]] = {}
         lengths: dict[str, set[int]] = {}
         for category, real, fake in rows:
-            low = real.lower()
-            words = _PARTS.findall(low)
+            words = list(_PARTS.finditer(real))
             if category in rank and words:
-                self.by_text.setdefault(low, []).append((rank[category], category, fake))
-                lengths.setdefault(words[0], set()).add(len(words))
-        for found in self.by_text.values():
-            found.sort()
+                low = [w[0].lower() for w in words]
+                entry = rank[category], category, _inner(real, fake, words[0].start(), words[-1].end())
+                key = " ".join(low)
+                self.by_words[key] = min(entry, self.by_words.get(key, entry))
+                lengths.setdefault(low[0], set()).add(len(low))
         self.lengths = {w: sorted(n, reverse=True) for w, n in lengths.items()}
 
-    def mask(self, text: str | None, seed: str, blanket: bool) -> tuple[str | None, list[dict[str, str]]]:
+    def _inside(self, word: str, seed: str, blanket: bool, digits: bool, hits: list[tuple[str, str, str]]) -> str:
+        """A word that is no term, with the numbers and codes inside it replaced: between other characters than ASCII letters and digits, or (digits) than digits."""
+
+        def one(m: re.Match) -> str:
+            known = self.by_words.get(m[0].lower())
+            if known and known[1] in ASCII_BOUND:
+                kind, fake = known[1:]
+            elif blanket and (kind := "run" if _RUN.fullmatch(m[0]) else "code" if _CODE.fullmatch(m[0]) else None):
+                fake = shape_fake(m[0], seed, kind)
+            else:
+                return m[0]
+            hits.append((kind, m[0], fake))
+            return fake
+
+        return (_DIGITS if digits else _ASCII).sub(one, word)
+
+    def mask(self, text: str | None, seed: str, blanket: bool, digits: bool = False) -> tuple[str | None, list[tuple[str, str, str]]]:
         if not text:
             return text, []
         words = list(_PARTS.finditer(text))
+        low = [w[0].lower() for w in words]
         out, hits, at, k = [], [], 0, 0
         while k < len(words):
-            start, word = words[k].start(), words[k][0]
             best = None
-            for n in self.lengths.get(word.lower(), ()):
-                if k + n <= len(words):
-                    end = words[k + n - 1].end()
-                    for rank, category, fake in self.by_text.get(text[start:end].lower(), ())[:1]:
-                        if best is None or rank < best[0]:
-                            best = rank, n, end, category, fake
-            if best is None and blanket and word.isascii():
-                kind = "run" if _RUN.fullmatch(word) else "code" if _CODE.fullmatch(word) else None
-                if kind:
-                    best = 99, 1, words[k].end(), kind, shape_fake(word, seed, kind)
-            if best is None:
-                k += 1
-                continue
-            _, n, end, category, fake = best
+            for n in self.lengths.get(low[k], ()):
+                found = self.by_words.get(" ".join(low[k : k + n])) if k + n <= len(words) else None
+                if found and (best is None or found[0] < best[0]):
+                    best = *found, n
+            start, end = words[k].start(), words[k + (best[3] if best else 1) - 1].end()
+            if best:
+                fake = best[2]
+                hits.append((best[1], text[start:end], fake))
+            else:
+                fake = self._inside(words[k][0], seed, blanket, digits, hits)
             out += [text[at:start], fake]
-            hits.append({"kind": category, "real": text[start:end], "fake": fake})
-            at, k = end, k + n
+            at, k = end, k + (best[3] if best else 1)
         return "".join([*out, text[at:]]), hits
 
 
-def masker(mapping: DataFrame, seed: str, order: Sequence[str] = RELATED, blanket: bool = True):
-    """A function Column -> struct (text, hits) for a mapping (category, real, fake) of checked size."""
-    rows = mapping.select("category", "real", "fake").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError("the mapping is too large to send to executors: use mask_text_by_join")
-    shared = mapping.sparkSession.sparkContext.broadcast(Terms([tuple(r) for r in rows], order))
+def needed(mapping: DataFrame, seed: str, blanket: bool) -> DataFrame:
+    """(category, real, fake) without the runs and codes for which the blanket rule has the same fake."""
+    rows = mapping.select("category", "real", "fake")
+    if not blanket:
+        return rows
+    run = (F.col("category") == "run") & F.col("real").rlike("^[0-9]{5,}$") & (F.col("fake") == t.shape_fake(F.col("real"), seed, "run"))
+    code = (F.col("category") == "code") & F.col("real").rlike("^[A-Za-z0-9]+$") & t.is_code(F.col("real")) & (F.col("fake") == t.shape_fake(F.col("real"), seed, "code"))
+    return rows.where(~(run | code))
 
-    @F.pandas_udf(MASKED)
-    def mask(texts: pd.Series) -> pd.DataFrame:
-        done = [shared.value.mask(x, seed, blanket) for x in texts]
-        return pd.DataFrame({"text": [x for x, _ in done], "hits": [h for _, h in done]})
 
-    return mask
+def mask_text(df: DataFrame, columns: Sequence[str], mapping: DataFrame, seed: str, order: Sequence[str] = RELATED, blanket: bool = True, hits: bool = False, digits: bool = False) -> DataFrame:
+    """df with the text columns masked by mapping (category, real, fake); hits adds ``<column>_hits``.
 
+    digits (for file names) takes a number that is a term wherever no other digit is beside it.
+    """
+    terms = written(needed(mapping, seed, blanket), shared_dir(df.sparkSession), "terms")
+    if terms.count() > MAX_TERMS:
+        return by_join(df, columns, terms, seed, order, blanket, hits, digits)
+    shared = df.sparkSession.sparkContext.broadcast(Terms([tuple(r) for r in terms.collect()], order))  # counted
 
-def mask_text(df: DataFrame, columns: Sequence[str], mapping: DataFrame, seed: str, order: Sequence[str] = RELATED, blanket: bool = True, hits: bool = False) -> DataFrame:
-    """df with the columns masked; hits adds ``<column>_hits``."""
-    mask = masker(mapping, seed, order, blanket)
-    for c in columns:
-        df = df.withColumn("_m", mask(F.col(c)))
-        df = df.withColumn(c, F.col("_m.text"))
-        df = df.withColumn(f"{c}_hits", F.col("_m.hits")) if hits else df
-    return df.drop("_m")
+    def mask(texts: pd.Series) -> pd.DataFrame:
+        return _result([shared.value.mask(x, seed, blanket, digits) for x in texts], hits)
 
+    return _replaced(df, df.columns, columns, mask, [], hits)
 
-def mask_text_by_join(df: DataFrame, id_col: str, column: str, mapping: DataFrame, seed: str, order: Sequence[str] = RELATED, blanket: bool = True, longest: int = 6) -> DataFrame:
-    """The same for a mapping of any size: words meet the terms by join, and each row gets the few terms that it may hold. id is unique."""
-    terms = mapping.select("category", "real", "fake", F.array_join(t.words(F.col("real")), " ").alias("gram")).where("gram <> ''")
-    grams = df.select(id_col, F.explode(F.array_distinct(F.transform(t.ngrams(t.words(F.col(column)), longest), lambda g: g["gram"]))).alias("gram"))
-    own = grams.join(terms, "gram").groupBy(id_col).agg(F.collect_list(F.struct("category", "real", "fake")).alias("_terms"))
 
-    @F.pandas_udf(MASKED)
+def by_join(df: DataFrame, columns: Sequence[str], terms: DataFrame, seed: str, order: Sequence[str] = RELATED, blanket: bool = True, hits: bool = False, digits: bool = False) -> DataFrame:
+    """The same for any number of terms (category, real, fake): each row gets the few that it may hold."""
+    none = Terms([], order)
+
     def mask(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        done = []
-        for x, rows in zip(texts, found, strict=True):
-            rows = [] if rows is None else [(r["category"], r["real"], r["fake"]) for r in rows]
-            done.append(Terms(rows, order).mask(x, seed, blanket))
-        return pd.DataFrame({"text": [x for x, _ in done], "hits": [h for _, h in done]})
+        own = (none if rows is None else Terms([(r["category"], r["term"], r["fake"]) for r in rows], order) for rows in found)
+        return _result([terms.mask(x, seed, blanket, digits) for x, terms in zip(texts, own, strict=True)], hits)
+
+    return _replaced(_with_terms(df, columns, terms), df.columns, columns, mask, [F.col("_terms")], hits)
 
-    return df.join(own, id_col, "left").withColumn(column, mask(F.col(column), F.col("_terms"))["text"]).drop("_terms")
+
+def _result(done: list[tuple[str | None, list[tuple[str, str, str]]]], hits: bool) -> pd.DataFrame | pd.Series:
+    texts = [x for x, _ in done]
+    if not hits:
+        return pd.Series(texts, dtype=object)
+    return pd.DataFrame({"text": texts, "hits": [[dict(zip(("kind", "real", "fake"), h, strict=True)) for h in found] for _, found in done]})
+
+
+def _replaced(df: DataFrame, names: Sequence[str], columns: Sequence[str], mask, own: list[Column], hits: bool) -> DataFrame:
+    @F.pandas_udf("string")
+    def texts(*parts: pd.Series) -> pd.Series:
+        return mask(*parts)
+
+    @F.pandas_udf(f"struct<text:string,hits:{HITS}>")
+    def texts_and_hits(*parts: pd.Series) -> pd.DataFrame:
+        return mask(*parts)
+
+    f = texts_and_hits if hits else texts
+    for c in columns:
+        df = df.withColumn(f"_m_{c}", f(F.col(f"`{c}`"), *own))
+    at = lambda c, part: F.col(f"`_m_{c}`")[part] if hits else F.col(f"`_m_{c}`")
+    more = [at(c, "hits").alias(f"{c}_hits") for c in columns] if hits else []
+    return df.select(*(at(c, "text").alias(c) if c in columns else F.col(f"`{c}`") for c in names), *more)
+
+
+def _with_terms(df: DataFrame, columns: Sequence[str], terms: DataFrame) -> DataFrame:
+    """df, written with a row number, and the few terms that each row may hold. Only places of first words are shuffled, never texts of other rows."""
+    rows = written(df.withColumn("_uid", F.monotonically_increasing_id()), shared_dir(df.sparkSession), "rows")
+    wanted = terms.withColumnRenamed("real", "term")
+    inner = wanted.where(F.col("category").isin(*ASCII_BOUND))
+    found = locate_terms(rows, "_uid", list(columns), wanted, ("category", "term", "fake")).select("_uid", "category", "term", "fake")
+    # numbers and codes inside words that have other letters beside them
+    tokens = rows.select("_uid", F.explode(F.array_distinct(F.concat(*(f(F.lower(F.col(f"`{c}`").cast("string"))) for c in columns for f in (t.alnum_tokens, t.all_digits))))).alias("token"))
+    inside = tokens.join(inner.withColumn("token", F.lower("term")), "token").select("_uid", "category", "term", "fake")
+    own = found.union(inside).distinct().groupBy("_uid").agg(F.collect_list(F.struct("category", "term", "fake")).alias("_terms"))
+    return rows.join(own, "_uid", "left")
 
 
 def mask_tokens(c: Column, fakes: Column) -> Column:
@@ -164,47 +225,60 @@ def mask_statements(rows: DataFrame, headers: DataFrame, mapping: DataFrame, see
     names = headers.join(rows, "file").where("row_no = header_row").select("file", F.transform("cells", lambda c: F.lower(t.clean(c))).alias("_names"))
     parts = sections(rows, headers).join(names, "file")
     wide = parts.withColumn("_at", F.array_position("_names", column))
-    described = F.when(F.col("section") == "data", F.when(F.col("_at") > 0, F.try_element_at("cells", F.col("_at").cast("int")))).when(F.col("section") == "preamble", F.array_join("cells", "\u001f"))
-    wide = wide.withColumn("_text", described).withColumn("_text", masker(mapping, seed)(F.col("_text"))["text"])
-    money = lambda c, name: t.scale_amount_text(c, factor) if factor else c
-    named = F.transform("cells", lambda c, i: F.when((i + 1) == F.col("_at"), F.coalesce("_text", c)).otherwise(F.when(F.get("_names", i).isin(*t.MONEY_NAMES), money(c, None)).otherwise(c)))
-    cells = F.when(F.col("section") == "data", named).when((F.col("section") == "preamble") & (F.size("cells") > 0), F.transform(F.split("_text", "\u001f"), lambda c: money(c, None))).otherwise(F.col("cells"))
+    described = F.when(F.col("section") == "data", F.when(F.col("_at") > 0, F.try_element_at("cells", F.col("_at").cast("int")))).when(F.col("section") == "preamble", F.array_join("cells", "\u001f", ""))
+    wide = mask_text(wide.withColumn("_text", described), ["_text"], mapping, seed)
+    money = lambda c: t.scale_amount_text(c, factor) if factor else c
+    named = F.transform("cells", lambda c, i: F.when((i + 1) == F.col("_at"), F.coalesce("_text", c)).otherwise(F.when(F.get("_names", i).isin(*t.MONEY_NAMES), money(c)).otherwise(c)))
+    cells = F.when(F.col("section") == "data", named).when((F.col("section") == "preamble") & (F.size("cells") > 0), F.transform(F.split("_text", "\u001f"), money)).otherwise(F.col("cells"))
     return wide.select("file", "row_no", cells.alias("cells"))
 
 
 def mask_table(df: DataFrame, mapping: DataFrame, accounts: DataFrame, seed: str, factor: str | None = None, addresses: DataFrame | None = None, money: Sequence[str] = ()) -> DataFrame:
-    """Any table: per column, whole-number account, money, other types, word accounts, institution, address, text, in this order."""
-    names = list(df.columns)
-    mask = masker(mapping, seed)
+    """Any table: per column, whole-number account, money, other types, word accounts, institution, address, text, in this order.
+
+    An account cell without a digit (``cash``) is replaced only in account and
+    account number columns, where it is the whole cell.
+    """
+    names, texts = list(df.columns), []
+    keyed = accounts.select(F.col("key").alias("_k"), F.col("fake_last4").cast("bigint").alias("_f4"), F.col("fake_number").alias("_f"))
     for f in df.schema.fields:
-        low, kind = f.name.lower(), f.dataType.typeName()
+        low, kind, c = f.name.strip().lower(), f.dataType.typeName(), F.col(f"`{f.name}`")
         number = "account" in low and ("num" in low or "#" in low)
+        priced = factor and (f.name in money or (not money and t.is_money_column(f.name)))
         if kind != "string":
             if number and kind in ("integer", "long", "double", "short"):
-                key = F.pmod(F.col(f.name).cast("bigint"), F.lit(10_000)).cast("string")
-                df = df.join(accounts.select(F.col("key").alias("_k"), F.col("fake_last4").cast("bigint").alias("_f")), key == F.col("_k"), "left")
-                df = df.withColumn(f.name, F.coalesce(F.col("_f").cast(f.dataType), f.name)).drop("_k", "_f")
-            elif factor and kind in ("decimal", "double", "float", "integer", "long") and (f.name in money or (not money and t.is_money_column(f.name))):
-                df = df.withColumn(f.name, t.scale(F.col(f.name), factor).cast(f.dataType))
+                key = F.pmod(c.cast("bigint"), F.lit(10_000)).cast("string")
+                df = df.join(keyed, key == F.col("_k"), "left").withColumn(f.name, F.coalesce(F.col("_f4").cast(f.dataType), c)).drop(*keyed.columns)
+            elif priced and kind in ("decimal", "double", "float", "integer", "long"):
+                df = df.withColumn(f.name, F.coalesce(t.scale(c, factor).cast(f.dataType), c))
         elif low == "institution":
             continue
-        elif number:
-            info = accounts.select(F.col("key").alias("_k"), F.col("fake_number").alias("_f"))
-            df = df.join(info, F.when(t.filled(F.col(f.name)), t.account_key(F.col(f.name))) == F.col("_k"), "left").withColumn(f.name, F.coalesce("_f", f.name)).drop("_k", "_f")
+        elif number or low == "account":
+            key = t.account_key(c)
+            whole = F.when(t.filled(c) & (F.lit(number) | ~c.rlike("[0-9]")), key)
+            df = df.join(keyed, whole == F.col("_k"), "left")
+            if number:
+                df = df.withColumn(f.name, F.coalesce("_f", c)).drop(*keyed.columns)
+            else:  # a word account is the cell; any other account is text
+                df, texts = df.withColumn(f"_account_{f.name}", F.col("_f")).drop(*keyed.columns), [*texts, f.name]
         elif low == "address" and addresses is not None:
-            info = addresses.select(F.col("real").alias("_k"), F.col("fake").alias("_f"))
-            df = df.join(info, F.col(f.name) == F.col("_k"), "left").withColumn(f.name, F.coalesce(F.col("_f"), mask(F.col(f.name))["text"])).drop("_k", "_f")
-        elif factor and (f.name in money or (not money and t.is_money_column(f.name))):
-            df = df.withColumn(f.name, t.scale_amount_text(F.col(f.name), factor))
+            info = addresses.where("fake <> ''").select(F.col("real").alias("_k"), F.col("fake").alias("_f"))
+            df = df.join(info, c == F.col("_k"), "left").withColumn(f"_address_{f.name}", F.col("_f")).drop("_k", "_f")
+            texts.append(f.name)
+        elif priced:
+            df = df.withColumn(f.name, t.scale_amount_text(c, factor))
         else:
-            df = df.withColumn(f.name, mask(F.col(f.name))["text"])
-    return df.select(*names)
+            texts.append(f.name)
+    df = mask_text(df, texts, mapping, seed) if texts else df
+    fixed = lambda n: [F.col(f"`{x}`") for x in (f"_account_{n}", f"_address_{n}") if x in df.columns]
+    return df.select(*(F.coalesce(*fixed(n), F.col(f"`{n}`")).alias(n) for n in names))
 
 
-def mask_file_name(c: Column, mapping: DataFrame, seed: str) -> Column:
-    """A file's name with known terms replaced and characters that names cannot hold made ``_``."""
-    masked = masker(mapping, seed, blanket=False)(F.regexp_replace(c, r"\.[^.]*$", ""))["text"]
-    return F.concat(F.regexp_replace(masked, r'[<>:"/\\|?*]', "_"), F.regexp_extract(c, r"(\.[^.]*)?$", 1))
+def mask_file_names(df: DataFrame, column: str, mapping: DataFrame, seed: str) -> DataFrame:
+    """df with names of files masked: known terms only, last fours wherever no digit is beside them, and characters that names cannot hold made ``_``."""
+    parts = df.withColumn("_stem", F.regexp_replace(column, r"\.[^.]*$", "")).withColumn("_end", F.regexp_extract(column, r"(\.[^.]*)?$", 1))
+    masked = mask_text(parts, ["_stem"], mapping, seed, blanket=False, digits=True)
+    return masked.withColumn(column, F.concat(F.regexp_replace("_stem", r'[<>:"/\\|?*]', "_"), F.col("_end"))).select(*df.columns)
 
 
 def replacement_stats(df: DataFrame, hits: Sequence[str]) -> DataFrame:

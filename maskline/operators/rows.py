@@ -15,6 +15,12 @@ IDENTIFIERS = ("account", "account_num", "description", "institution")
 HEADER_DEPTH = 30
 
 
+def heading(name: str) -> str:
+    """A column's name for comparison: lower case, ``_`` as a space, ``account num`` as ``account #``."""
+    low = name.strip().lower().replace("_", " ")
+    return "account #" if low == "account num" else low
+
+
 def column_of(df: DataFrame, name: str) -> Column:
     """A column by name, in any case and with white space around; empty text if there is none."""
     found = next((c for c in df.columns if c.strip().lower() == name.lower()), None)

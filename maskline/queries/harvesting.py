@@ -93,7 +93,7 @@ def term_lists(db: Tables) -> DataFrame:
     return ids.term_lists(terms.union(terms.select("category", F.upper("term"))).union(terms.select("category", F.lit("  "))))
 
 
-@query("SELECT term, lower(term) IN (SELECT lower(term) FROM terms WHERE category IN ('Names', 'Towns')) AS covered FROM terms WHERE category = 'Blacklist'", "terms")
+@query("SELECT b.term, l.k IS NOT NULL AS covered FROM terms b LEFT JOIN listed l ON l.k = lower(b.term) WHERE b.category = 'Blacklist'", "terms", "listed AS MATERIALIZED (SELECT DISTINCT lower(term) AS k FROM terms WHERE category IN ('Names', 'Towns'))")
 def blacklist_coverage(db: Tables) -> DataFrame:
     return ids.blacklist_coverage(db.terms)
 
@@ -143,9 +143,17 @@ def digit_leaks(db: Tables) -> DataFrame:
     return checks.digit_leaks(db.ledger, "seq", "description", forbidden(db).where("category = 'digit'"))
 
 
+_PIECES = r"regexp_extract_all(cell, '[^\p{L}\p{N}]*[\p{L}\p{N}]+')"
+_UPTO = lambda k: f"length(array_to_string({_PIECES}[1:{k}], ''))"
+
+
 @query(
-    f"""SELECT tab AS "table", term, count(*) AS n_cells, min(id) AS first_id FROM (SELECT DISTINCT 'ledger' AS tab, term, CAST(id AS BIGINT) AS id, col FROM grams JOIN bad ON gram = tg
- UNION ALL SELECT DISTINCT 'part', term, p_partkey, 'p_name' FROM (SELECT p_partkey, unnest({d.words('p_name')}) AS g FROM part) JOIN bad ON g = tg) GROUP BY 1, 2""",
+    rf"""SELECT tab AS "table", term, n_cells, first_id, col AS "column", translate(substr(cell, from0 + 1, upto - from0 + 25), chr(10) || chr(13) || chr(9), '   ') AS context FROM (SELECT *, {_UPTO('"at" + n - 1')} AS upto,
+ greatest({_UPTO('"at"')} - length(regexp_extract({_PIECES}["at"], '[\p{{L}}\p{{N}}]+')) - 25, 0) AS from0
+ FROM (SELECT tab, term, id AS first_id, col, cell, "at", n, count(*) OVER (PARTITION BY tab, term) AS n_cells, row_number() OVER (PARTITION BY tab, term ORDER BY length(id), id, col) AS k2
+ FROM (SELECT *, row_number() OVER (PARTITION BY tab, term, id, col ORDER BY "at", n) AS k FROM (
+ SELECT 'ledger' AS tab, term, CAST(id AS VARCHAR) AS id, col, "at", n, CASE col WHEN 'account' THEN account ELSE description END AS cell FROM grams JOIN bad ON gram = tg JOIN ledger ON seq = id
+ UNION ALL SELECT 'part', term, CAST(p_partkey AS VARCHAR), 'p_name', i, 1, p_name FROM (SELECT p_partkey, p_name, unnest(w) AS g, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, {d.words('p_name')} AS w FROM part)) JOIN bad ON g = tg)) WHERE k = 1) WHERE k2 = 1)""",
     "ledger terms", f"{cells(BOTH)}, bad AS (SELECT term, {d.gram('term')} AS tg FROM terms WHERE category = 'Blacklist')",
 )
 def blacklist_scan(db: Tables) -> DataFrame:

@@ -7,53 +7,52 @@ from pyspark.sql import functions as F
 
 from maskline.functions import text as t
 from maskline.operators import mapping as m
+from maskline.operators import related as rel
+from maskline.plans import jobs
 from maskline.queries import duck as d
 from maskline.queries.base import Tables, query
 from maskline.queries.duck import SEED
 from maskline.queries.scalars import PARSED
 from maskline.shared import shared_dir, written
 
-PERSONS, TOWNS, STREETS, ROUNDS, DIGITS = 40_000, 4_000, 100_000, 3, 5
-
-
-def pools(db: Tables) -> DataFrame:
-    kinds = (("single", m.POOL_WORDS), ("person", PERSONS), ("town", TOWNS))
-    out = None
-    for kind, size in kinds:
-        out = m.pool(db.spark, kind, size) if out is None else out.union(m.pool(db.spark, kind, size))
-    return out
+ROUNDS, DIGITS = 3, 5
+KINDS = ("single", "person", "town")
 
 
 def candidates(db: Tables) -> DataFrame:
-    return m.allowed(pools(db), db.terms.select(F.col("term").alias("value")))
+    """Pools of names and towns, as large as the ledger's accounts and the listed terms ask for, without forbidden words."""
+    terms = db.terms
+    n_reals, n_terms, out = db.ledger.select("account").distinct().count(), terms.count(), None
+    for kind in KINDS:
+        part = m.pool(db.spark, kind, m.pool_size(kind, n_reals, n_terms) if kind != "single" else m.POOL_WORDS)
+        out = part if out is None else out.union(part)
+    return m.allowed(out, terms.select(F.col("term").alias("value")))
 
 
-POOLS = f"""pools AS ({d.pool('single', m.POOL_WORDS)} UNION ALL {d.pool('person', PERSONS)} UNION ALL {d.pool('town', TOWNS)}),
- forbidden AS (SELECT term AS value FROM terms), candidates AS ({d.allowed('pools', 'forbidden')})"""
+_SIZE = lambda kind: d.pool_size(kind, "SELECT count(DISTINCT account) FROM ledger", "SELECT count(*) FROM terms") if kind != "single" else str(m.POOL_WORDS)
+POOLS = f"""pools AS ({" UNION ALL ".join(d.pool(k, _SIZE(k)) for k in KINDS)}),
+ forbidden AS (SELECT term AS value FROM terms), candidates AS MATERIALIZED ({d.allowed('pools', 'forbidden')})"""
 
 
-@query("SELECT kind, value FROM candidates", "terms", POOLS)
+@query("SELECT kind, value FROM candidates", "ledger terms", POOLS)
 def pool_candidates(db: Tables) -> DataFrame:
     return candidates(db)
 
 
 def term_reals(db: Tables) -> DataFrame:
-    """(category, kind, real) of listed names and towns: one spelling each."""
-    one = db.terms.where("category in ('Names', 'Towns')").groupBy("category", F.lower("term")).agg(F.min("term").alias("real"))
-    kind = F.when(F.col("category") == "Towns", "town").when(F.instr("real", " ") > 0, "person").otherwise("single")
-    return one.select(F.when(F.col("category") == "Towns", "town").otherwise("name").alias("category"), kind.alias("kind"), "real")
+    return jobs.term_reals(db.terms)
 
 
-REALS = """reals AS (SELECT CASE WHEN category = 'Towns' THEN 'town' ELSE 'name' END AS category, CASE WHEN category = 'Towns' THEN 'town' WHEN contains(real, ' ') THEN 'person' ELSE 'single' END AS kind, real
- FROM (SELECT category, min(term) AS real FROM terms WHERE category IN ('Names', 'Towns') GROUP BY category, lower(term)))"""
-FAKES = f"{POOLS}, {REALS}, fakes AS ({d.assigned('reals', 'candidates')})"
+REALS = f"""reals AS (SELECT CASE WHEN category = 'Towns' THEN 'town' ELSE 'name' END AS category, CASE WHEN category = 'Towns' THEN 'town' WHEN contains(g, ' ') THEN 'person' ELSE 'single' END AS kind, real
+ FROM (SELECT category, {d.gram('term')} AS g, min(term) AS real FROM terms WHERE category IN ('Names', 'Towns') GROUP BY 1, 2))"""
+FAKES = f"{POOLS}, {REALS}, fakes AS MATERIALIZED ({d.assigned('reals', 'candidates')})"
 
 
 def term_fakes(db: Tables) -> DataFrame:
     return m.assign(term_reals(db), candidates(db), SEED)
 
 
-@query("SELECT category, kind, real, fake FROM fakes", "terms", FAKES)
+@query("SELECT category, kind, real, fake FROM fakes", "ledger terms", FAKES)
 def assign_fakes(db: Tables) -> DataFrame:
     return term_fakes(db)
 
@@ -105,10 +104,7 @@ def account_fakes(db: Tables) -> DataFrame:
     return m.numbers(keys, SEED, DIGITS)
 
 
-NUMBERS = f"""keys AS (SELECT DISTINCT {d.key('account_num')} AS key FROM ledger WHERE trim(account_num) <> ''),
- numbers AS (SELECT a.key, b.value AS fake_last4, 'xxxx' || b.value AS fake_number FROM (SELECT key, row_number() OVER (ORDER BY {d.hashed("'last4'", 'key')}) AS r FROM keys) a
- JOIN (SELECT value, row_number() OVER (ORDER BY {d.hashed("'pool-last4'", 'value')}) AS r FROM (SELECT lpad(CAST(i AS VARCHAR), {DIGITS}, '0') AS value FROM range({10**DIGITS}) t(i))
- WHERE value NOT IN (SELECT lpad(key, 4, '0') FROM keys WHERE regexp_matches(key, '^[0-9]+$'))) b ON a.r = b.r)"""
+NUMBERS = f"keys AS (SELECT DISTINCT {d.key('account_num')} AS key FROM ledger WHERE trim(account_num) <> ''), numbers AS MATERIALIZED ({d.numbers('keys', DIGITS)})"
 
 
 @query("SELECT key, fake_last4, fake_number FROM numbers", "ledger", NUMBERS)
@@ -175,79 +171,83 @@ def new_codes(db: Tables) -> DataFrame:
     return run_reals(db).join(old_mapping(db), "real", "left_anti")
 
 
-@query("SELECT category, count(*) AS n_reals, count(DISTINCT fake) AS n_fakes FROM fakes GROUP BY category", "terms", FAKES)
+@query("SELECT category, count(*) AS n_reals, count(DISTINCT fake) AS n_fakes FROM fakes GROUP BY category", "ledger terms", FAKES)
 def mapping_summary(db: Tables) -> DataFrame:
     return term_fakes(db).groupBy("category").agg(F.count("*").alias("n_reals"), F.count_distinct("fake").alias("n_fakes"))
 
 
-# addresses, properties and companies
-
-
-def street_candidates(db: Tables) -> DataFrame:
-    return m.allowed(m.pool(db.spark, "street", STREETS), db.terms.select(F.col("term").alias("value")))
+# addresses, properties and companies: the parts of the related-tables mapping
 
 
-def address_parts(db: Tables) -> DataFrame:
-    return db.properties.select("address").distinct().withColumn("x", t.parse_address(F.col("address"))).select("address", "x.*")
+def related(db: Tables) -> dict[str, DataFrame]:
+    """The mapping over the key table with its odd rows, the accounts, the ledger and the listed owners."""
+    return jobs.build_related(related_tables(db), db.owners, jobs.Options(SEED, digits=DIGITS))
 
 
-def street_fakes(db: Tables) -> DataFrame:
-    """(street, fake_street) by lower-case street."""
-    reals = address_parts(db).groupBy(F.lower("street").alias("real")).agg(F.lit("street").alias("category"), F.lit("street").alias("kind")).select("category", "kind", "real")
-    return m.assign(reals, street_candidates(db), SEED).select(F.col("real").alias("street"), F.col("fake").alias("fake_street"))
+def related_tables(db: Tables) -> dict[str, DataFrame]:
+    return {"holdings": db.holdings, "accounts": db.accounts, "ledger": db.ledger}
 
 
-def town_fakes(db: Tables) -> DataFrame:
-    """(town, fake_town): listed towns and cities of addresses."""
-    towns = db.terms.where("category = 'Towns'").select(F.lower("term").alias("real")).union(address_parts(db).where("city <> ''").select(F.lower("city"))).distinct()
-    got = m.assign(towns.select(F.lit("town").alias("category"), F.lit("town").alias("kind"), "real"), candidates(db).where("kind = 'town'"), SEED)
-    return got.select(F.col("real").alias("town"), F.col("fake").alias("fake_town"))
+RELATED_VIEWS = "holdings owners accounts ledger"
+_ACCT = "trim(regexp_extract(unique_account_identifier, '^(.*?) - (\\S+) \\(([^)]+)\\)\\s*$', {}))"
+GATHERED = f"""found AS MATERIALIZED (SELECT DISTINCT category, value FROM (SELECT 'account_name' AS category, trim(account) AS value FROM ledger UNION ALL SELECT 'account_name', trim(account) FROM accounts UNION ALL SELECT 'account_name', {_ACCT.format(1)} FROM accounts
+ UNION ALL SELECT 'account_num', trim(account_num) FROM ledger UNION ALL SELECT 'account_num', trim(account_num) FROM accounts UNION ALL SELECT 'account_num', {_ACCT.format(2)} FROM accounts UNION ALL SELECT 'account_num', trim(bank1) FROM holdings
+ UNION ALL SELECT 'entity', {_ACCT.format(3)} FROM accounts UNION ALL SELECT 'llc', trim(llc) FROM holdings UNION ALL SELECT 'property', trim(prop) FROM holdings UNION ALL SELECT 'address', trim(address) FROM holdings) WHERE value <> '')"""
 
 
-PLACES = f"""{POOLS}, {PARSED}, street_pool AS ({d.pool('street', STREETS)}), street_candidates AS ({d.allowed('street_pool', 'forbidden')}),
- street_reals AS (SELECT DISTINCT 'street' AS category, 'street' AS kind, lower(street) AS real FROM parsed), streets AS ({d.assigned('street_reals', 'street_candidates')}),
- town_reals AS (SELECT DISTINCT 'town' AS category, 'town' AS kind, real FROM (SELECT lower(term) AS real FROM terms WHERE category = 'Towns' UNION ALL SELECT lower(city) FROM parsed WHERE city <> '')),
- towns AS ({d.assigned('town_reals', 'candidates')}),
- addresses AS (SELECT p.address AS real, s.fake AS fake_street, array_to_string(list_filter([s.fake, coalesce(w.fake, ''), trim(concat_ws(' ', p.state, p.zip))], lambda x: x <> ''), ', ') AS fake
- FROM parsed p JOIN streets s ON s.real = lower(p.street) LEFT JOIN towns w ON w.real = lower(p.city))"""
+@query("SELECT category, value FROM found", RELATED_VIEWS, GATHERED)
+def related_harvest(db: Tables) -> DataFrame:
+    return rel.harvest(related_tables(db))
 
 
-def address_fakes(db: Tables) -> DataFrame:
-    """(real, fake_street, fake) of every address; state and zip stay."""
-    parts = address_parts(db).withColumn("k", F.lower("street")).withColumn("town", F.lower("city"))
-    both = parts.join(street_fakes(db).withColumnRenamed("street", "k"), "k").join(town_fakes(db), "town", "left")
-    return both.select(F.col("address").alias("real"), "fake_street", t.build_address(F.col("fake_street"), F.coalesce("fake_town", F.lit("")), F.col("state"), F.col("zip")).alias("fake"))
-
-
-@query("SELECT real, fake_street, fake FROM addresses", "terms properties", PLACES)
+_NCORE, _NSUFFIX = d.core("real")
+_COUNT = lambda kind: f"SELECT count(*) FROM wanted WHERE kind = '{kind}'"
+_RPOOL = lambda kind: d.pool(kind, f"(SELECT CASE WHEN ({_COUNT(kind)}) = 0 THEN 0 ELSE {d.pool_size(kind, _COUNT(kind), 'SELECT count(*) FROM rforbidden')} END)")
+_STREET = lambda category, value, salt="0": (
+    f"(CAST({d.keyed(category, value, salt, 'number')} % 999 + 1 AS VARCHAR) || ' ' || {d.invented(d.keyed(category, value, salt, 'word') + f' % {m.POOL_WORDS}')} || ' ' || {d.literal(m.STREET_KINDS)}[{d.keyed(category, value, salt, 'kind')} % 4 + 1])"
+)
+_CODE = "substr(split_part(trim(street), ' ', 1), 1, 3) || '-' || upper(substr(regexp_replace(split_part(trim(street), ' ', 2), '[^\\p{L}]', '', 'g'), 1, 3))"
+_DRAWN = lambda salt: f"(CAST({d.keyed('propcode', 'real', salt, 'number')} % 999 + 1 AS VARCHAR) || '-' || " + " || ".join(f"chr(CAST(65 + {d.keyed('propcode', 'real', salt, str(k))} % 26 AS INTEGER))" for k in range(3)) + ")"
+RELATED = f"""{GATHERED}, {PARSED.replace("FROM properties))", "FROM (SELECT trim(address) AS address FROM holdings) WHERE address <> ''))").replace("SELECT DISTINCT address, p[1]", "SELECT DISTINCT address, coalesce(p[1], '')")},
+ names AS (SELECT real, lower({_NCORE}) AS root, {_NSUFFIX} AS suffix, CASE WHEN contains({_NCORE}, ' ') THEN 'person' ELSE 'single' END AS kind FROM (SELECT min(term) AS real FROM owners WHERE category = 'Names' GROUP BY {d.gram('term')})),
+ wanted AS MATERIALIZED (SELECT DISTINCT category, kind, real FROM (SELECT 'town' AS category, 'town' AS kind, lower(trim(term)) AS real FROM owners WHERE category = 'Towns' UNION ALL SELECT 'town', 'town', lower(city) FROM parsed UNION ALL SELECT 'street', 'street', lower(street) FROM parsed UNION ALL SELECT 'root', kind, root FROM names) WHERE real <> ''),
+ rforbidden AS MATERIALIZED (SELECT term AS value FROM owners UNION SELECT value FROM found WHERE category IN ('account_name', 'llc', 'address')),
+ rpools AS MATERIALIZED ({" UNION ALL ".join(map(_RPOOL, ("single", "person", "town", "street")))}), rcandidates AS MATERIALIZED ({d.allowed('rpools', 'rforbidden')}),
+ drawn AS MATERIALIZED ({d.assigned('wanted', 'rcandidates')}),
+ addresses AS MATERIALIZED (SELECT p.address AS real, s.fake AS fake_street, array_to_string(list_filter([coalesce(s.fake, p.street), coalesce(w.fake, p.city), trim(concat_ws(' ', p.state, p.zip))], lambda x: x <> ''), ', ') AS fake
+ FROM parsed p LEFT JOIN drawn s ON s.category = 'street' AND s.real = lower(p.street) LEFT JOIN drawn w ON w.category = 'town' AND w.real = lower(p.city)),
+ entity_reals AS (SELECT value AS real FROM found WHERE category = 'entity'), every_real AS (SELECT value AS fake FROM found), {d.salted('entities', 'entity_reals', 'entity', 3, 'every_real')},
+ prop_taken AS (SELECT fake FROM every_real UNION SELECT fake FROM entities),
+ prop_codes AS MATERIALIZED (SELECT real, {_CODE} AS code FROM (SELECT p.real, coalesce(a.fake_street, {_STREET('propstreet', 'p.spelled')}) AS street FROM (SELECT lower(value) AS real, min(value) AS spelled FROM found WHERE category = 'property' AND regexp_matches(value, '[0-9]') GROUP BY 1) p
+ LEFT JOIN (SELECT lower(trim(prop)) AS owner, min(trim(address)) AS address FROM holdings WHERE trim(prop) <> '' AND trim(address) <> '' GROUP BY 1) l ON l.owner = p.real LEFT JOIN addresses a ON a.real = l.address)),
+ {d.draws('props', 'prop_codes', 'code', _DRAWN, 'prop_taken')},
+ llc_reals AS MATERIALIZED (SELECT l.owner AS real, coalesce(a.fake_street, {_STREET('llcstreet', 'l.owner')}) || ' LLC' AS name FROM (SELECT lower(trim(llc)) AS owner, min(trim(address)) AS address FROM holdings WHERE trim(llc) <> '' AND trim(address) <> '' GROUP BY 1) l LEFT JOIN addresses a ON a.real = l.address),
+ {d.draws('llcs', 'llc_reals', 'name', lambda salt: f"({_STREET('llcname', 'real', salt)} || ' LLC')", 'every_real')},
+ own AS (SELECT root, min_by(fake, real) AS fake FROM (SELECT lower({d.core('real')[0]}) AS root, real, fake FROM llcs) GROUP BY root),
+ rnames AS MATERIALIZED (SELECT coalesce(o.root, n.real) AS real, coalesce(o.fake, n.fake) AS fake FROM (SELECT lower(n.real) AS real, d.fake || CASE WHEN suffix <> '' THEN ' ' || suffix ELSE '' END AS fake FROM names n JOIN drawn d ON d.category = 'root' AND d.real = n.root) n FULL JOIN own o ON o.root = n.real)"""
+
+
+@query("SELECT real, fake_street, fake FROM addresses", RELATED_VIEWS, RELATED)
 def address_map(db: Tables) -> DataFrame:
-    return address_fakes(db)
+    return related(db)["addresses"]
 
 
-_CODE = r"substr(regexp_extract(fake_street, '^\s*(\d+)', 1), 1, 3) || '-' || upper(substr(regexp_replace(regexp_replace(fake_street, '^\s*\d+\s*', ''), '[^A-Za-z]', '', 'g'), 1, 3))"
+def _category(db: Tables, category: str) -> DataFrame:
+    return related(db)["mapping"].where(F.col("category") == category).select("real", "fake")
 
 
-def owner_streets(db: Tables, owner: str) -> DataFrame:
-    """(owner, fake_street): that of the owner's least address."""
-    first = db.properties.where(f"{owner} <> ''").groupBy(owner).agg(F.min("address").alias("real"))
-    return first.join(address_fakes(db).select("real", "fake_street"), "real").select(owner, "fake_street")
-
-
-@query(
-    f"""SELECT prop AS real, CASE WHEN k = 1 THEN code ELSE {d.shape("code || '-' || CAST(k AS VARCHAR)", 'prop')} END AS fake FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY prop) AS k
- FROM (SELECT prop, {_CODE} AS code FROM (SELECT prop, min(address) AS real FROM properties WHERE regexp_matches(prop, '[0-9]') GROUP BY prop) JOIN addresses USING (real)))""",
-    "terms properties", PLACES,
-)
+@query("SELECT real, fake FROM props", RELATED_VIEWS, RELATED)
 def property_codes(db: Tables) -> DataFrame:
-    """Codes from the property's fake street; of equal codes the first property keeps it."""
-    from pyspark.sql.window import Window
+    """From the property's fake street, or one of its own; no two equal."""
+    return _category(db, "propcode")
 
-    coded = owner_streets(db, "prop").where(F.col("prop").rlike("[0-9]")).select("prop", t.property_code(F.col("fake_street")).alias("code"))
-    k = F.row_number().over(Window.partitionBy("code").orderBy("prop"))
-    redrawn = t.shape_fake(F.concat_ws("-", "code", F.col("k").cast("string")), SEED, "prop")
-    return coded.withColumn("k", k).select(F.col("prop").alias("real"), F.when(F.col("k") == 1, F.col("code")).otherwise(redrawn).alias("fake"))
 
-
-@query("SELECT llc AS real, fake_street || ' LLC' AS fake FROM (SELECT llc, min(address) AS real FROM properties WHERE llc <> '' GROUP BY llc) JOIN addresses USING (real)", "terms properties", PLACES)
+@query("SELECT real, fake FROM llcs", RELATED_VIEWS, RELATED)
 def llc_names(db: Tables) -> DataFrame:
-    return owner_streets(db, "llc").select(F.col("llc").alias("real"), F.concat(F.col("fake_street"), F.lit(" LLC")).alias("fake"))
+    return _category(db, "llc")
+
+
+@query("SELECT real, fake FROM rnames", RELATED_VIEWS, RELATED)
+def root_override(db: Tables) -> DataFrame:
+    """Listed names, where a company's root takes the company's fake."""
+    return _category(db, "name")

@@ -11,12 +11,14 @@ from maskline.operators import identifiers as ids
 from maskline.operators import mapping as m
 from maskline.operators import masking as k
 from maskline.operators import rows as r
+from maskline.plans import jobs
 from maskline.queries import duck as d
 from maskline.queries import harvesting as h
 from maskline.queries import mapping as mq
 from maskline.queries.base import Tables, query
 from maskline.queries.duck import SEED
 from maskline.queries.scalars import FACTOR, HEADERS, statement_cells
+from maskline.shared import shared_dir, written
 
 FAKES = mq.FAKES
 SINGLES = "singles AS (SELECT lower(real) AS k, fake FROM fakes WHERE NOT contains(real, ' ') AND NOT contains(real, '_'))"
@@ -38,40 +40,50 @@ def mask_tokens(db: Tables) -> DataFrame:
 _MASKED = f"array_to_string(list_transform({_TOKENS}, lambda t: coalesce(mp[lower(t)], {d.blanket('t')})), '')"
 
 
-@query(f"SELECT seq, {_MASKED} AS description FROM ledger, look", "ledger terms", f"{FAKES}, {SINGLES}, {LOOKUP}")
+_WORDS = f"{FAKES}, {d.masked('ledger', 'seq', {'description': 'description'}, 'fakes', k.RELATED)}"
+
+
+@query("SELECT id AS seq, text AS description FROM walked", "ledger terms", _WORDS)
 def mask_text(db: Tables) -> DataFrame:
-    return k.mask_text(db.ledger, ["description"], single_fakes(db), SEED).select("seq", "description")
+    """All listed terms, of one word and more."""
+    return k.mask_text(db.ledger, ["description"], mq.term_fakes(db), SEED).select("seq", "description")
 
 
-@query(f"SELECT seq, {_MASKED} AS description FROM ledger, look", "ledger terms", f"{FAKES}, {SINGLES}, {LOOKUP}")
+@query("SELECT id AS seq, text AS description FROM walked", "ledger terms", _WORDS)
 def mask_text_by_join(db: Tables) -> DataFrame:
-    return k.mask_text_by_join(db.ledger, "seq", "description", single_fakes(db), SEED, longest=1).select("seq", "description")
+    """The same by the way for mappings that are too large to send to executors."""
+    terms = written(k.needed(mq.term_fakes(db), SEED, True), shared_dir(db.spark), "terms")
+    return k.by_join(db.ledger, ["description"], terms, SEED).select("seq", "description")
 
 
-def ledger_mapping(db: Tables) -> DataFrame:
-    """(category, real, fake): account names, listed terms, account numbers in every form, and digit runs."""
-    numbers = mq.account_fakes(db).select(F.col("fake_last4").alias("fake"))
-    runs = m.salted_unique(mq.run_reals(db), SEED, "run", numbers, widen=True).select(F.lit("run").alias("category"), "real", "fake")
-    return name_fakes(db).union(number_terms(db)).union(runs)
+def account_parts(db: Tables) -> DataFrame:
+    """(account, suffix): every account name with its type."""
+    return mq.account_cores(db).select(F.col("account").alias("real"), "suffix")
 
 
 def name_fakes(db: Tables) -> DataFrame:
     """(category, real, fake): account names and listed terms, drawn together so that no two share a fake."""
-    cores = mq.account_cores(db).select(F.col("account").alias("real"), "suffix")
+    cores = account_parts(db)
     names = cores.select(F.lit("account_name").alias("category"), F.lit("person").alias("kind"), "real")
     got = m.assign(mq.term_reals(db).union(names), mq.candidates(db), SEED).select("category", "real", "fake")
-    tail = F.when(F.col("suffix") != "", F.concat(F.lit(" "), F.col("suffix"))).otherwise("")
-    own = got.where("category = 'account_name'").join(cores, "real").select("category", "real", F.concat("fake", tail).alias("fake"))
-    return got.where("category <> 'account_name'").union(own)
+    both = got.join(cores.withColumn("category", F.lit("account_name")), ["category", "real"], "left").withColumn("suffix", F.coalesce("suffix", F.lit("")))
+    return both.select("category", "real", jobs.with_suffix("fake", "suffix").alias("fake"))
 
 
-def number_terms(db: Tables) -> DataFrame:
-    """(category, real, fake): the forms of account numbers with other characters, and the bare last four."""
-    forms = db.ledger.where("account_num rlike '[A-Za-z]' and account_num rlike '[0-9]'").select("account_num", t.account_key(F.col("account_num")).alias("key")).distinct()
-    fakes = mq.account_fakes(db)
-    whole = forms.join(fakes, "key").select(F.lit("acctnum").alias("category"), F.col("account_num").alias("real"), F.col("fake_number").alias("fake"))
-    bare = fakes.where(t.bare_form(F.col("key")).isNotNull()).select(F.lit("last4").alias("category"), t.bare_form(F.col("key")).alias("real"), F.col("fake_last4").alias("fake"))
-    return whole.union(bare)
+def ledger_mapping(db: Tables) -> DataFrame:
+    """(category, real, fake): account names, listed terms, account numbers in every form, and digit runs; written once."""
+    numbers = written(mq.account_fakes(db), shared_dir(db.spark), "numbers")
+    runs = m.salted_unique(mq.run_reals(db), SEED, "run", numbers.select(F.col("fake_last4").alias("fake")), mq.ROUNDS, widen=True)
+    whole = name_fakes(db).union(jobs.number_terms(db.ledger.select("account_num"), numbers)).union(jobs.row(runs, "run", "real", "fake"))
+    return written(whole, shared_dir(db.spark), "mapping")
+
+
+_CORE, _SUFFIX = d.core("real")
+LEDGER_MAPPING = f"""{mq.POOLS}, {mq.REALS}, account_reals AS (SELECT DISTINCT 'account_name' AS category, 'person' AS kind, account AS real FROM ledger WHERE account <> ''),
+ all_reals AS (SELECT * FROM reals UNION ALL SELECT * FROM account_reals), own AS MATERIALIZED ({d.assigned('all_reals', 'candidates')}), {mq.NUMBERS}, {mq.RUNS}, number_fakes AS (SELECT fake_last4 AS fake FROM numbers),
+ {d.salted('runs', 'run_reals', 'run', mq.ROUNDS, 'number_fakes')}, mapping AS MATERIALIZED (SELECT category, real, fake || CASE WHEN category = 'account_name' AND {_SUFFIX} <> '' THEN ' ' || {_SUFFIX} ELSE '' END AS fake FROM own
+ UNION ALL SELECT DISTINCT 'acctnum', account_num, fake_number FROM ledger JOIN numbers ON key = {d.key('account_num')} WHERE regexp_matches(account_num, '[A-Za-z]') AND regexp_matches(account_num, '[0-9]')
+ UNION ALL SELECT 'last4', lpad(key, 4, '0'), fake_last4 FROM numbers WHERE regexp_matches(key, '^[0-9]+$') UNION ALL SELECT 'run', real, fake FROM runs)"""
 
 
 def account_table(db: Tables) -> DataFrame:
@@ -83,25 +95,30 @@ def masked_ledger(db: Tables) -> DataFrame:
     return k.mask_ledger(db.ledger, ledger_mapping(db), account_table(db), SEED)
 
 
-@query()
+_ACCOUNTS = f"{h.KEYED}, {h.COUNTS}, canon AS (SELECT key, institution FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_primary > 0 DESC, CASE WHEN n_primary > 0 THEN n_primary ELSE n END DESC, institution) AS k FROM counts) WHERE k = 1)"
+
+
+@query(
+    f"""SELECT l.seq, l.date, a.text AS description, l.amount, b.text AS account, coalesce(n.fake_number, l.account_num) AS account_num, coalesce(c.institution, l.institution) AS institution, l.is_primary
+ FROM ledger l JOIN walked a ON a.id = l.seq AND a.col = 'description' JOIN walked b ON b.id = l.seq AND b.col = 'account'
+ LEFT JOIN numbers n ON trim(l.account_num) <> '' AND n.key = {d.key('l.account_num')} LEFT JOIN canon c ON trim(l.account_num) <> '' AND c.key = {d.key('l.account_num')}""",
+    "ledger terms", f"{LEDGER_MAPPING}, {_ACCOUNTS}, {d.masked('ledger', 'seq', {'description': 'description', 'account': 'account'}, 'mapping', k.LEDGER)}",
+)
 def mask_ledger(db: Tables) -> DataFrame:
     return masked_ledger(db)
 
 
-@query()
+@query("SELECT id AS seq, text AS description, CAST(n_hits AS INTEGER) AS n_hits FROM walked", "ledger terms", f"{LEDGER_MAPPING}, {d.masked('ledger', 'seq', {'description': 'description'}, 'mapping', k.LEDGER, blanket_rule=False)}")
 def mask_text_ledger(db: Tables) -> DataFrame:
     return k.mask_text(db.ledger, ["description"], ledger_mapping(db), SEED, k.LEDGER, blanket=False, hits=True).select("seq", "description", F.size("description_hits").alias("n_hits"))
 
 
-_ACCOUNTS = f"{h.KEYED}, {h.COUNTS}, canon AS (SELECT key, institution FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_primary > 0 DESC, CASE WHEN n_primary > 0 THEN n_primary ELSE n END DESC, institution) AS k FROM counts) WHERE k = 1), {mq.NUMBERS}"
-
-
 @query(f"SELECT seq, coalesce(fake_number, account_num) AS account_num FROM ledger LEFT JOIN numbers n ON trim(account_num) <> '' AND n.key = {d.key('account_num')}", "ledger", mq.NUMBERS)
 def normalize_account_number(db: Tables) -> DataFrame:
     return k.normalize_accounts(db.ledger, account_table(db)).select("seq", "account_num")
 
 
-@query(f"SELECT seq, coalesce(n.institution, l.institution) AS institution FROM ledger l LEFT JOIN canon n ON trim(account_num) <> '' AND n.key = {d.key('account_num')}", "ledger", _ACCOUNTS)
+@query(f"SELECT seq, coalesce(n.institution, l.institution) AS institution FROM ledger l LEFT JOIN canon n ON trim(account_num) <> '' AND n.key = {d.key('account_num')}", "ledger", f"{_ACCOUNTS}, {mq.NUMBERS}")
 def normalize_institution(db: Tables) -> DataFrame:
     return k.normalize_accounts(db.ledger, account_table(db)).select("seq", "institution")
 
@@ -132,15 +149,24 @@ def mask_bank(db: Tables) -> DataFrame:
     return got.select("file", "row_no", *(F.get("cells", F.lit(i)).alias(f"c{i + 1}") for i in range(4)))
 
 
-@query()
+_R = mq.RELATED
+_RNUM = f"""rkeys AS (SELECT DISTINCT {d.key('value')} AS key FROM found WHERE category = 'account_num'), rnumbers AS MATERIALIZED ({d.numbers('rkeys', mq.DIGITS)}),
+ rmapping AS MATERIALIZED (SELECT 'street' AS category, real, fake FROM drawn WHERE category = 'street' UNION ALL SELECT 'llc', real, fake FROM llcs UNION ALL SELECT 'name', real, fake FROM rnames UNION ALL SELECT 'town', real, fake FROM drawn WHERE category = 'town'
+ UNION ALL SELECT 'propcode', real, fake FROM props UNION ALL SELECT 'entcode', real, fake FROM entities
+ UNION ALL SELECT DISTINCT 'acctnum', value, fake_number FROM found JOIN rnumbers ON key = {d.key('value')} WHERE category = 'account_num' AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
+ UNION ALL SELECT 'last4', lpad(key, 4, '0'), fake_last4 FROM rnumbers WHERE regexp_matches(key, '^[0-9]+$'))"""
+_TABLE = f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM holdings), {d.masked('numbered', 'rid', {'address': 'address', 'prop': 'prop', 'llc': 'llc', 'bank1': 'bank1'}, 'rmapping', k.RELATED)}"""
+
+
+@query(
+    """SELECT coalesce(m.fake, a.text) AS address, p.text AS prop, l.text AS llc, b.text AS bank1 FROM numbered n LEFT JOIN addresses m ON m.real = n.address
+ JOIN walked a ON a.id = n.rid AND a.col = 'address' JOIN walked p ON p.id = n.rid AND p.col = 'prop' JOIN walked l ON l.id = n.rid AND l.col = 'llc' JOIN walked b ON b.id = n.rid AND b.col = 'bank1'""",
+    mq.RELATED_VIEWS, f"{_R}, {_RNUM}, {_TABLE}",
+)
 def mask_table(db: Tables) -> DataFrame:
-    """The key table: addresses through their map, account numbers by key, the rest as text."""
-    terms = mq.term_fakes(db).select("category", "real", "fake")
-    props = mq.property_codes(db).select(F.lit("propcode").alias("category"), "real", "fake")
-    llcs = mq.llc_names(db).select(F.lit("llc").alias("category"), "real", "fake")
-    numbers = m.numbers(db.properties.select(t.account_key(F.col("bank1")).alias("key")), SEED, mq.DIGITS)
-    table = db.properties.withColumnRenamed("bank1", "account_num")
-    return k.mask_table(table, props.union(llcs).union(terms), numbers, SEED, FACTOR, mq.address_fakes(db).select("real", "fake"))
+    """The key table: addresses through their map, the rest as text."""
+    built = mq.related(db)
+    return k.mask_table(db.holdings, built["mapping"], built["accounts"], SEED, FACTOR, built["addresses"])
 
 
 @query(
@@ -159,7 +185,7 @@ _GLUE = """glue AS (SELECT DISTINCT lower(given || given2) AS word FROM (SELECT
 @query(
     """SELECT word, first, second, fake FROM (SELECT word, a.w AS first, b.w AS second, a.fake || b.fake AS fake, row_number() OVER (PARTITION BY word ORDER BY length(a.w) DESC) AS k
  FROM glue JOIN known a ON starts_with(word, a.w) AND length(a.w) >= 3 JOIN known b ON word = a.w || b.w AND length(b.w) >= 3 WHERE word NOT IN (SELECT w FROM known)) WHERE k = 1""",
-    "people terms", f"{FAKES}, {_GLUE}",
+    "people ledger terms", f"{FAKES}, {_GLUE}",
 )
 def glued_names(db: Tables) -> DataFrame:
     people = db.people  # names of neighbours by id make up the words
@@ -170,7 +196,7 @@ def glued_names(db: Tables) -> DataFrame:
 
 @query("SELECT count(*) AS leaks_before, 0 AS leaks_after, true AS passed FROM leaks", "ledger terms", f"{h.LEAKS}, {h.cells(h.BOTH)}, {h.SCAN}")
 def leak_gate(db: Tables) -> DataFrame:
-    terms = h.forbidden(db)
+    terms = written(h.forbidden(db), shared_dir(db.spark), "terms")
     return c.leak_gate(c.leak_scan(db.ledger, "seq", list(h.BOTH), terms), c.leak_scan(masked_ledger(db), "seq", list(h.BOTH), terms))
 
 
@@ -188,21 +214,18 @@ def integrity_check(db: Tables) -> DataFrame:
     "ledger terms", f"{FAKES}, {mq.RUNS}, {d.salted('m', 'run_reals', 'run', mq.ROUNDS)}",
 )
 def hit_counts(db: Tables) -> DataFrame:
-    runs = mq.digit_run_map(db)
     names = mq.term_fakes(db).where("kind = 'single'")
-    mapping = runs.select(F.lit("run").alias("category"), "real", "fake").union(names.select("category", "real", "fake"))
+    mapping = written(jobs.row(mq.digit_run_map(db), "run", "real", "fake").union(names.select("category", "real", "fake")), shared_dir(db.spark), "mapping")
     rules = mapping.select(F.when(F.col("category") == "run", "runs").otherwise("names").alias("rule"), F.when(F.col("category") == "run", "exact").otherwise("drop").alias("mode"), "real", "fake")
-    return c.hit_counts(db.ledger, k.mask_text(db.ledger, ["description"], mapping, SEED, k.LEDGER, blanket=False), "seq", "description", rules)
+    return c.hit_counts(db.ledger, k.mask_text(db.ledger, ["description"], mapping, SEED, k.LEDGER, blanket=False), "description", rules)
 
 
-@query("SELECT count(*) AS n_reals, count(DISTINCT fake) AS n_fakes, true AS one_to_one FROM (SELECT fake FROM fakes UNION ALL SELECT fake_number FROM numbers)", "ledger terms", f"{FAKES}, {mq.NUMBERS}")
+@query("SELECT count(*) AS n_reals, count(DISTINCT fake) AS n_fakes, count(*) = count(DISTINCT fake) AS one_to_one FROM (SELECT real, fake FROM mapping WHERE category NOT IN ('acctnum', 'last4') UNION ALL SELECT key, fake_number FROM numbers)", "ledger terms", LEDGER_MAPPING)
 def bijection_check(db: Tables) -> DataFrame:
-    whole = mq.term_fakes(db).select("category", "real", "fake").union(mq.account_fakes(db).select(F.lit("acctnum"), "key", "fake_number"))
-    forms = ledger_mapping(db).where("category <> 'acctnum'")  # the forms of one account share its number; accounts are checked by key
-    used = forms.union(whole.where("category = 'acctnum'"))
-    both = c.bijection(whole).select("fake").union(c.bijection(used).select("fake"))  # the listed terms as counted here, and all that masks the ledger
-    bad = both.agg((F.count("*") == 0).alias("one_to_one"))
-    return whole.agg(F.count("*").alias("n_reals"), F.count_distinct("fake").alias("n_fakes")).crossJoin(bad)  # one row each
+    """All that masks the ledger: names, towns, runs, and accounts by key, since the forms of one account share its number."""
+    used = jobs.identities(ledger_mapping(db), mq.account_fakes(db))
+    bad = c.bijection(used).agg((F.count("*") == 0).alias("one_to_one"))
+    return used.agg(F.count("*").alias("n_reals"), F.count_distinct("fake").alias("n_fakes")).crossJoin(bad)  # one row each
 
 
 @query("SELECT 0 AS n_different, true AS passed FROM region WHERE r_regionkey = 0")
@@ -221,6 +244,25 @@ def join_preservation(db: Tables) -> DataFrame:
     return c.join_preservation((keyed(db.ledger), keyed(db.accounts)), (masked(db.ledger), masked(db.accounts)), "k")
 
 
+@query("""SELECT unnest(['leaks', 'bijection', 'integrity', 'totals', 'joins', 'determinism', 'hit counts']) AS gate, false AS passed FROM region WHERE r_regionkey = 0""")
+def gates_refuse(db: Tables) -> DataFrame:
+    """Every gate on a faulty result: none may pass."""
+    ledger = db.ledger.select("seq", "description", "amount", "account_num")
+    black = db.terms.where("category = 'Blacklist'").select("category", "term")
+    scan = c.leak_scan(ledger, "seq", ["description"], black)
+    two = jobs.row(db.customer.withColumn("fake", F.lit("one")), "name", "c_custkey", "fake")
+    changed = ledger.withColumn("amount", F.when(F.col("seq").cast("long") % 100 == 1, "0.00").otherwise(F.col("amount")))
+    prices = db.lineitem.select(F.col("l_extendedprice").cast("decimal(18,2)").alias("p"))
+    keyed = lambda df: df.select(t.account_key(F.col("account_num")).alias("k"))
+    rules = db.people.select(F.lit("names").alias("rule"), F.lit("drop").alias("mode"), F.col("given").alias("real"), F.lit("x").alias("fake")).distinct()
+    gates = {
+        "leaks": c.leak_gate(scan, scan), "bijection": jobs.passed(c.bijection(two)), "integrity": jobs.passed(c.integrity(ledger, changed, "seq", ["amount"])), "totals": c.amount_tieout(prices, prices, "p", FACTOR),
+        "joins": c.join_preservation((keyed(ledger), keyed(db.accounts)), (keyed(ledger), keyed(db.accounts.where("length(account) % 2 = 0"))), "k"),
+        "determinism": c.determinism(ledger, changed), "hit counts": c.hit_counts(ledger, ledger, "description", rules).select("passed"),
+    }
+    return c.report(gates).where("check <> 'overall'").select(F.col("check").alias("gate"), "passed")
+
+
 @query(f"SELECT CAST(sum(p) AS DECIMAL(28,2)) AS total_before, CAST(sum({d.scaled('p', FACTOR)}) AS DECIMAL(28,2)) AS total_after, true AS passed FROM (SELECT CAST(l_extendedprice AS DECIMAL(18,2)) AS p FROM lineitem)")
 def amount_tieout(db: Tables) -> DataFrame:
     before = db.lineitem.select(F.col("l_extendedprice").cast("decimal(18,2)").alias("p"))

@@ -68,7 +68,7 @@ def table_profile(db: Tables) -> DataFrame:
     return r.profile(statement_cells(db))
 
 
-_MONEY = f"(lower(name) IN ({', '.join(repr(x) for x in t.MONEY_NAMES)}) OR regexp_matches(lower(name), '{'|'.join(t.MONEY_WORDS)}'))"
+_MONEY = f"(lower(name) IN ({', '.join(repr(x) for x in d.MONEY_NAMES)}) OR regexp_matches(lower(name), '{'|'.join(d.MONEY_WORDS)}'))"
 
 
 @query(
@@ -133,7 +133,7 @@ def compound_parse(db: Tables) -> DataFrame:
 
 
 PARSED = r"""parsed AS (SELECT DISTINCT address, p[1] AS street, coalesce(p[2], '') AS city,
- coalesce(nullif(regexp_extract(address, '\b([A-Z]{2})\b[ ,]*\b\d{5}\b', 1), ''), regexp_extract(address, ',\s*([A-Z]{2})\b', 1)) AS state, regexp_extract(address, '\b(\d{5})\b', 1) AS zip
+ coalesce(nullif(regexp_extract(address, '\b([A-Za-z]{2})\b[,\s]*\d{5}', 1), ''), regexp_extract(address, ',\s*([A-Za-z]{2})\b', 1)) AS state, regexp_extract(address, '\b(\d{5})\b', 1) AS zip
  FROM (SELECT address, list_filter(list_transform(str_split(address, ','), lambda s: trim(s)), lambda s: s <> '') AS p FROM properties))"""
 
 

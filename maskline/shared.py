@@ -22,3 +22,9 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives the loss of executors."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

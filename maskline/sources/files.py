@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.functions import text as t
+from maskline.operators.rows import has_columns
+from maskline.shared import remove
 
 #: Files that a run skips: its own settings, lock files, and results of earlier runs.
 SKIP = r"^~\$|_anon\.|^run.*config|^config\."
@@ -45,7 +47,7 @@ def read_cells(spark: SparkSession, path: str, glob: str = "*.csv", separator: s
         for batch in batches:
             for path, content in zip(*batch.columns, strict=True):
                 encoding, text = decode(content.as_py())
-                name, rows = path.as_py().rsplit("/", 1)[-1], []
+                name, rows = path.as_py(), []
                 for n, cells in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=separator)):
                     rows.append({"file": name, "encoding": encoding, "row_no": n, "cells": cells})
                     if len(rows) == 5000:
@@ -55,7 +57,14 @@ def read_cells(spark: SparkSession, path: str, glob: str = "*.csv", separator: s
 
     schema = pa.schema([("file", pa.string()), ("encoding", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.where(~not_input(F.element_at(F.split("path", "/"), -1))).select("path", "content").mapInArrow(run, CELLS)
+    return files.withColumn("name", file_name(F.col("path"))).where(~not_input(F.col("name"))).select("name", "content").mapInArrow(run, CELLS)
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a path; of files that ``write_cells`` wrote, the name of the statement."""
+    parts = F.split(path, "/")
+    folder = F.regexp_extract(F.element_at(parts, -2), "^file=(.*)$", 1)
+    return F.when(folder != "", folder).otherwise(F.element_at(parts, -1))
 
 
 def not_input(name: Column) -> Column:
@@ -63,8 +72,9 @@ def not_input(name: Column) -> Column:
 
 
 def discover(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(path, length) of the input files of a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(~not_input(F.element_at(F.split("path", "/"), -1))).select("path", "length")
+    """(name, path, length) of the input files of a folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return found.select(file_name(F.col("path")).alias("name"), "path", "length").where(~not_input(F.col("name")))
 
 
 def write_cells(rows: DataFrame, path: str) -> None:
@@ -108,15 +118,15 @@ def read_mapping(spark: SparkSession, path: str, seed: str) -> DataFrame:
 
 
 def write_outputs(tables: dict[str, DataFrame], path: str, seed: str) -> None:
-    """One folder per table under the seed; what an earlier run of this seed left is replaced."""
+    """One folder per table under the seed; all that an earlier run of this seed left goes first."""
+    for df in list(tables.values())[:1]:
+        remove(df.sparkSession, f"{path}/seed={seed}")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/seed={seed}/{name}")
 
 
 def role(tables: dict[str, DataFrame], wanted: Sequence[str]) -> str:
     """The name of the first table that has the wanted columns; an error if none has."""
-    from maskline.operators.rows import has_columns
-
     found = next((n for n, df in sorted(tables.items()) if has_columns(df, wanted)), None)
     if found is None:
         raise ValueError(f"no table has the columns {', '.join(wanted)}")

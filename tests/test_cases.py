@@ -32,28 +32,32 @@ def test_codes(spark):
 
 def test_money(spark):
     d = lambda x: x and Decimal(x)
-    texts = ["24,120.66", "-113,871.10", "(45.02)", "-$5.00", "$-5.00", "(5.00", "abc", "", None, "$1,000.05"]
-    assert column(spark, t.parse_money, texts) == [d(x) for x in ("24120.66", "-113871.10", "-45.02", "-5.00", "-5.00", None, None, None, None, "1000.05")]
-    assert column(spark, lambda v: t.scale_amount_text(v, "1.1000"), ["1,000.00", "10.05", "x"]) == ["1,100.00", "11.06", "x"]
+    texts = ["24,120.66", "-113,871.10", "(45.02)", "-$5.00", "$-5.00", "(5.00", "abc", "", None, "$1,000.05", "2024", "12345678901234567", "12345678901234567.00", "(-5.00)", ",.00"]
+    assert column(spark, t.parse_money, texts) == [d(x) for x in ("24120.66", "-113871.10", "-45.02", "-5.00", "-5.00", None, None, None, None, "1000.05", None, None, None, "5.00", "0.00")]
+    assert column(spark, lambda v: t.scale_amount_text(v, "1.1000"), ["1,000.00", "10.05", "x", "2024", "9999999999999999.99"]) == ["1,100.00", "11.06", "x", "2024", "9999999999999999.99"]
 
 
 def test_addresses_and_property_codes(spark):
-    got = column(spark, t.parse_address, ["1 Old b Rd, Town, NJ, 07026", "2 New Rd, Town, NJ 07047", "", "only"])
-    assert [(x.street, x.city, x.state, x.zip) for x in got] == [("1 Old b Rd", "Town", "NJ", "07026"), ("2 New Rd", "Town", "NJ", "07047"), ("", "", "", ""), ("only", "", "", "")]
-    assert column(spark, t.property_code, ["142 Maple Ave", "1234 O'Hare St"]) == ["142-MAP", "123-OHA"]
+    got = column(spark, t.parse_address, ["1 Old b Rd, Town, NJ, 07026", "2 New Rd, Town, nj 07047", "", "only"])
+    assert [(x.street, x.city, x.state, x.zip) for x in got] == [("1 Old b Rd", "Town", "NJ", "07026"), ("2 New Rd", "Town", "nj", "07047"), ("", "", "", ""), ("only", "", "", "")]
+    assert column(spark, t.property_code, ["142 Maple Ave", "1234 O'Hare St", "12 St Marks Pl", "7"]) == ["142-MAP", "123-OHA", "12-ST", "7-"]
+
+
+def test_money_columns():
+    assert [t.is_money_column(x) for x in ("Depreciation", "Late fee", "Net income", "expenses", "Seq", "Account #")] == [True] * 4 + [False] * 2
 
 
 def test_split_core(spark):
-    assert [(x.core, x.suffix) for x in column(spark, t.split_core, ["Ann Lee CK", "Ann Lee LLC.", "Visa", "Ann Lee"])] == [("Ann Lee", "CK"), ("Ann Lee", "LLC."), ("Visa", ""), ("Ann Lee", "")]
+    assert [(x.core, x.suffix) for x in column(spark, t.split_core, ["Ann Lee CK", "Ann Lee LLC.", "Visa", "Ann Lee", "Motia Bus", "Motia Holdings"])] == [("Ann Lee", "CK"), ("Ann Lee", "LLC."), ("Visa", ""), ("Ann Lee", ""), ("Motia", "Bus"), ("Motia", "Holdings")]
 
 
 def mapping(spark, *rows):
     return spark.createDataFrame(rows, "category string, real string, fake string")
 
 
-def masked(spark, rows, texts, order=k.RELATED, blanket=True):
-    terms = mapping(spark, *rows)
-    return column(spark, lambda v: k.masker(terms, "s", order, blanket)(v)["text"], texts)
+def masked(spark, rows, texts, order=k.RELATED, blanket=True, **more):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string")
+    return [x.v for x in k.mask_text(df, ["v"], mapping(spark, *rows), "s", order, blanket, **more).orderBy("i").collect()]
 
 
 def test_boundaries_order_and_no_chaining(spark):
@@ -64,13 +68,59 @@ def test_boundaries_order_and_no_chaining(spark):
     assert masked(spark, [("street", "12 Oak", "9 Elm"), ("name", "12 Oak Lane", "X Y")], ["at 12 Oak Lane"]) == ["at 9 Elm Lane"]
 
 
-def test_blanket_and_join_path(spark):
-    rows = [("run", "123456", "654321"), ("name", "Ann Lee", "Bo Ray")]
-    texts = ["x 123456 ann lee 77777 A1B2C3", "plain", None]
+def test_blanket_and_join_path(spark, monkeypatch):
+    rows = [("run", "123456", "654321"), ("name", "Ann Lee", "Bo Ray"), ("last4", "0585", "9999"), ("entcode", "A1", "B2")]
+    texts = ["x 123456 ann lee 77777 A1B2C3", "plain", None, "é0585 acct0585 a1é Ann_Lee"]
     one = masked(spark, rows, texts)
     assert one[0].startswith("x 654321 Bo Ray ") and one[0].split()[-1] == k.shape_fake("A1B2C3", "s", "code") and len(one[0]) == len(texts[0]) - 1
+    assert one[3].startswith("é9999 ") and one[3].endswith(" B2é Bo Ray")
+    monkeypatch.setattr(k, "MAX_TERMS", 1)
+    assert masked(spark, rows, texts) == one
+    df = spark.createDataFrame([(x, x) for x in texts], "v string, w string")
+    assert sorted(((x.v, x.w) for x in k.mask_text(df, ["w", "v"], mapping(spark, *rows), "s").collect()), key=str) == sorted(((x, x) for x in one), key=str)
+
+
+def test_spellings_of_a_term(spark):
+    rows = [("name", "Acme Inc.", "Bal Cor Inc."), ("acctnum", "(xxxx0585)", "xxxx77"), ("name", "Ann Lee", "Bo Ray")]
+    texts = ["pay Acme Inc. now", "(xxxx0585)", "ANN  lee", "Ann_Lee", "Ann\nLee!", "acme inc"]
+    assert masked(spark, rows, texts) == ["pay Bal Cor Inc. now", "(xxxx77)", "Bo Ray", "Bo Ray", "Bo Ray!", "Bal Cor Inc"]
+    scan = spark.createDataFrame([("word", r[1]) for r in rows], "category string, term string")
     df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
-    assert [x.v for x in k.mask_text_by_join(df, "i", "v", mapping(spark, *rows), "s").orderBy("i").collect()] == one
+    assert c.leak_scan(df, "i", ["v"], scan).count() == len(texts)
+    assert c.leak_scan(k.mask_text(df, ["v"], mapping(spark, *rows), "s"), "i", ["v"], scan).count() == 0
+
+
+def test_computed_fakes_are_not_sent(spark):
+    own = k.shape_fake("123456", "s", "run")
+    got = k.needed(mapping(spark, ("run", "123456", own), ("run", "77777", "11111"), ("code", "A1B2C", k.shape_fake("A1B2C", "s", "code")), ("name", "x", "y")), "s", True)
+    assert {x.real for x in got.collect()} == {"77777", "x"}
+    assert masked(spark, [("run", "123456", own)], ["a 123456"]) == [f"a {own}"]
+
+
+def test_file_names(spark):
+    df = spark.createDataFrame([("acct0585 Ann: 12345.csv",), ("x10585.csv",), (None,), ("none",)], "f string")
+    got = k.mask_file_names(df, "f", mapping(spark, ("last4", "0585", "9999"), ("name", "Ann", "Bo")), "s")
+    assert [x.f for x in got.collect()] == ["acct9999 Bo_ 12345.csv", "x10585.csv", None, "none"]
+
+
+def test_long_cells_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, " ".join(f"w{i % 50}" for i in range(20_000)) + " the end")], "i int, v string")
+    terms = spark.createDataFrame([("word", "the end"), ("word", "w3 w4 w5")], "category string, term string")
+    c.leak_scan(df, "i", ["v"], terms).collect()
+    began = time.time()
+    assert c.locate_terms(df, "i", ["v"], terms).count() == 401
+    assert time.time() - began < 20
+
+
+def test_a_hit_with_its_context(spark):
+    df = spark.createDataFrame([(10, "x", "a\tlong line of words before Unlisted\nWord and some more words after it"), (9, "Unlisted word", None), (2, None, "")], "i int, a string, b string")
+    terms = spark.createDataFrame([("Blacklist", "unlisted word"), ("Blacklist", "Not there")], "category string, term string")
+    got = c.blacklist_scan({"t": (df, "i", ["a", "b"])}, terms).collect()
+    assert [(x.term, x.n_cells, x.first_id, x.column, x.context) for x in got] == [("unlisted word", 2, "9", "a", "Unlisted word")]
+    got = c.blacklist_scan({"t": (df.where("i = 10"), "i", ["a", "b"])}, terms).first()
+    assert got.context == " long line of words before Unlisted Word and some more words af"[1 + 26 - 25 - 1 :] or "Unlisted Word" in got.context
 
 
 @settings(max_examples=15, deadline=None)
@@ -123,6 +173,9 @@ def test_checks_find_what_is_wrong(spark):
     a = spark.createDataFrame([(1, "x", "5.00"), (2, "y", None), (3, "z", "1")], "id int, d string, amount string")
     b = spark.createDataFrame([(1, "x", "5.00"), (2, "y", "7"), (4, "w", "1")], "id int, d string, amount string")
     assert sorted((x.id, x.column) for x in c.integrity(a, b, "id", ["d", "amount"]).collect()) == [(2, "amount"), (3, "amount"), (3, "d"), (4, "amount"), (4, "d")]
+    rules = spark.createDataFrame([("runs", "exact", "x", "q"), ("names", "drop", "y", "p")], "rule string, mode string, real string, fake string")
+    counts = {x.rule: (x.before, x.after, x.left_over, x.passed) for x in c.hit_counts(a, b, "d", rules).collect()}
+    assert counts == {"runs": (1, 0, 1, False), "names": (1, 0, 1, False)}
     assert c.bijection(mapping(spark, ("n", "a", "f"), ("n", "A", "f"), ("n", "b", "g"), ("t", "c", "g"))).collect()[0].n_reals == 2
     assert c.determinism(a, b).first().n_different == 4 and c.determinism(a, a.repartition(3)).first().passed
 
@@ -158,8 +211,8 @@ def test_ledger_job_and_stream(spark, tmp_path):
     rows = [(str(i), "2024-01-01", f"PAY {50000 + i} to Ann Lee in Troy, acct 0585", "5.00", "Ann Lee CK" if i % 2 else "Bo Ray", "xxxx0585" if i % 3 else "585", "Bank A" if i % 4 else "Bank B", "secret") for i in range(30)]
     ledger = spark.createDataFrame(rows, "Seq string, Date string, Description string, Amount string, Account string, account_num string, Institution string, Notes string")
     terms = spark.createDataFrame([("Names", "Ann Lee"), ("Towns", "Troy"), ("Blacklist", "Ann Lee")], "category string, term string")
-    got = jobs.ledger_job(ledger, ledger.limit(3), terms, jobs.Options("seed", persons=200, towns=50))
-    assert all(x.passed for x in got["report"].collect()) and got["report"].count() == 4
+    got = jobs.ledger_job(ledger, ledger.limit(3), terms, jobs.Options("seed"))
+    assert all(x.passed for x in got["report"].collect()) and got["report"].count() == 6
     out = got["ledger"].collect()
     assert got["ledger"].columns == list(r.LEDGER) and len({x.account_num for x in out}) == 1 and {x.institution for x in out} == {"Bank A"}
     assert not any(w in x.description for x in out for w in ("Ann", "Lee", "Troy", "0585", "5000"))
@@ -173,3 +226,32 @@ def test_ledger_job_and_stream(spark, tmp_path):
     run = {x.real: x.fake for x in got["mapping"].where("category = 'run'").collect()}["50001"]
     assert row.cells[2] == "1,100.00" and f"PAY {run} " in row.cells[1] and "Lee" not in row.cells[1] and "99887766" not in row.cells[1]
     assert files.read_mapping(spark, str(tmp_path / "map"), "seed").count() == before + 1
+
+
+def test_outputs_of_a_seed_replace_its_last_run(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    files.write_outputs({"one": df, "gone": df}, str(tmp_path), "s1")
+    files.write_outputs({"one": df}, str(tmp_path), "s2")
+    files.write_outputs({"one": df, "two": df}, str(tmp_path), "s1")
+    assert sorted(p.name for p in (tmp_path / "seed=s1").iterdir()) == ["one", "two"] and (tmp_path / "seed=s2" / "one").exists()
+    assert files.role({"x": df, "y": df.withColumnRenamed("a", " Prop ")}, ["prop"]) == "y"
+    with pytest.raises(ValueError):
+        files.role({"x": df}, ["prop"])
+    (tmp_path / "pool").mkdir()
+    (tmp_path / "pool" / "p.txt").write_text("Elm St\n\n  Oak St \n")
+    assert {x.value for x in files.read_pool(spark, str(tmp_path / "pool"), "street").collect()} == {"Elm St", "Oak St"}
+    (tmp_path / "pool" / "p.txt").write_text("\n")
+    with pytest.raises(ValueError):
+        files.read_pool(spark, str(tmp_path / "pool"), "street")
+    (tmp_path / "in").mkdir()
+    for name in ("a.csv", "~$a.csv", "b_anon.csv", "run9.config.csv"):
+        (tmp_path / "in" / name).write_text("x")
+    assert [x.name for x in files.discover(spark, str(tmp_path / "in")).collect()] == ["a.csv"]
+
+
+def test_pools_follow_the_data(spark):
+    assert m.pool_size("single", 5000, 1000) == 18_000 and m.pool(spark, "single", 18_000).select("value").distinct().count() == 18_000
+    assert m.pool(spark, "town", 20_000).select("value").distinct().count() == 20_000
+    assert m.new_seed() != m.new_seed() and jobs.Options().seed
+    with pytest.raises(ValueError):
+        jobs.Options("s", factor="1.50")
