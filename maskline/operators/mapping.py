@@ -104,8 +104,10 @@ def assign(reals: DataFrame, candidates: DataFrame, seed: str, check: bool = Tru
 
     Categories of one kind share the pool, so fakes differ across categories too.
     """
-    real = ranked(reals.distinct().withColumn("_h", hashed(seed, F.col("kind"), F.concat_ws("|", "category", "real"))), "_h", ["kind"])
-    fake = ranked(candidates.withColumn("_h", hashed(seed, F.concat(F.lit("pool-"), F.col("kind")), F.col("value"))), "_h", ["kind"])
+    folder = shared_dir(reals.sparkSession)  # both sides are read twice: to count their buckets, and to rank
+    one = written(reals.distinct().withColumn("_h", hashed(seed, F.col("kind"), F.concat_ws("|", "category", "real"))), folder, "reals")
+    pool = written(candidates.withColumn("_h", hashed(seed, F.concat(F.lit("pool-"), F.col("kind")), F.col("value"))), folder, "pool")
+    real, fake = ranked(one, "_h", ["kind"]), ranked(pool, "_h", ["kind"])
     out = real.join(fake.select("kind", "rank", F.col("value").alias("fake")), ["kind", "rank"], "left").select("category", "kind", "real", "fake")
     if check:
         out = out.where(F.assert_true(F.col("fake").isNotNull(), F.lit("a pool of fakes is exhausted")).isNull())
@@ -115,7 +117,7 @@ def assign(reals: DataFrame, candidates: DataFrame, seed: str, check: bool = Tru
 def numbers(keys: DataFrame, seed: str, digits: int = 4) -> DataFrame:
     """(key, fake_last4, fake_number): each numeric or word key takes a number of that many digits that no real key has."""
     spark = keys.sparkSession
-    real = keys.select("key").distinct()
+    real = written(keys.select("key").distinct(), shared_dir(spark), "keys")
     free = spark.range(10**digits).select(F.lpad(F.col("id").cast("string"), digits, "0").alias("value"))
     taken = real.select(t.bare_form(F.col("key")).alias("value")).where("value is not null")
     free = ranked(free.join(taken, "value", "left_anti").withColumn("_h", hashed(seed, "pool-last4", F.col("value"))).withColumn("g", F.lit(1)), "_h", ["g"])
