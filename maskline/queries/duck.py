@@ -104,15 +104,17 @@ def invented(i: str) -> str:
 
 
 def pool(kind: str, size: str) -> str:
-    """size: SQL of a whole number (no more than the rule has without a further word)."""
+    """size: SQL of a whole number. Past the product of its parts a value gets one more word."""
     n = m.POOL_WORDS
+    most = {"single": n, "person": n * n, "town": 4 * n, "street": 999 * n * 4}[kind]
     value = {
         "single": invented(f"i % {n}"),
         "person": f"{invented(f'i % {n}')} || ' ' || {invented(f'(i * 7919 + i // {n}) % {n}')}",
         "town": f"{invented(f'i % {n}')} || ' ' || ['Falls', 'Heights', 'Grove', 'Harbor'][(i // {n}) % 4 + 1]",
         "street": f"CAST(i % 999 + 1 AS VARCHAR) || ' ' || {invented(f'(i // 999) % {n}')} || ' ' || {literal(m.STREET_KINDS)}[(i // {999 * n}) % 4 + 1]",
     }[kind]
-    return f"SELECT '{kind}' AS kind, {value} AS value FROM (SELECT unnest(range(CAST({size} AS BIGINT))) AS i)"
+    word = f"lower({invented('more - 1')})" if kind == "single" else f"' ' || {invented('more - 1')}"
+    return f"SELECT '{kind}' AS kind, {value} || CASE WHEN more > 0 THEN {word} ELSE '' END AS value FROM (SELECT j % {most} AS i, j // {most} AS more FROM (SELECT unnest(range(CAST({size} AS BIGINT))) AS j))"
 
 
 def pool_size(kind: str, reals: str, forbidden: str) -> str:

@@ -120,10 +120,10 @@ def number_terms(db: Tables) -> DataFrame:
 )
 def word_accounts(db: Tables) -> DataFrame:
     """An account that is a word is replaced in account cells only."""
-    table = db.ledger.select("seq", F.when(F.col("account_num") == "PP", "PP").otherwise(F.col("account")).alias("account"), "account_num", F.concat("description", F.lit(" PP")).alias("memo"))
+    table = db.ledger.select(F.col("seq").cast("long").alias("id"), F.when(F.col("account_num") == "PP", "PP").otherwise(F.col("account")).alias("account"), "account_num", F.concat("description", F.lit(" PP")).alias("memo"))
     empty = db.spark.createDataFrame([], "category string, real string, fake string")
-    got = k.mask_table(table.withColumnRenamed("seq", "id"), empty, written(mq.account_fakes(db), shared_dir(db.spark), "numbers"), SEED)
-    return got.select(F.col("id").alias("seq"), "account", "account_num", "memo")
+    got = k.mask_table(table, empty, written(mq.account_fakes(db), shared_dir(db.spark), "numbers"), SEED)
+    return got.select(F.col("id").cast("string").alias("seq"), "account", "account_num", "memo")
 
 
 @query('SELECT id AS seq, col AS "column", kind, hit FROM leaks ORDER BY id, col LIMIT 10', "ledger terms", f"{h.LEAKS}, {h.cells(h.BOTH)}, {h.SCAN}")
