@@ -7,8 +7,8 @@ so far selects, and with probability 1/THRESHOLD - 1 by a second one, level
 after level; similar sets stay together in some branch. Buckets of at most
 BUCKET sets are compared by brute force, larger ones in random blocks, which
 links what is nearly equal. Sets that fall into a larger bucket then start anew
-in more runs. There a bucket whose sets are all linked already needs no more
-work; large ones are split further, and what is still large after DEPTH levels
+in more runs and twice as deep. There a bucket whose sets are all linked already
+needs no more work; large ones are split further, and what is still large after DEPTH levels
 is compared in pairs of blocks, so that no task holds a large group. Runs repeat
 until a pair at the threshold meets with probability RECALL: for all sets after
 LEVELS levels, for those of large buckets even after DEPTH levels.
@@ -151,8 +151,8 @@ def _descend(path: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np
     return path, rows
 
 
-def _paths(df: DataFrame, n_runs: int = 0) -> DataFrame:
-    """(path, node, label) of sets (node, label, sketch) in so many runs, or of (node, label, sketch, path) further down."""
+def _paths(df: DataFrame, n_runs: int = 0, levels: int = LEVELS) -> DataFrame:
+    """(path, node, label) of sets (node, label, sketch) in so many runs, or of (node, label, sketch, path), so many levels down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +166,8 @@ def _paths(df: DataFrame, n_runs: int = 0) -> DataFrame:
                 else:
                     start = [(part.column(3).to_numpy().view(np.uint64), own)]
                 for path, rows in start:
-                    path, rows = _descend(path, rows, values)
+                    for _ in range(levels // LEVELS):
+                        path, rows = _descend(path, rows, values)
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[rows]), pa.array(label[rows])], names=["path", "node", "label"])
 
     return df.select("node", "label", "sketch", *(() if n_runs else ("path",))).mapInArrow(run, "path long, node long, label long")
@@ -224,15 +225,17 @@ def _pairs(side: np.ndarray) -> np.ndarray:
 
 
 def _candidates(t: pa.Table) -> list[np.ndarray] | None:
-    """Star edges (u, v) among the rows (group, node, side, sketch) of a bucket."""
+    """Star edges (u, v) between the labels of the rows (group, label, side, sketch) of a bucket. What has one label is linked already."""
     if t.num_rows < 2:
         return None
-    node, side = t.column(1).to_numpy(), t.column(2).to_numpy()
+    label, side = t.column(1).to_numpy(), t.column(2).to_numpy()
+    if (label == label[0]).all():
+        return None
     values = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
     same = np.stack([(values == v).sum(1) for v in values]) >= CANDIDATE * COORDINATES
-    root = _roots(same & _pairs(side), node)
-    tied = root != node
-    return [node[tied], root[tied]] if tied.any() else None
+    root = _roots(same & _pairs(side) & (label[:, None] != label[None, :]), label)
+    tied = np.unique(np.stack([label, root], 1)[root != label], axis=0)
+    return [tied[:, 0], tied[:, 1]] if len(tied) else None
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -289,9 +292,9 @@ def _sized(paths: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFra
 
 
 def _edges(members: DataFrame, sketches: DataFrame, folder: str, name: str) -> DataFrame:
-    """Star edges (u, v) among members (group, node, side)."""
-    rows = members.select("group", "node", "side").join(sketches.select("node", "sketch").hint("merge"), "node")
-    found = in_groups(rows.select("group", "node", "side", "sketch"), _candidates, "u long, v long")
+    """Star edges (u, v) between the labels of members (group, node, label, side)."""
+    rows = members.select("group", "node", "label", "side").join(sketches.select("node", "sketch").hint("merge"), "node")
+    found = in_groups(rows.select("group", "label", "side", "sketch"), _candidates, "u long, v long")
     return written(found.distinct(), folder, f"edges-{name}")
 
 
@@ -302,7 +305,7 @@ def _candidate_edges(sketches: DataFrame, folder: str) -> DataFrame:
     members = paths.join(sizes.hint("merge"), "path")
     # a large bucket: one round of random blocks, other ones for each path
     block = F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("node", "path"), F.ceil(per_block))).otherwise(F.lit(0))
-    edges = _edges(members.select(F.xxhash64("path", block).alias("group"), "node", F.lit(0).alias("side")), sketches, folder, "all")
+    edges = _edges(members.select(F.xxhash64("path", block).alias("group"), "node", "label", F.lit(0).alias("side")), sketches, folder, "all")
     large = written(members.where(F.col("size") > BUCKET).select("node").distinct(), folder, "large")
     if large.isEmpty():
         return edges
@@ -310,8 +313,8 @@ def _candidate_edges(sketches: DataFrame, folder: str) -> DataFrame:
     linked = components(edges, f"{folder}/first")
     own = large.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     own = written(sketches.join(own.hint("merge"), "node"), folder, "large-sketches")
-    paths = _paths(own, runs(DEPTH))
-    for level in range(LEVELS, DEPTH + 1, LEVELS):
+    paths = _paths(own, runs(DEPTH), 2 * LEVELS)
+    for level in range(2 * LEVELS, DEPTH + 1, LEVELS):
         paths, sizes = _sized(paths, folder, str(level))
         wanted = sizes if level >= DEPTH else sizes.where(F.col("size") <= BUCKET)
         edges = edges.union(_edges(blocks(paths.join(wanted.hint("merge"), "path"), "path", per_block), own, folder, str(level)))
@@ -350,7 +353,7 @@ def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
     tied = tied.join(least, "label").select("node", "class_id", "links")
     final = nodes.join(tied, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     final = written(final, folder, "final")
-    levels = ["all", *map(str, range(LEVELS, DEPTH + 1, LEVELS))]
+    levels = ["all", *map(str, range(2 * LEVELS, DEPTH + 1, LEVELS))]
     work = [f"{kind}-{k}" for k in levels for kind in ("paths", "sizes", "edges")]
     discard(rows.sparkSession, folder, *work, "large", "first", "large-sketches", "nodes", "sketches", "candidates", "groups", "group-sizes", "members", "sets", "compared", "links", "linked", "tied", "least")
     return final
