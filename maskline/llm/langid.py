@@ -47,14 +47,17 @@ UNKNOWN = "und"
 CACHE_WORDS = 60_000
 
 
+ASCII_WORD = re.compile("[a-z]+")
+
+
 @cache
-def word_pattern() -> re.Pattern:
-    """A letter, then letters and marks; built once a process from the Unicode categories."""
+def word_pattern(last: int) -> re.Pattern:
+    """A letter, then letters and marks, up to a code point; built once a process from the Unicode categories."""
     sets: dict[str, list[str]] = {"L": [], "M": []}
     for kind, ranges in sets.items():
         first = None
-        for c in range(sys.maxunicode + 2):
-            inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+        for c in range(last + 2):
+            inside = c <= last and unicodedata.category(chr(c))[0] == kind
             if inside and first is None:
                 first = c
             elif not inside and first is not None:
@@ -65,7 +68,12 @@ def word_pattern() -> re.Pattern:
 
 
 def words_of(text: str | None) -> list[str]:
-    return word_pattern().findall((text or "").lower())
+    """The words of a text in lower case. Classes of characters up to U+FFFF are looked up, further ones are searched, so they are left out where a text has none."""
+    low = (text or "").lower()
+    if low.isascii():
+        return ASCII_WORD.findall(low)
+    plain = len(low.encode("utf-16-le", "surrogatepass")) == 2 * len(low)
+    return word_pattern(0xFFFF if plain else sys.maxunicode).findall(low)
 
 
 def grams(word: str, order: int) -> list[str]:
