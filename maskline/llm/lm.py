@@ -10,11 +10,16 @@ factored into CLASSES classes of WIDTH words: the probability of a word is that
 of its class times that within the class. The most frequent words have their
 own place; the rest fall into WIDTH buckets by their last letters, the first
 class, and a word's share of its bucket is its smoothed count. So every string
-has a probability and they sum to one. Training is truncated backpropagation:
-the state is carried from window to window of a stream of texts. Each task
-trains a copy on its own part of the texts and the copies are averaged, ROUNDS
-times; together the rounds see every training text once. Scoring carries the
-state through the whole text, whatever its length.
+has a probability; the known words and one unseen word per bucket sum to one
+(each unseen string gets the share of that one). Training is truncated
+backpropagation: a task's texts follow one another, their flow is cut into
+STREAMS, each stream reads the word before its first one, and the state is
+carried from window to window. Each task trains a copy on its own part of the
+texts and the copies are averaged, ROUNDS times; together the rounds see every
+training text once. Which texts a task holds depends on how the table is laid
+out, so another layout gives somewhat other weights and scores; counts and base
+scores do not change. Scoring carries the state through the whole text,
+whatever its length.
 
 Defined results: a null or empty text is its end token alone; a null id counts
 as not held out; repeated rows are scored row by row; an empty training set
@@ -226,7 +231,7 @@ class Trainer:
     """Adam over the windows of streams that are cut from a flow of texts."""
 
     def __init__(self, net: Network, end: int, step: float):
-        self.net, self.end, self.step, self.seen, self.tokens = net, end, step, 0, 0
+        self.net, self.last, self.step, self.seen, self.tokens = net, end, step, 0, 0
         self.mean, self.square = ([np.zeros_like(q) for q in net.p] for _ in range(2))
         self.waiting = np.zeros(0, np.int64)
 
@@ -234,15 +239,17 @@ class Trainer:
         self.waiting = np.concatenate([self.waiting, words])
         steps = len(self.waiting) // STREAMS
         if steps >= WINDOW:
-            self.learn(self.waiting[: steps * STREAMS].reshape(STREAMS, steps).T)
+            self.learn(self.waiting[: steps * STREAMS], STREAMS)
             self.waiting = self.waiting[steps * STREAMS :]
 
     def finish(self) -> None:
         if len(self.waiting):
-            self.learn(self.waiting.reshape(-1, 1))
+            self.learn(self.waiting, 1)
 
-    def learn(self, y: np.ndarray) -> None:
-        x = np.concatenate([np.full((1, y.shape[1]), self.end), y[:-1]])
+    def learn(self, flow: np.ndarray, streams: int) -> None:
+        """Train on a flow of words, cut into streams; each reads the word before its first one."""
+        x, y = (v.reshape(streams, -1).T for v in (np.concatenate([[self.last], flow[:-1]]), flow))
+        self.last = int(flow[-1])
         h = np.zeros((y.shape[1], HIDDEN), np.float32)
         self.tokens += y.size
         for t in range(0, len(y), WINDOW):
@@ -357,7 +364,9 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
 
     # words that no training text has keep count 0 and need not come back
     per_chunk = chunk_keys(chunks).select("chunk", "place", "key").join(counts.where("c > 0").hint("merge"), "key").select("chunk", F.expr(f"(place << {COUNT_BITS}) | c").alias("tag"))
-    both = chunks.select("chunk", "ids", "own", "place", "lengths", "held").groupBy("chunk").cogroup(per_chunk.groupBy("chunk"))
+    parts = max(1, chunks.count())  # a task holds one chunk or a few, at every size
+    whole = chunks.select("chunk", "ids", "own", "place", "lengths", "held").repartition(parts, "chunk")
+    both = whole.groupBy("chunk").cogroup(per_chunk.repartition(parts, "chunk").groupBy("chunk"))
     return both.applyInArrow(score, f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
