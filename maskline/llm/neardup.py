@@ -132,6 +132,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 node[i] = int(total.view(np.int64)[0])
                 rows[i] = sketch(s).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(rows, pa.binary()), batch.column(1)], names=[id_col, "node", "sketch", "text"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     texts = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, with_id(texts, id_col, "node long, sketch binary, text string"))
@@ -202,6 +203,8 @@ def in_groups(df: DataFrame, work: Callable[[pa.Table], list[np.ndarray]], out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
         if rest is not None and (x := work(rest)) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=names)
+        rest = None
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.repartition("group").sortWithinPartitions("group").mapInArrow(run, out)
 

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are handled at once; a longer text is cut at white space.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that are handled at once; a longer text is cut at white space. Scratch arrays take some forty times as much.
+CHUNK_BYTES = 1 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
