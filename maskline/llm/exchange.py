@@ -174,7 +174,7 @@ def truth(answers: pa.Table, sizes: dict[int, int]) -> np.ndarray:
 
 def runs(order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(order, first) of rows sorted by the arrays, first one first: which of the sorted rows begins a run of equal rows."""
-    order = np.lexsort(order_by[::-1]) if len(order_by) > 1 else np.argsort(order_by[0], kind="stable")
+    order = np.lexsort(order_by[::-1]) if len(order_by) > 1 else np.argsort(order_by[0])
     first = np.ones(len(order), bool)
     if len(order):
         first[1:] = False
