@@ -55,12 +55,13 @@ class Mined:
         self.words = words = tk.segments(self.buf, chunk.offsets, SPLIT)
         piece = np.cumsum(SEPARATORS[self.buf])[words.start] + words.doc if len(words.start) else words.doc
         found = [tk.windows(words.key, piece, k) for k in range(1, LONGEST + 1)]
-        self.at = np.concatenate([at for at, _ in found])
-        self.size = np.repeat(np.arange(1, LONGEST + 1), [len(at) for at, _ in found])
+        self.at = np.concatenate([at.astype(np.int32) for at, _ in found])
+        self.size = np.repeat(np.arange(1, LONGEST + 1, dtype=np.int8), [len(at) for at, _ in found])
         hashes = tk.mix(np.concatenate([h for _, h in found]) + self.size.astype(np.uint64))
+        del piece, found
         coded = chunk.keys.dictionary_encode()
         owner = coded.indices.to_numpy(zero_copy_only=False)[words.doc][self.at].astype(np.uint16 if len(coded.dictionary) < 1 << 16 else np.int64)
-        by_lang = np.argsort(owner, kind="stable")
+        by_lang = np.argsort(owner, kind="stable").astype(np.int32)
         bounds = np.searchsorted(owner[by_lang], np.arange(len(coded.dictionary) + 1))
         self.langs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # places, times and hashes of distinct phrases
         for k, lang in enumerate(coded.dictionary.to_pylist()):
@@ -72,7 +73,7 @@ class Mined:
 
     def phrases(self, places: np.ndarray) -> pa.Array:
         """The words at the places, one blank between them."""
-        at, size = self.at[places], self.size[places]
+        at, size = self.at[places], self.size[places].astype(np.int64)
         first = np.cumsum(size) - size
         inner = np.arange(int(size.sum())) - np.repeat(first, size)
         word = np.repeat(at, size) + inner
