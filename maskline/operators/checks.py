@@ -43,45 +43,101 @@ def first_leaks(leaks: DataFrame, order: Sequence[str], n: int = 10) -> DataFram
 
 
 def blacklist_scan(tables: dict[str, tuple[DataFrame, str, Sequence[str]]], terms: DataFrame) -> DataFrame:
-    """(table, term, n_cells, first_id, column, context): blacklist terms in all cells of all tables, with the first cell that has each and what surrounds it."""
+    """(table, term, n_cells, first_id, column, context): blacklist terms in all cells of all tables, with the first cell that has each and what surrounds it.
+
+    Places alone are compared; a cell is fetched only where it is a term's first.
+    """
     out = None
     for name, (df, id_col, columns) in tables.items():
-        hits = locate_terms(df, id_col, list(columns), terms, cells=True)
-        hits = hits.select(F.lit(name).alias("table"), "term", F.col(id_col).cast("string").alias("id"), "column", "at", "n", "cell")
+        folder = shared_dir(df.sparkSession)
+        hits = locate_terms(df, id_col, list(columns), terms).select("term", id_col, "column", "at", "n")
         # one row per cell, then one per term: no cell is counted twice and no list is built
-        cells = hits.groupBy("table", "term", "id", "column").agg(F.min(F.struct("at", "n")).alias("at"), F.any_value("cell").alias("cell"))
-        first = F.min_by(F.struct("id", "column", "at", "cell"), F.struct(F.length("id"), "id", "column")).alias("f")
-        part = cells.groupBy("table", "term").agg(F.count("*").alias("n_cells"), first)
+        cells = hits.groupBy("term", id_col, "column").agg(F.min(F.struct("at", "n")).alias("at")).withColumn("id", F.col(id_col).cast("string"))
+        first = F.min_by(F.struct(id_col, "id", "column", "at"), F.struct(F.length("id"), "id", "column")).alias("f")
+        won = written(cells.groupBy("term").agg(F.count("*").alias("n_cells"), first).select("term", "n_cells", f"f.{id_col}", "f.id", "f.column", "f.at"), folder, "first")
+        one = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in columns))).alias("x")
+        texts = df.join(won.select(id_col).distinct(), id_col, "left_semi").select(id_col, one).select(id_col, "x.*")
+        both = won.join(texts.groupBy(id_col, "column").agg(F.min("cell").alias("cell")), [id_col, "column"])
+        part = both.select(F.lit(name).alias("table"), "term", "n_cells", F.col("id").alias("first_id"), "column", t.clip(F.col("cell"), F.col("at.at"), F.col("at.n")).alias("context"))
         out = part if out is None else out.union(part)
-    context = t.clip(F.col("f.cell"), F.col("f.at.at"), F.col("f.at.n"))
-    return out.select("table", "term", "n_cells", F.col("f.id").alias("first_id"), "f.column", context.alias("context"))
+    return out
+
+
+def _matches(df: DataFrame, columns: Sequence[str], sides: DataFrame) -> DataFrame:
+    """(rule, side, n): how often each text of sides (rule, text, side) stands in the columns.
+
+    A text of ASCII letters and digits is a token between other characters; any other is found by its words.
+    """
+    plain = sides.where("text rlike '^[A-Za-z0-9]+$'").withColumn("w", F.lower("text"))
+    tokens = df.select(F.explode(F.concat(*(t.alnum_tokens(F.lower(F.col(f"`{c}`"))) for c in columns))).alias("w"))
+    found = tokens.join(plain, "w").select("rule", "side")
+    worded = sides.where("not text rlike '^[A-Za-z0-9]+$'").withColumnRenamed("text", "term")
+    places = locate_terms(df.withColumn("_one", F.lit(1)), "_one", list(columns), worded, ("rule", "side"))
+    return found.union(places.select("rule", "side")).groupBy("rule", "side").agg(F.count("*").alias("n"))
 
 
-def hit_counts(before: DataFrame, after: DataFrame, column: str, rules: DataFrame) -> DataFrame:
-    """(rule, mode, before, after, passed) of rules (rule, mode, real, fake): matches of the real in the input and of the fake in the output.
+def hit_counts(before: DataFrame, after: DataFrame, columns: str | Sequence[str], rules: DataFrame) -> DataFrame:
+    """(rule, mode, before, after, left_over, passed) of rules (rule, mode, real, fake): matches of reals in the input, of fakes and of reals in the output.
 
-    Mode exact wants equal counts, drop wants none of the real left, info always passes. Case does not count; reals and fakes are
-    single words. The rules are written once, as each side reads them.
+    Mode exact wants equal counts, drop wants no fewer fakes than there were reals and none of these left, info always
+    passes. Case does not count; reals and fakes have any number of words. The rules are written once, as each side reads them.
     """
+    columns = [columns] if isinstance(columns, str) else list(columns)
     rules = written(rules, shared_dir(before.sparkSession), "rules")
-    side = lambda c: F.struct(F.lower(c).alias("w"), F.lit(c).alias("side"))
-    sides = rules.select("rule", F.explode(F.array(side("real"), side("fake"))).alias("x")).select("rule", "x.*")
-    found = lambda df: df.select(F.explode(t.alnum_tokens(F.lower(column))).alias("w")).join(sides, "w").groupBy("rule")
-    one = found(before).agg(F.count_if(F.col("side") == "real").alias("before"))
-    two = found(after).agg(F.count_if(F.col("side") == "fake").alias("after"), F.count_if(F.col("side") == "real").alias("left_over"))
+    side = lambda c: F.struct(F.col(c).alias("text"), F.lit(c).alias("side"))
+    reals = rules.select("rule", F.explode(F.array(side("real"))).alias("x")).select("rule", "x.*")
+    both = rules.select("rule", F.explode(F.array(side("real"), side("fake"))).alias("x")).select("rule", "x.*")
+    one = _matches(before, columns, reals).groupBy("rule").agg(F.sum("n").alias("before"))
+    of = lambda name: F.sum(F.when(F.col("side") == name, F.col("n")).otherwise(0))
+    two = _matches(after, columns, both).groupBy("rule").agg(of("fake").alias("after"), of("real").alias("left_over"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    both = rules.select("rule", "mode").distinct().join(one, "rule", "left").join(two, "rule", "left")
-    passed = F.when(F.col("mode") == "exact", F.col("before") == F.col("after")).when(F.col("mode") == "drop", F.col("left_over") == 0).otherwise(True)
-    return both.select("rule", "mode", zero("before"), zero("after"), zero("left_over")).withColumn("passed", passed)
+    counts = rules.select("rule", "mode").distinct().join(one, "rule", "left").join(two, "rule", "left").select("rule", "mode", zero("before"), zero("after"), zero("left_over"))
+    passed = F.when(F.col("mode") == "exact", F.col("before") == F.col("after")).when(F.col("mode") == "drop", (F.col("after") >= F.col("before")) & (F.col("left_over") == 0)).otherwise(True)
+    return counts.withColumn("passed", passed)
+
+
+#: Buckets of a table's rows whose sums are compared before any row is.
+BUCKETS = 4096
 
 
-def integrity(before: DataFrame, after: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
-    """(id, column, old, new): cells of columns that differ; rows that only one side has differ in every column. id is unique."""
-    side = lambda df, mark: df.select(F.col(id_col), F.lit(True).alias(mark), F.struct(*(F.col(c).cast("string").alias(c) for c in columns)).alias(f"{mark}_row"))
-    both = side(before, "old").join(side(after, "new"), id_col, "full_outer").where(F.col("old").isNull() | F.col("new").isNull() | ~F.col("old_row").eqNullSafe(F.col("new_row")))
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"old_row.{c}").alias("old"), F.col(f"new_row.{c}").alias("new")) for c in columns))).alias("x")
-    one_sided = F.col("old").isNull() | F.col("new").isNull()
-    return both.select(id_col, one_sided.alias("one"), cells).where(F.col("one") | ~F.col("x.old").eqNullSafe(F.col("x.new"))).select(id_col, "x.column", "x.old", "x.new")
+def checksums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, column, n, total): of each bucket of rows by key and each column, the number of rows and the sum of their hashes, which no order changes."""
+    bucket = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(buckets)).alias("bucket")
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.xxhash64(*(F.col(f"`{k}`") for k in keys), F.col(f"`{c}`"), F.col(f"`{c}`").isNull()).alias("h")) for c in columns))
+    rows = df.select(bucket, F.explode(each).alias("x"))
+    return rows.groupBy("bucket", "x.column").agg(F.count("*").alias("n"), F.sum(F.col("x.h").cast("decimal(20,0)")).alias("total"))
+
+
+def unequal_buckets(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, column) whose sums differ between two tables; buckets * columns rows at most."""
+    a, b = (checksums(df, keys, columns, buckets).select("bucket", "column", F.struct("n", "total").alias(name)) for df, name in ((before, "a"), (after, "b")))
+    return a.join(b, ["bucket", "column"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket", "column")
+
+
+def _suspects(df: DataFrame, keys: Sequence[str], columns: Sequence[str], bad: DataFrame, buckets: int) -> DataFrame:
+    """(keys..., column, value) of the cells in unequal buckets."""
+    bucket = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(buckets)).alias("bucket")
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
+    cells = df.select(*(F.col(f"`{k}`") for k in keys), bucket, F.explode(each).alias("x")).select(*(f"`{k}`" for k in keys), "bucket", "x.*")
+    return cells.join(F.broadcast(bad), ["bucket", "column"], "left_semi").drop("bucket")  # buckets * columns rows at most
+
+
+def integrity(before: DataFrame, after: DataFrame, id_col: str, columns: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """(id, column, n_gone, n_new, old, new): per id, the cells of columns that only one side has; empty if nothing changed.
+
+    Sums over buckets of ids are compared first, and only where they differ are
+    cells counted by id and value, so an id may occur any number of times. old
+    and new are the least of the values that are gone and that are new. Rows
+    that only one side has are gone, or new, in every column.
+    """
+    one, two = (df.select(F.col(f"`{id_col}`"), *(F.col(f"`{c}`").cast("string").alias(c) for c in columns)) for df in (before, after))
+    bad = written(unequal_buckets(one, two, [id_col], columns, buckets), shared_dir(before.sparkSession), "unequal")
+    side = lambda df, n: _suspects(df, [id_col], columns, bad, buckets).withColumn("_n", F.lit(n))
+    counts = side(one, -1).union(side(two, 1)).groupBy(id_col, "column", "value").agg(F.sum("_n").alias("d")).where("d <> 0")
+    gone, new = F.col("d") < 0, F.col("d") > 0
+    return counts.groupBy(id_col, "column").agg(
+        F.sum(F.when(gone, -F.col("d")).otherwise(0)).alias("n_gone"), F.sum(F.when(new, F.col("d")).otherwise(0)).alias("n_new"), F.min(F.when(gone, F.col("value"))).alias("old"), F.min(F.when(new, F.col("value"))).alias("new")
+    )
 
 
 def bijection(mapping: DataFrame) -> DataFrame:
@@ -89,11 +145,13 @@ def bijection(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("fake").agg(F.count_distinct(F.concat_ws("|", "category", F.lower("real"))).alias("n_reals")).where("n_reals > 1")
 
 
-def determinism(one: DataFrame, two: DataFrame) -> DataFrame:
-    """One row: rows that only one of two builds has."""
-    a, b = (x.groupBy(*one.columns).agg(F.count("*").alias("_n")) for x in (one, two))
-    a, b = a.withColumnRenamed("_n", "_a"), b.withColumnRenamed("_n", "_b")
-    diff = a.join(b, [a[c].eqNullSafe(b[c]) for c in one.columns], "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+def determinism(one: DataFrame, two: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row: distinct rows that two builds do not have equally often. Only buckets with unequal sums are counted row by row."""
+    names = [f"`{c}`" for c in one.columns]
+    whole = [df.select(F.to_json(F.struct(*(F.col(c).cast("string") for c in names)), {"ignoreNullFields": "false"}).alias("row")) for df in (one, two)]
+    bad = written(unequal_buckets(*whole, ["row"], ["row"], buckets), shared_dir(one.sparkSession), "unequal")
+    side = lambda df, n: _suspects(df, ["row"], ["row"], bad, buckets).withColumn("_n", F.lit(n))
+    diff = side(whole[0], -1).union(side(whole[1], 1)).groupBy("row").agg(F.sum("_n").alias("d")).where("d <> 0")
     return diff.agg(F.count("*").alias("n_different")).withColumn("passed", F.col("n_different") == 0)
 
 

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from maskline.functions import text as t
 from maskline.shared import shared_dir, written
 
-#: First words of terms, with lengths, that are sent to all executors; more are joined.
-FIRST_WORDS = 1_000_000
+#: Bits of the filter of first words for each of them, and at most (4 MB): it is always small enough to send.
+FILTER_BITS, MOST_BITS = 16, 1 << 25
+#: A term with more than this share of all places is joined apart from the others, by broadcast: fewer terms than HOT_TERMS can have it.
+HOT_SHARE, HOT_TERMS = 0.005, 200
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -94,26 +96,58 @@ def term_keys(terms: DataFrame) -> DataFrame:
     return keyed.select(*terms.columns, F.array_join("_w", " ").alias("gram"), F.get("_w", F.lit(0)).alias("first"), F.size("_w").alias("n_words"))
 
 
-def locate_terms(df: DataFrame, id_col: str, columns: list[str], terms: DataFrame, keep: tuple[str, ...] = ("category", "term"), cells: bool = False) -> DataFrame:
-    """(id, column, at, n, kept columns of terms): every place where a term (column term) stands as whole words, with its cell if asked.
+def word_filter(words: DataFrame, n_words: int) -> tuple[DataFrame, int]:
+    """((slot, bits), number of slots): a bit for each word (first) by its hash, 64 to a slot; sized by the count of words."""
+    slots = 1 << max(0, (min(MOST_BITS, n_words * FILTER_BITS) // 64).bit_length())
+    slot, place = _slot(F.col("first"), slots)
+    bits = words.select(slot.alias("slot"), place.alias("place")).groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    return bits, slots
 
-    Words are found once per cell. A word that begins no term is dropped where it
-    is read; for the others the runs of the lengths that terms with that first
-    word have meet the terms by equality. So only runs that can match are
-    shuffled, and a cell costs time in proportion to its words.
+
+def _slot(word: Column, slots: int) -> tuple[Column, Column]:
+    h = F.xxhash64(word)
+    return F.pmod(F.shiftright(h, 6), F.lit(slots)), F.pmod(h, F.lit(64)).cast("int")
+
+
+def frequent(values: DataFrame, column: str) -> list[str]:
+    """Values of the column that have more than HOT_SHARE of the rows, by a sketch of bounded size and an exact count of what it names."""
+    top = values.agg(F.expr(f"approx_top_k(`{column}`, {HOT_TERMS}, {20 * HOT_TERMS})").alias("top"), F.count("*").alias("n")).first()
+    named = [x["item"] for x in top.top or []]
+    exact = values.where(F.col(column).isin(named)).groupBy(column).agg(F.count("*").alias("n")).collect() if named else []  # HOT_TERMS at most
+    return [x[0] for x in exact if x.n > HOT_SHARE * top.n]
+
+
+def locate_terms(df: DataFrame, id_col: str, columns: list[str], terms: DataFrame, keep: tuple[str, ...] = ("category", "term")) -> DataFrame:
+    """(id, column, at, n, kept columns of terms): every place where a term (column term) stands as whole words.
+
+    Words are found once per cell, where it is read, and a filter there drops
+    what begins no term. Only places go on, never cells: a place has runs of the
+    lengths that terms with its first word have, and these meet the terms by
+    equality. Terms with a large share of all places are counted first and
+    joined apart, so that a term in every cell makes no task larger than others.
     """
-    keys = written(term_keys(terms).select(*keep, "gram", "first", "n_words"), shared_dir(df.sparkSession), "terms")
-    firsts = keys.select("first", "n_words").distinct()
+    folder = shared_dir(df.sparkSession)
+    keys = written(term_keys(terms).select(*keep, "gram", "first", "n_words"), folder, "terms")
+    firsts = written(keys.select("first", "n_words").distinct(), folder, "firsts")
     longest, n = firsts.agg(F.max("n_words"), F.count("*")).first()
-    firsts = firsts.hint("broadcast") if n <= FIRST_WORDS else firsts
-    one = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")) for c in columns))).alias("x")
-    words = df.select(id_col, one).select(id_col, "x.column", "x.cell", t.words(F.col("x.cell")).alias("_w"))
-    extra = ["cell"] if cells else []
-    places = words.select(id_col, "column", *extra, F.explode(t.word_runs(F.col("_w"), longest or 1)).alias("p"))
-    places = places.select(id_col, "column", *extra, "p.at", "p.run", F.get("p.run", F.lit(0)).alias("first"))
-    runs = places.join(firsts, "first").where(F.size("run") >= F.col("n_words"))
-    runs = runs.select(id_col, "column", *extra, "at", F.col("n_words").alias("n"), F.array_join(F.slice("run", F.lit(1), F.col("n_words")), " ").alias("gram"))
-    return runs.join(keys.select("gram", *keep), "gram").select(id_col, "column", *extra, "at", "n", *keep)
+    bits, slots = word_filter(firsts, n)
+    one = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in columns))).alias("x")
+    words = df.select(id_col, one).select(id_col, "x.column", t.words(F.col("x.cell")).alias("_w"))
+    places = words.select(id_col, "column", F.explode(t.word_runs(F.col("_w"), longest or 1)).alias("p"))
+    places = places.select(id_col, "column", "p.at", "p.run", F.get("p.run", F.lit(0)).alias("first"))
+    slot, place = _slot(F.col("first"), slots)
+    places = places.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.getbit("bits", place) == 1)  # MOST_BITS at most
+    sizes = firsts.groupBy("first").agg(F.collect_set("n_words").alias("sizes"))  # lengths of terms
+    runs = places.drop("slot", "bits").join(sizes, "first").select(id_col, "column", "at", "run", F.explode("sizes").alias("n")).where(F.size("run") >= F.col("n"))
+    runs = written(runs.select(id_col, "column", "at", "n", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("gram")), folder, "places")
+    own, out = keys.select("gram", *keep), [id_col, "column", "at", "n", *keep]
+    hot = frequent(runs, "gram")
+    cold = runs.where(~F.col("gram").isin(hot)).join(own.where(~F.col("gram").isin(hot)), "gram") if hot else runs.join(own, "gram")
+    found = cold.select(*out)
+    if hot:
+        some = own.where(F.col("gram").isin(hot))  # HOT_TERMS terms, each with the few rows that share its words
+        found = found.union(runs.where(F.col("gram").isin(hot)).join(F.broadcast(some), "gram").select(*out))
+    return found
 
 
 def sample(values: DataFrame, column: str, n: int) -> DataFrame:

@@ -20,14 +20,14 @@ from maskline.operators import masking as k
 from maskline.operators import related as rel
 from maskline.operators import rows as r
 from maskline.shared import shared_dir, written
-from maskline.sources.files import role
+from maskline.sources.files import role, write_outputs
 
 
 @dataclass
 class Options:
     """seed (minted if none is given) and choices of a run; digits is the length of fake account numbers. Pools follow the counted data.
 
-    factor, as decimal text from 0.80 to 1.20, scales every amount.
+    factor, as decimal text from 0.80 to 1.20, scales every amount; each run's report then has the totals.
     """
 
     seed: str = field(default_factory=m.new_seed)
@@ -104,44 +104,67 @@ def passed(bad: DataFrame) -> DataFrame:
     return bad.agg((F.count("*") == 0).alias("passed"))
 
 
-def ledger_job(ledger: DataFrame, rules: DataFrame, terms: DataFrame, options: Options, id_col: str = "seq") -> dict[str, DataFrame]:
-    """Masked ledger and rules, the mapping, the accounts, the leaks that are left, the hit counts, and the report of all checks."""
+def ledger_job(ledger: DataFrame, rules: DataFrame, terms: DataFrame, options: Options, id_col: str = "seq", out: str | None = None) -> dict[str, DataFrame]:
+    """Masked ledger and rules, the mapping, the accounts, all replacements (spans), unmapped runs, the leaks that are left, the hit counts, and the report of all checks.
+
+    Every check is made over both tables; the report has a row for each table where they differ in kind. With out, the
+    tables are published under the seed if all checks pass, else kept apart.
+    """
     folder = shared_dir(ledger.sparkSession)
     build = lambda a, b: build_mapping(r.pooled([a], [b]), terms, options)
     mapping, accounts = build(ledger, rules)
-    source = r.project(ledger)
-    masked = written(k.mask_ledger(source, mapping, accounts, options.seed), folder, "ledger")
-    masked_rules = k.mask_ledger(r.project(rules), mapping, accounts, options.seed)
+    named = lambda df, name: r.project(df).withColumn("table", F.lit(name))
+    source = written(named(ledger, "ledger").union(named(rules, "rules")).withColumn("place", F.concat_ws(":", "table", id_col)), folder, "source")
+    texts = ["description", "account"]
+    both = written(k.mask_ledger(source, mapping, accounts, options.seed, options.factor, hits=True), folder, "masked")
+    masked, spans = both.select(*source.columns), k.spans(both, ["table", id_col], texts)
     number = accounts.where("key rlike '^[0-9]+$'").select(t.bare_form(F.col("key")).alias("term"))
     scan = written(c.leak_terms(terms, source.where("account <> ''").select(F.col("account").alias("term")), number), folder, "scan")
-    leaks = lambda df: c.leak_scan(df, id_col, ["description", "account"], scan)
+    leaks = lambda df: c.leak_scan(df, "place", texts, scan)
     left = written(leaks(masked), folder, "leaks")
-    mode = F.when(F.col("category") == "run", "exact").when(F.col("category") == "last4", "drop")
-    counted = mapping.where("category in ('run', 'last4')").select(F.col("category").alias("rule"), mode.alias("mode"), "real", "fake")
-    hits = written(c.hit_counts(source, masked, "description", counted), folder, "hits")
-    report = c.report({
-        "leaks": c.leak_gate(leaks(source), left), "untouched columns": passed(c.integrity(source, masked, id_col, ["date", "amount"])),
-        "hit counts": passed(hits.where("not passed")), "one to one": passed(c.bijection(identities(mapping, accounts))),
-        "determinism": c.determinism(mapping, build(ledger.repartition(3), rules)[0]),
-    })
-    return {"ledger": masked, "rules": masked_rules, "mapping": mapping, "accounts": accounts, "leaks": left, "hits": hits, "report": report}
-
-
-def statements_job(rows: DataFrame, mapping: DataFrame, seed: str, factor: str | None = None) -> dict[str, DataFrame]:
-    """New statement rows (file, row_no, cells) under a saved mapping: only runs that it lacks are added; names and towns are not.
-
-    The report tells whether names and numbers of the mapping are left in any cell; new files need not hold any.
+    mode = F.when(F.col("category") == "run", "exact").when(F.col("category") == "last4", "drop").otherwise("info")
+    counted = mapping.where("category in ('run', 'last4', 'account_name')").select(F.col("category").alias("rule"), mode.alias("mode"), "real", "fake")
+    hits = written(c.hit_counts(source, masked, texts, counted), folder, "hits")
+    kept = ["date"] if options.factor else ["date", "amount"]
+    checks = {"leaks": c.leak_gate(leaks(source), left), "hit counts": passed(hits.where("not passed")), "one to one": passed(c.bijection(identities(mapping, accounts)))}
+    for name in ("ledger", "rules"):
+        own = lambda df, name=name: df.where(F.col("table") == name)
+        checks[f"untouched columns of {name}"] = passed(c.integrity(own(source), own(masked), id_col, kept))
+        if options.factor:
+            amounts = lambda df: own(df).select(t.parse_money(F.col("amount")).alias("amount"))  # noqa: E731, B023
+            checks[f"totals of {name}"] = c.amount_tieout(amounts(source), amounts(masked), "amount", options.factor)
+    checks["determinism"] = c.determinism(mapping, build(ledger.repartition(3), rules)[0])
+    report = written(c.report(checks), folder, "report")
+    done = {name: masked.where(F.col("table") == name).select(*r.LEDGER) for name in ("ledger", "rules")}
+    more = {"mapping": mapping, "accounts": accounts, "spans": spans, "stats": k.replacement_counts(spans), "unmapped": k.unmapped_runs(spans, mapping), "leaks": left, "hits": hits, "report": report}
+    if out:
+        publish(done, report, out, options.seed)
+    return done | more
+
+
+def publish(tables: dict[str, DataFrame], report: DataFrame, out: str, seed: str) -> None:
+    """The tables of a run under its seed if its report passed, else in quarantine."""
+    failed = [x.check for x in report.where("not passed").collect()]
+    write_outputs(tables | {"report": report}, out, seed, not failed, ", ".join(failed))
+
+
+def statements_job(rows: DataFrame, mapping: DataFrame, seed: str, factor: str | None = None, forbidden: DataFrame | None = None) -> dict[str, DataFrame]:
+    """New statement rows (file, row_no, cells) under a saved mapping: only runs that it lacks are added (runs); names and towns are not.
+
+    The report tells whether names and numbers of the mapping, or forbidden terms (category, term), are left in any cell
+    that is masked; new files need not hold any.
     """
     folder = shared_dir(rows.sparkSession)
     headers = written(r.statement_headers(rows), folder, "headers")
-    runs = rows.select(F.explode(t.digit_runs(F.array_join("cells", " "))).alias("real")).distinct()
+    found = rows.select(F.explode(t.digit_runs(F.array_join("cells", " "))).alias("real")).distinct()
     known = mapping.where("category = 'run'").select("real", "fake")
-    new = written(m.extend(known, runs, seed, "run", widen=True), folder, "runs").select(F.lit("run").alias("category"), "real", "fake")
-    extended = mapping.where("category <> 'run'").select("category", "real", "fake").union(new)
+    whole = written(m.extend(known, found, seed, "run", widen=True), folder, "runs").select(F.lit("run").alias("category"), "real", "fake")
+    extended = mapping.where("category <> 'run'").select("category", "real", "fake").union(whole)
     masked = written(k.mask_statements(rows, headers, extended, seed, factor), folder, "masked")
     terms = extended.where("category not in ('run', 'code')").select("category", F.col("real").alias("term"))
+    terms = terms if forbidden is None else terms.union(forbidden.select("category", "term"))
     leaks = written(c.leak_scan(described(masked, headers), "place", ["text"], terms), folder, "leaks")
-    return {"rows": masked, "mapping": extended, "leaks": leaks, "report": c.report({"leaks": passed(leaks)})}
+    return {"rows": masked, "mapping": extended, "runs": whole.join(known, "real", "left_anti").select("category", "real", "fake"), "leaks": leaks, "report": c.report({"leaks": passed(leaks)})}
 
 
 def described(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -200,11 +223,12 @@ def glued_terms(tables: dict[str, DataFrame], mapping: DataFrame) -> DataFrame:
     return row(k.glued_names(words.distinct(), mapping.where("category = 'name'")), "glued", "word", "fake")
 
 
-def related_tables_job(tables: dict[str, DataFrame], terms: DataFrame, options: Options, statements: DataFrame | None = None) -> dict[str, DataFrame | dict[str, DataFrame]]:
+def related_tables_job(tables: dict[str, DataFrame], terms: DataFrame, options: Options, statements: DataFrame | None = None, out_path: str | None = None) -> dict[str, DataFrame | dict[str, DataFrame]]:
     """All tables, and statement rows (file, row_no, cells), under one mapping; same columns, and joins on masked keys still hold.
 
     The report has the blacklist scan of all that comes out (and that it finds something in what goes in), determinism,
-    one-to-one fakes, the joins of tables that share Prop or LLC, and the totals of scaled decimal columns.
+    one-to-one fakes, the joins of tables that share Prop or LLC, and the totals of scaled decimal columns. With out_path,
+    all tables are published there at once under the seed if all checks pass, else kept apart.
     """
     folder = shared_dir(terms.sparkSession)
     cells = lambda df: df.select(F.array_join("cells", "\n", "").alias("text"))
@@ -233,7 +257,11 @@ def related_tables_job(tables: dict[str, DataFrame], terms: DataFrame, options:
         for f in df.schema.fields:
             if f.dataType.typeName() == "decimal" and t.is_money_column(f.name):
                 checks[f"totals of {name}.{f.name}"] = c.amount_tieout(df, masked[name], f.name, options.factor)
-    return {"tables": out, "mapping": mapping, "accounts": built["accounts"], "addresses": built["addresses"], "leaks": leaks, "report": c.report(checks)}
+    report = c.report(checks)
+    if out_path:
+        report = written(report, folder, "report")
+        publish(out, report, out_path, options.seed)
+    return {"tables": out, "mapping": mapping, "accounts": built["accounts"], "addresses": built["addresses"], "leaks": leaks, "report": report}
 
 
 def scan(tables: dict[str, DataFrame], terms: DataFrame) -> DataFrame:

@@ -74,14 +74,14 @@ def saved_mapping(db: Tables) -> DataFrame:
 
 @query("SELECT 'ledger' AS name, count(*) AS n_rows FROM ledger UNION ALL SELECT 'accounts', count(*) FROM accounts", "ledger accounts")
 def written_outputs(db: Tables) -> DataFrame:
-    """Outputs by seed: what the seed's earlier run left is gone."""
+    """Outputs by seed: the last run that passed replaces the earlier one; one that did not pass is not seen."""
     path = shared_dir(db.spark) + "/out"
     files.write_outputs({"ledger": db.accounts, "stale": db.terms}, path, SEED)
     files.write_outputs({"ledger": db.ledger, "accounts": db.accounts}, path, SEED)
-    found = db.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct()
+    files.write_outputs({"ledger": db.terms, "leaky": db.terms}, path, SEED, passed=False, note="leaks")  # kept apart
     counts = None
-    for x in found.orderBy("name").collect():  # names of tables
-        part = db.spark.read.parquet(f"{path}/seed={SEED}/{x.name}").agg(F.lit(x.name).alias("name"), F.count("*").alias("n_rows"))
+    for name, df in sorted(files.read_outputs(db.spark, path, SEED).items()):
+        part = df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
         counts = part if counts is None else counts.union(part)
     return counts
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maskline.functions import text as t
 from maskline.operators.rows import has_columns
-from maskline.shared import remove
+from maskline.sources.commits import Manifest, Store
 
 #: Files that a run skips: its own settings, lock files, and results of earlier runs.
 SKIP = r"^~\$|_anon\.|^run.*config|^config\."
@@ -117,12 +117,27 @@ def read_mapping(spark: SparkSession, path: str, seed: str) -> DataFrame:
     return found
 
 
-def write_outputs(tables: dict[str, DataFrame], path: str, seed: str) -> None:
-    """One folder per table under the seed; all that an earlier run of this seed left goes first."""
-    for df in list(tables.values())[:1]:
-        remove(df.sparkSession, f"{path}/seed={seed}")
+def write_outputs(tables: dict[str, DataFrame], path: str, seed: str, passed: bool = True, note: str = "") -> Manifest:
+    """All tables of a run under its seed, published at once in place of the seed's earlier run, which goes then and no sooner.
+
+    A run that has not passed its checks is kept apart (state refused), and the earlier run stays.
+    """
+    store = Store(next(iter(tables.values())).sparkSession, path)
+    attempt = store.attempt(f"seed={seed}")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/seed={seed}/{name}")
+        attempt.stage(name, df)
+    made = attempt.publish(note) if passed else attempt.refuse(note)
+    store.sweep(f"seed={seed}")
+    return made
+
+
+def read_outputs(spark: SparkSession, path: str, seed: str) -> dict[str, DataFrame]:
+    """The tables of the seed's last published run; an error if there is none."""
+    store = Store(spark, path)
+    last = store.last(f"seed={seed}").get(f"seed={seed}")
+    if last is None:
+        raise ValueError(f"nothing is published for seed {seed} at {path}")
+    return {name: spark.read.parquet(f"{store.path}/{last.folder}/{name}") for name in last.tables}
 
 
 def role(tables: dict[str, DataFrame], wanted: Sequence[str]) -> str:

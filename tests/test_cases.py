@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskline.functions import text as t
 from maskline.operators import checks as c
+from maskline.operators import identifiers as ids
 from maskline.operators import mapping as m
 from maskline.operators import masking as k
 from maskline.operators import rows as r
@@ -172,10 +173,20 @@ def test_headers(spark):
 def test_checks_find_what_is_wrong(spark):
     a = spark.createDataFrame([(1, "x", "5.00"), (2, "y", None), (3, "z", "1")], "id int, d string, amount string")
     b = spark.createDataFrame([(1, "x", "5.00"), (2, "y", "7"), (4, "w", "1")], "id int, d string, amount string")
-    assert sorted((x.id, x.column) for x in c.integrity(a, b, "id", ["d", "amount"]).collect()) == [(2, "amount"), (3, "amount"), (3, "d"), (4, "amount"), (4, "d")]
+    for buckets in (1, 4096):
+        found = {(x.id, x.column): (x.n_gone, x.n_new, x.old, x.new) for x in c.integrity(a, b, "id", ["d", "amount"], buckets).collect()}
+        assert found == {(2, "amount"): (1, 1, None, "7"), (3, "amount"): (1, 0, "1", None), (3, "d"): (1, 0, "z", None), (4, "amount"): (0, 1, None, "1"), (4, "d"): (0, 1, None, "w")}
+    twice = a.union(a)
+    assert c.integrity(twice, twice.repartition(3), "id", ["d", "amount"]).isEmpty() and c.integrity(a.limit(0), a.limit(0), "id", ["d"]).isEmpty()
+    assert [(x.id, x.n_gone, x.n_new) for x in c.integrity(twice, a.union(a.where("id > 1")), "id", ["d"]).collect()] == [(1, 1, 0)]
+    assert c.determinism(twice, a).first().n_different == 3 and c.determinism(a.limit(0), a.limit(0)).first().passed
     rules = spark.createDataFrame([("runs", "exact", "x", "q"), ("names", "drop", "y", "p")], "rule string, mode string, real string, fake string")
     counts = {x.rule: (x.before, x.after, x.left_over, x.passed) for x in c.hit_counts(a, b, "d", rules).collect()}
     assert counts == {"runs": (1, 0, 1, False), "names": (1, 0, 1, False)}
+    one, two = (spark.createDataFrame([(x, "Ann Lee CK")], "d string, e string") for x in ("acct 0585, 0585 Ann  LEE", "acct 9999, zzzz Bo Ray"))
+    rules = spark.createDataFrame([("last4", "drop", "0585", "9999"), ("names", "info", "ann lee", "bo ray"), ("none", "drop", "q", "r")], "rule string, mode string, real string, fake string")
+    counts = {x.rule: (x.before, x.after, x.left_over, x.passed) for x in c.hit_counts(one, two, ["d", "e"], rules).collect()}
+    assert counts == {"last4": (2, 1, 0, False), "names": (2, 1, 1, True), "none": (0, 0, 0, True)}
     assert c.bijection(mapping(spark, ("n", "a", "f"), ("n", "A", "f"), ("n", "b", "g"), ("t", "c", "g"))).collect()[0].n_reals == 2
     assert c.determinism(a, b).first().n_different == 4 and c.determinism(a, a.repartition(3)).first().passed
 
@@ -205,35 +216,145 @@ def test_sources(spark, tmp_path):
     assert sorted((x.category, x.term) for x in files.first_seen(terms).collect()) == [("Names", "Ann"), ("Names", "Bo"), ("Towns", "X")]
 
 
-def test_ledger_job_and_stream(spark, tmp_path):
-    from maskline.streaming.statements import mask_stream
+def ledger_rows(spark, n=30):
+    rows = [(str(i), "2024-01-01", f"PAY {50000 + i} to Ann Lee in Troy, acct 0585", "5.00", "Ann Lee CK" if i % 2 else "Bo Ray", "xxxx0585" if i % 3 else "585", "Bank A" if i % 4 else "Bank B", "secret") for i in range(n)]
+    return spark.createDataFrame(rows, "Seq string, Date string, Description string, Amount string, Account string, account_num string, Institution string, Notes string")
 
-    rows = [(str(i), "2024-01-01", f"PAY {50000 + i} to Ann Lee in Troy, acct 0585", "5.00", "Ann Lee CK" if i % 2 else "Bo Ray", "xxxx0585" if i % 3 else "585", "Bank A" if i % 4 else "Bank B", "secret") for i in range(30)]
-    ledger = spark.createDataFrame(rows, "Seq string, Date string, Description string, Amount string, Account string, account_num string, Institution string, Notes string")
-    terms = spark.createDataFrame([("Names", "Ann Lee"), ("Towns", "Troy"), ("Blacklist", "Ann Lee")], "category string, term string")
-    got = jobs.ledger_job(ledger, ledger.limit(3), terms, jobs.Options("seed"))
-    assert all(x.passed for x in got["report"].collect()) and got["report"].count() == 6
+
+def term_rows(spark, *more):
+    return spark.createDataFrame([("Names", "Ann Lee"), ("Towns", "Troy"), ("Blacklist", "Ann Lee"), *more], "category string, term string")
+
+
+def test_ledger_job(spark, tmp_path):
+    ledger = ledger_rows(spark)
+    got = jobs.ledger_job(ledger, ledger.limit(3), term_rows(spark), jobs.Options("seed", factor="1.1000"), out=str(tmp_path / "out"))
+    assert all(x.passed for x in got["report"].collect()) and got["report"].count() == 9
     out = got["ledger"].collect()
     assert got["ledger"].columns == list(r.LEDGER) and len({x.account_num for x in out}) == 1 and {x.institution for x in out} == {"Bank A"}
-    assert not any(w in x.description for x in out for w in ("Ann", "Lee", "Troy", "0585", "5000"))
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.csv").write_text("Date,Description,Amount\n1/1/2024,PAY 50001 Ann Lee 99887766,\"1,000.00\"\n")
-    files.write_mapping(got["mapping"], str(tmp_path / "map"), "seed")
-    before = files.read_mapping(spark, str(tmp_path / "map"), "seed").count()
+    assert not any(w in x.description for x in out for w in ("Ann", "Lee", "Troy", "0585", "5000")) and {x.amount for x in out} == {"5.50"}
+    kinds = {x.kind: x.n for x in got["stats"].collect()}
+    assert kinds["town"] == 33 and kinds["run"] == 33 and kinds["last4"] == 33 and got["unmapped"].isEmpty()
+    span = got["spans"].where("table = 'ledger' and seq = '7' and category = 'town'").first()
+    assert "PAY 50007 to Ann Lee in Troy, acct 0585"[span.start : span.end] == "Troy"
+    assert files.read_outputs(spark, str(tmp_path / "out"), "seed")["rules"].count() == 3
+
+
+def test_a_leak_in_the_rules_alone_is_refused(spark, tmp_path):
+    ledger = ledger_rows(spark, 9)
+    rules = ledger.limit(2).withColumn("Description", F.lit("pay Unlisted"))
+    got = jobs.ledger_job(ledger, rules, term_rows(spark, ("Blacklist", "Unlisted")), jobs.Options("seed"), out=str(tmp_path / "out"))
+    report = {x.check: x.passed for x in got["report"].collect()}
+    assert not report["leaks"] and not report["overall"] and {x.place for x in got["leaks"].collect()} == {"rules:0", "rules:1"}
+    with pytest.raises(ValueError, match="nothing is published"):
+        files.read_outputs(spark, str(tmp_path / "out"), "seed")
+
+
+def test_cells_are_masked_by_themselves(spark):
+    rows = spark.createDataFrame([("f", 0, ["Ann", "Lee", "5.00"]), ("f", 1, ["Date", "Description", "Amount"]), ("f", 2, ["1/1/2024", "to Ann Lee", "1.00"]), ("g", 0, ["Date", "Description", "Amount"]), ("g", 1, []), ("g", 2, None)], "file string, row_no int, cells array<string>")
+    got = {(x.file, x.row_no): x.cells for x in k.mask_statements(rows, r.statement_headers(rows), mapping(spark, ("name", "Ann Lee", "Bo Ray"), ("name", "Lee", "Kim")), "s", "1.1000").collect()}
+    assert got["f", 0] == ["Ann", "Kim", "5.50"] and got["f", 2] == ["1/1/2024", "to Bo Ray", "1.10"] and got["g", 1] == [] and got["g", 2] is None
+
+
+def test_letters_that_become_two(spark):
+    assert masked(spark, [("name", "İstanbul", "Troy")], ["to İstanbul, i\u0307stanbul", "İx İSTANBUL"]) == ["to Troy, Troy", "İx Troy"]
+    df = spark.createDataFrame([(1, "to İstanbul, i\u0307stanbul")], "i int, v string")
+    terms = spark.createDataFrame([("n", "İstanbul")], "category string, term string")
+    assert c.leak_scan(df, "i", ["v"], terms).count() == 1
+    assert c.leak_scan(k.mask_text(df, ["v"], mapping(spark, ("n", "İstanbul", "Troy")), "s", order=("n",)), "i", ["v"], terms).isEmpty()
+
+
+def test_bank_columns_are_accounts(spark):
+    accounts = spark.createDataFrame([("585", "99999", "xxxx99999")], "key string, fake_last4 string, fake_number string")
+    df = spark.createDataFrame([("585", "0585", "xxxx0585", "77", "")], ["bank1", "Account #", "Bank2", "bank3", "memo"])
+    assert tuple(k.mask_table(df, mapping(spark), accounts, "s").first()) == ("xxxx99999", "xxxx99999", "xxxx99999", "77", "")
+
+
+def test_one_term_in_every_cell(spark):
+    df = spark.range(4000).select("id", F.concat(F.lit("the bank "), F.when(F.col("id") % 100 == 0, F.lit("of Troy")).otherwise(F.col("id").cast("string"))).alias("v"))
+    terms = spark.createDataFrame([("a", "the bank"), ("a", "bank"), ("b", "bank"), ("a", "of troy")], "category string, term string")
+    got = ids.locate_terms(df, "id", ["v"], terms)
+    assert {(x.category, x.term): x["count"] for x in got.groupBy("category", "term").count().collect()} == {("a", "the bank"): 4000, ("a", "bank"): 4000, ("b", "bank"): 4000, ("a", "of troy"): 40}
+    assert sorted(ids.frequent(got, "term")) == ["bank", "of troy", "the bank"][0:3:2] and ids.locate_terms(df, "id", ["v"], terms.limit(0)).isEmpty()
+
+
+def stream(spark, tmp_path, **more):
+    from maskline.streaming import statements as st
+
+    st.mask_stream(spark, str(tmp_path / "in"), str(tmp_path / "map"), str(tmp_path / "out"), "seed", str(tmp_path / "cp"), "1.1000", **more).awaitTermination()
+    return st
+
+
+def statement(tmp_path, name, text):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in" / name).write_text(f'Date,Description,Amount\n1/1/2024,{text},"1,000.00"\n')
+
+
+def test_stream_publishes_rows_and_mapping_together(spark, tmp_path, monkeypatch):
+    from maskline.sources import commits
+
+    files.write_mapping(mapping(spark, ("run", "50001", "60002"), ("name", "Ann Lee", "Bo Ray")), str(tmp_path / "map"), "seed")
+    statement(tmp_path, "a.csv", "PAY 50001 Ann Lee 99887766")
+    publish, ends = commits.Attempt.publish, ["before", "after"]
+
+    def killed(self, note=""):
+        end = ends.pop(0) if ends else None
+        if end == "before":
+            raise RuntimeError("killed before the manifest")
+        made = publish(self, note)
+        if end == "after":
+            raise RuntimeError("killed after the manifest")
+        return made
+
+    monkeypatch.setattr(commits.Attempt, "publish", killed)
+    for n_published in (0, 1):
+        with pytest.raises(Exception, match="killed"):
+            stream(spark, tmp_path)
+        store = commits.Store(spark, str(tmp_path / "out"))
+        assert len(store.manifests()) == n_published and (store.read("rows") is None) == (n_published == 0) == (store.read("runs") is None)
     for _ in range(2):
-        mask_stream(spark, str(tmp_path / "in"), str(tmp_path / "map"), str(tmp_path / "out"), "seed", str(tmp_path / "cp"), "1.1000").awaitTermination()
-    row = next(x for x in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect() if x.row_no == 1)
-    run = {x.real: x.fake for x in got["mapping"].where("category = 'run'").collect()}["50001"]
-    assert row.cells[2] == "1,100.00" and f"PAY {run} " in row.cells[1] and "Lee" not in row.cells[1] and "99887766" not in row.cells[1]
-    assert files.read_mapping(spark, str(tmp_path / "map"), "seed").count() == before + 1
+        st = stream(spark, tmp_path)
+    rows = {x.row_no: x.cells for x in st.published_rows(spark, str(tmp_path / "out")).collect()}
+    assert len(rows) == 2 and rows[1][2] == "1,100.00" and "PAY 60002 Bo Ray " in rows[1][1] and "99887766" not in rows[1][1]
+    assert st.stream_mapping(spark, str(tmp_path / "map"), str(tmp_path / "out"), "seed").count() == 3
+    assert len(list((tmp_path / "out" / "data" / "batch=0").iterdir())) == 1  # what the failed attempt staged is gone
+
+
+def test_stream_refuses_a_batch_with_a_leak(spark, tmp_path):
+    files.write_mapping(mapping(spark, ("run", "50001", "60002")), str(tmp_path / "map"), "seed")
+    bad = spark.createDataFrame([("Blacklist", "Unlisted Word")], "category string, term string")
+    statement(tmp_path, "a.csv", "PAY 50001")
+    stream(spark, tmp_path, forbidden=bad)
+    statement(tmp_path, "b.csv", "unlisted  word 7654321")
+    st = stream(spark, tmp_path, forbidden=bad)
+    statement(tmp_path, "c.csv", "PAY 7654399")
+    stream(spark, tmp_path, forbidden=bad)
+    out = str(tmp_path / "out")
+    from maskline.sources.commits import Store
+
+    assert [(x.key, x.state) for x in Store(spark, out).ledger().orderBy("key").collect()] == [("batch=0", "published"), ("batch=1", "refused"), ("batch=2", "published")]
+    assert {x.file for x in st.published_rows(spark, out).collect()} == {"a.csv", "c.csv"}
+    assert {x.real for x in st.stream_mapping(spark, str(tmp_path / "map"), out, "seed").collect()} == {"50001", "7654399"}
+    assert [x.hit for x in st.quarantine(spark, out).collect()] == ["Unlisted Word"] and st.quarantine(spark, out, "files").first().path.endswith("b.csv")
+
+
+def test_outputs_of_a_seed_are_published_at_once(spark, tmp_path):
+    df, path = spark.createDataFrame([(1,)], "a int"), str(tmp_path / "out")
+    names = lambda seed: sorted(files.read_outputs(spark, path, seed))
+    files.write_outputs({"one": df, "gone": df}, path, "s1")
+    files.write_outputs({"one": df}, path, "s2")
+    fails = df.select(F.raise_error(F.lit("third table")).cast("int").alias("a"))
+    with pytest.raises(Exception, match="third table"):
+        files.write_outputs({"one": df.union(df), "two": df, "three": fails}, path, "s1")
+    assert names("s1") == ["gone", "one"] and files.read_outputs(spark, path, "s1")["one"].count() == 1
+    files.write_outputs({"one": files.read_outputs(spark, path, "s1")["one"].union(df), "two": df}, path, "s1")  # reads what it replaces
+    assert names("s1") == ["one", "two"] and names("s2") == ["one"] and files.read_outputs(spark, path, "s1")["one"].count() == 2
+    assert len(list((tmp_path / "out" / "data" / "seed=s1").iterdir())) == 1
+    with pytest.raises(ValueError):
+        files.read_outputs(spark, path, "s3")
 
 
-def test_outputs_of_a_seed_replace_its_last_run(spark, tmp_path):
+def test_roles_pools_and_inputs(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "a int")
-    files.write_outputs({"one": df, "gone": df}, str(tmp_path), "s1")
-    files.write_outputs({"one": df}, str(tmp_path), "s2")
-    files.write_outputs({"one": df, "two": df}, str(tmp_path), "s1")
-    assert sorted(p.name for p in (tmp_path / "seed=s1").iterdir()) == ["one", "two"] and (tmp_path / "seed=s2" / "one").exists()
     assert files.role({"x": df, "y": df.withColumnRenamed("a", " Prop ")}, ["prop"]) == "y"
     with pytest.raises(ValueError):
         files.role({"x": df}, ["prop"])
