@@ -77,11 +77,11 @@ def discover(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     return found.select(file_name(F.col("path")).alias("name"), "path", "length").where(~not_input(F.col("name")))
 
 
-def write_cells(rows: DataFrame, path: str) -> None:
+def write_cells(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rows (file, row_no, cells) as CSV text, one folder per file, in order within it. Always UTF-8."""
     quoted = F.transform("cells", lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))))
     lines = rows.select("file", "row_no", F.array_join(quoted, ",").alias("value"))
-    lines.repartition("file").sortWithinPartitions("file", "row_no").select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+    lines.repartition("file").sortWithinPartitions("file", "row_no").select("file", "value").write.mode(mode).partitionBy("file").text(path)
 
 
 def read_terms(df: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def quarantine(spark: SparkSession, out: str, table: str = "leaks") -> DataFrame
     return Store(spark, out).read(table, state=REFUSED)
 
 
-def mask_batch(spark: SparkSession, batch: DataFrame, number: int, mapping_path: str, out: str, seed: str, factor: str | None = None, forbidden: DataFrame | None = None) -> None:
+def mask_batch(spark: SparkSession, batch: DataFrame, number: int, mapping_path: str, out: str, seed: str, factor: str | None = None, forbidden: DataFrame | None = None, glob: str = "*.csv") -> None:
     """Mask and gate one batch of files (path), and publish or refuse it, once."""
     store, key = Store(spark, out), batch_key(number)
     paths = [r.path for r in batch.select("path").collect()]  # names of one batch's files
@@ -49,7 +49,7 @@ def mask_batch(spark: SparkSession, batch: DataFrame, number: int, mapping_path:
         return
     if not paths:
         return
-    rows = files.read_cells(spark, paths).select("file", "row_no", "cells")
+    rows = files.read_cells(spark, paths, glob).select("file", "row_no", "cells")
     done = statements_job(rows, stream_mapping(spark, mapping_path, out, seed), seed, factor, forbidden)
     attempt = store.attempt(key)
     for name in ("rows", "runs", "leaks"):
@@ -62,9 +62,9 @@ def mask_batch(spark: SparkSession, batch: DataFrame, number: int, mapping_path:
     store.sweep(key)
 
 
-def mask_stream(spark: SparkSession, folder: str, mapping_path: str, out: str, seed: str, checkpoint: str, factor: str | None = None, forbidden: DataFrame | None = None, files_per_batch: int | None = None) -> StreamingQuery:
+def mask_stream(spark: SparkSession, folder: str, mapping_path: str, out: str, seed: str, checkpoint: str, factor: str | None = None, forbidden: DataFrame | None = None, files_per_batch: int | None = None, glob: str = "*.csv") -> StreamingQuery:
     """Mask the CSV statements of a folder as they come, once each; stops when none is left. forbidden (category, term) must not come out either."""
-    stream = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(folder).schema).option("pathGlobFilter", "*.csv")
+    stream = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(folder).schema).option("pathGlobFilter", glob)
     stream = (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).load(folder)
-    step = lambda batch, number: mask_batch(spark, batch, number, mapping_path, out, seed, factor, forbidden)
+    step = lambda batch, number: mask_batch(spark, batch, number, mapping_path, out, seed, factor, forbidden, glob)
     return stream.select(F.col("path")).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
