@@ -29,6 +29,24 @@ def account_identifiers(records: DataFrame) -> DataFrame:
     )
 
 
+def identifier_counts(records: DataFrame) -> DataFrame:
+    """(key, kind, value, n, n_primary): a row for each form and each name of an account, with how often it occurs. No key is one row."""
+    part = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value"))
+    each = keyed(records).select("key", "is_primary", F.explode(F.array(part("form", "account_num"), part("name", "account"))).alias("x")).select("key", "is_primary", "x.*")
+    return each.where("value <> ''").groupBy("key", "kind", "value").agg(F.count("*").alias("n"), F.count_if("is_primary").alias("n_primary"))
+
+
+def account_summary(records: DataFrame, top: int = 3) -> DataFrame:
+    """(key, n_forms, n_names, n_records, n_primary, names): numbers of an account, and its most frequent names, top at most; ties by name."""
+    counts = written(identifier_counts(records), shared_dir(records.sparkSession), "counts")
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
+    sums = counts.groupBy("key").agg(of("form", F.lit(1)).alias("n_forms"), of("name", F.lit(1)).alias("n_names"), of("form", F.col("n")).alias("n_records"), of("form", F.col("n_primary")).alias("n_primary"))
+    order = Window.partitionBy("key").orderBy(F.desc("n"), "value")
+    first = counts.where("kind = 'name'").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)  # no task keeps more of a key
+    names = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda x: x["value"]).alias("names"))
+    return sums.join(names, "key", "left").select("key", "n_forms", "n_names", "n_records", "n_primary", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
 def institution_counts(records: DataFrame) -> DataFrame:
     """(key, institution, n, n_primary)."""
     return keyed(records).where("institution <> ''").groupBy("key", "institution").agg(F.count("*").alias("n"), F.count_if("is_primary").alias("n_primary"))

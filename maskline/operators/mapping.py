@@ -24,7 +24,8 @@ STARTS = ("Bal", "Cor", "Del", "Fen", "Gar", "Hol", "Jun", "Kel", "Lom", "Mar",
 MIDDLES = ("a", "e", "i", "o", "u", "an", "en", "il", "or", "ys")
 ENDS = ("dan", "lea", "mont", "nis", "rick", "sby", "tin", "vale", "wyn", "zel")
 STREET_KINDS = ("St", "Ave", "Rd", "Ln")
-RANK_DIGITS = 2
+#: Rows that a bucket of ranks holds at most.
+BUCKET_ROWS = 50_000
 
 
 def new_seed() -> str:
@@ -37,10 +38,23 @@ def hashed(seed: str, category: Column | str, value: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), label, value).cast("binary"), 256)
 
 
-def ranked(df: DataFrame, by: str, group: list[str], name: str = "rank") -> DataFrame:
-    """df with rank (from 1) in order of a hex hash, within each group; distributed by the first digits of the hash."""
-    bucketed = df.withColumn("_b", F.substring(by, 1, RANK_DIGITS))
-    sizes = bucketed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))  # 16^RANK_DIGITS rows per group at most
+def rank_digits(n: int, most: int) -> int:
+    """First digits of a hex hash that part n rows into buckets of most / 2 on average, so that none has more than most."""
+    digits = 1
+    while 16**digits * most < 2 * n:
+        digits += 1
+    return digits
+
+
+def ranked(df: DataFrame, by: str, group: list[str], name: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """df with rank (from 1) in order of a hex hash, within each group.
+
+    Rows are counted first, and dealt to buckets by as many digits of the hash as
+    their number asks for; a bucket knows how many rows come before it. df is read three times.
+    """
+    n = df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bucketed = df.withColumn("_b", F.substring(by, 1, rank_digits(n, bucket_rows)))
+    sizes = bucketed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))  # a row for each bucket
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     own = Window.partitionBy(*group, "_b").orderBy(by)
@@ -117,10 +131,11 @@ def assign(reals: DataFrame, candidates: DataFrame, seed: str, check: bool = Tru
 def numbers(keys: DataFrame, seed: str, digits: int = 4) -> DataFrame:
     """(key, fake_last4, fake_number): each numeric or word key takes a number of that many digits that no real key has."""
     spark = keys.sparkSession
-    real = written(keys.select("key").distinct(), shared_dir(spark), "keys")
+    folder = shared_dir(spark)
+    real = written(keys.select("key").distinct(), folder, "keys")
     free = spark.range(10**digits).select(F.lpad(F.col("id").cast("string"), digits, "0").alias("value"))
     taken = real.select(t.bare_form(F.col("key")).alias("value")).where("value is not null")
-    free = ranked(free.join(taken, "value", "left_anti").withColumn("_h", hashed(seed, "pool-last4", F.col("value"))).withColumn("g", F.lit(1)), "_h", ["g"])
+    free = ranked(written(free.join(taken, "value", "left_anti").withColumn("_h", hashed(seed, "pool-last4", F.col("value"))).withColumn("g", F.lit(1)), folder, "free"), "_h", ["g"])
     mine = ranked(real.withColumn("_h", hashed(seed, "last4", F.col("key"))).withColumn("g", F.lit(1)), "_h", ["g"])
     out = mine.join(free.select("rank", F.col("value").alias("fake_last4")), "rank", "left")
     return out.where(F.assert_true(F.col("fake_last4").isNotNull(), F.lit("no free account numbers; use more digits")).isNull()).select("key", "fake_last4", F.concat(F.lit("xxxx"), F.col("fake_last4")).alias("fake_number"))

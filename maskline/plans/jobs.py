@@ -99,6 +99,12 @@ def identities(mapping: DataFrame, accounts: DataFrame) -> DataFrame:
     return spelled.union(accounts.select(F.lit("acctnum"), "key", "fake_number"))
 
 
+def mapping_sizes(mapping: DataFrame, accounts: DataFrame, records: DataFrame) -> DataFrame:
+    """(category, n): reals of each category, accounts, and accounts whose records name several institutions."""
+    count = lambda df, name: df.agg(F.lit(name).alias("category"), F.count("*").alias("n"))
+    return mapping.groupBy("category").agg(F.count("*").alias("n")).union(count(accounts, "accounts")).union(count(ids.institution_conflicts(records), "accounts in conflict"))
+
+
 def passed(bad: DataFrame) -> DataFrame:
     """One row: whether a table of faults is empty."""
     return bad.agg((F.count("*") == 0).alias("passed"))
@@ -136,7 +142,7 @@ def ledger_job(ledger: DataFrame, rules: DataFrame, terms: DataFrame, options: O
     checks["determinism"] = c.determinism(mapping, build(ledger.repartition(3), rules)[0])
     report = written(c.report(checks), folder, "report")
     done = {name: masked.where(F.col("table") == name).select(*r.LEDGER) for name in ("ledger", "rules")}
-    more = {"mapping": mapping, "accounts": accounts, "spans": spans, "stats": k.replacement_counts(spans), "unmapped": k.unmapped_runs(spans, mapping), "leaks": left, "hits": hits, "report": report}
+    more = {"mapping": mapping, "accounts": accounts, "spans": spans, "stats": k.replacement_counts(spans), "unmapped": k.unmapped_runs(spans, mapping), "leaks": left, "hits": hits, "report": report, "sizes": mapping_sizes(mapping, accounts, r.pooled([ledger], [rules]))}
     if out:
         publish(done, report, out, options.seed)
     return done | more

@@ -25,6 +25,23 @@ def account_identifiers(db: Tables) -> DataFrame:
     return got.select("key", F.array_join("forms", "|").alias("forms"), F.array_join("names", "|").alias("names"), "n_records", "n_primary")
 
 
+@query(
+    """SELECT key, kind, value, count(*) AS n, CAST(sum(CASE WHEN is_primary THEN 1 ELSE 0 END) AS BIGINT) AS n_primary
+ FROM (SELECT key, is_primary, 'form' AS kind, account_num AS value FROM keyed UNION ALL SELECT key, is_primary, 'name', account FROM keyed) WHERE value <> '' GROUP BY 1, 2, 3""", "ledger", KEYED,
+)
+def identifier_counts(db: Tables) -> DataFrame:
+    return ids.identifier_counts(db.ledger)
+
+
+@query(
+    """SELECT k.key, n_forms, n_names, n_records, n_primary, coalesce(names, '') AS names FROM (SELECT key, count(DISTINCT account_num) AS n_forms, count(DISTINCT account) FILTER (account <> '') AS n_names, count(*) AS n_records, CAST(sum(CASE WHEN is_primary THEN 1 ELSE 0 END) AS BIGINT) AS n_primary FROM keyed GROUP BY key) k
+ LEFT JOIN (SELECT key, string_agg(account, '|' ORDER BY n DESC, account) AS names FROM (SELECT key, account, count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, account) AS r FROM keyed WHERE account <> '' GROUP BY key, account) WHERE r <= 3 GROUP BY key) s ON s.key = k.key""", "ledger", KEYED,
+)
+def account_summary(db: Tables) -> DataFrame:
+    got = ids.account_summary(db.ledger)
+    return got.withColumn("names", F.array_join("names", "|"))
+
+
 @query(
     """SELECT key, institution FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_primary > 0 DESC, CASE WHEN n_primary > 0 THEN n_primary ELSE n END DESC, institution) AS k FROM counts) WHERE k = 1""",
     "ledger", f"{KEYED}, {COUNTS}",

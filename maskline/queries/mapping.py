@@ -24,12 +24,12 @@ def candidates(db: Tables) -> DataFrame:
     terms = db.terms
     n_reals, n_terms, out = db.ledger.select("account").distinct().count(), terms.count(), None
     for kind in KINDS:
-        part = m.pool(db.spark, kind, m.pool_size(kind, n_reals, n_terms) if kind != "single" else m.POOL_WORDS)
+        part = m.pool(db.spark, kind, m.pool_size(kind, n_reals, n_terms))
         out = part if out is None else out.union(part)
     return m.allowed(out, terms.select(F.col("term").alias("value")))
 
 
-_SIZE = lambda kind: d.pool_size(kind, "SELECT count(DISTINCT account) FROM ledger", "SELECT count(*) FROM terms") if kind != "single" else str(m.POOL_WORDS)
+_SIZE = lambda kind: d.pool_size(kind, "SELECT count(DISTINCT account) FROM ledger", "SELECT count(*) FROM terms")
 POOLS = f"""pools AS ({" UNION ALL ".join(d.pool(k, _SIZE(k)) for k in KINDS)}),
  forbidden AS (SELECT term AS value FROM terms), candidates AS MATERIALIZED ({d.allowed('pools', 'forbidden')})"""
 
@@ -176,6 +176,16 @@ def mapping_summary(db: Tables) -> DataFrame:
     return term_fakes(db).groupBy("category").agg(F.count("*").alias("n_reals"), F.count_distinct("fake").alias("n_fakes"))
 
 
+@query(
+    f"""SELECT category, count(*) AS n FROM fakes GROUP BY category UNION ALL SELECT 'accounts', count(*) FROM numbers
+ UNION ALL SELECT 'accounts in conflict', count(*) FROM (SELECT key FROM keyed WHERE institution <> '' GROUP BY key HAVING count(DISTINCT institution) > 1)""",
+    "ledger terms", f"{FAKES}, {NUMBERS}, keyed AS (SELECT *, {d.key('account_num')} AS key FROM ledger WHERE trim(account_num) <> '')",
+)
+def mapping_sizes(db: Tables) -> DataFrame:
+    """Reals by category, accounts, and accounts that occur with several institutions."""
+    return jobs.mapping_sizes(term_fakes(db).select("category", "real", "fake"), account_fakes(db), db.ledger)
+
+
 # addresses, properties and companies: the parts of the related-tables mapping
 
 

@@ -19,9 +19,15 @@ SKIP = r"^~\$|_anon\.|^run.*config|^config\."
 CELLS = "file string, encoding string, row_no int, cells array<string>"
 
 
-def read_tsv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Tab-delimited text with a header, every field a string."""
-    return spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line of a text file has an odd number of quotes, so that a field may go on in the next line."""
+    return not spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def read_tsv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
+    """Tab-delimited text with a header, every field a string. Files are read in splits unless a field holds line breaks (found by a pass over the lines if multi_line is not given)."""
+    multi_line = has_open_quotes(spark, path) if multi_line is None else multi_line
+    return spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -147,8 +147,28 @@ def test_ranks_equal_a_global_row_number(spark):
     from pyspark.sql.window import Window
 
     df = spark.range(3000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"), (F.col("id") % 3).alias("g"))
-    both = m.ranked(df, "h", ["g"]).withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("h")))
-    assert both.where("rank <> want").count() == 0 and both.count() == 3000
+    for most in (20, 50_000):
+        both = m.ranked(df, "h", ["g"], bucket_rows=most).withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("h")))
+        assert both.where("rank <> want").count() == 0 and both.count() == 3000
+    digits = m.rank_digits(1000, 20)
+    assert df.groupBy("g", F.substring("h", 1, digits)).count().agg(F.max("count")).first()[0] <= 20 and m.rank_digits(10, 20) == 1 and m.rank_digits(10**10, 50_000) == 5
+    assert m.ranked(df.limit(0), "h", ["g"]).isEmpty()
+
+
+def test_no_key_is_one_row(spark):
+    records = spark.range(3000).select(F.lit("xxxx0585").alias("account_num"), F.concat(F.lit("n"), F.col("id") % 1000).alias("account"), (F.col("id") % 2 == 0).alias("is_primary"))
+    records = records.union(spark.createDataFrame([("0585", "n7", True), ("0585", "", False), ("", "x", True), ("77", "", True)], "a string, b string, c boolean"))
+    counts = ids.identifier_counts(records)
+    assert counts.count() == 1003 and counts.where("value = 'n7'").first().n == 4
+    got = {x.key: x for x in ids.account_summary(records, top=2).collect()}
+    assert (got["585"].n_forms, got["585"].n_names, got["585"].n_records, got["585"].names) == (2, 1000, 3002, ["n7", "n0"]) and got["77"].names == []
+
+
+def test_lines_with_open_quotes(spark, tmp_path):
+    (tmp_path / "one.tsv").write_text('a\tb\n1\t"x ""y"" z"\n2\tw\n')
+    (tmp_path / "two.tsv").write_text('a\tb\n1\t"x\ny"\n2\tw\n')
+    assert [files.has_open_quotes(spark, str(tmp_path / n)) for n in ("one.tsv", "two.tsv")] == [False, True]
+    assert {x.b for x in files.read_tsv(spark, str(tmp_path / "two.tsv")).collect()} == {"x\ny", "w"} and files.read_tsv(spark, str(tmp_path / "one.tsv")).count() == 2
 
 
 def test_salted_rounds_and_extension(spark):
