@@ -43,11 +43,14 @@ from maskline.llm.bpe import byte_alphabet
 from maskline.llm.exchange import narrow, runs, wide
 from maskline.llm.stage import shared_dir, table, written
 
-#: Bytes of text of a chunk of documents, of the texts that are encoded at once, and words that a task remembers.
-CHUNK_TEXT, PIECE_TEXT, CACHE_WORDS = 32 << 20, 1 << 20, 200_000
+#: Bytes of text of a chunk of documents, of the texts whose bitmaps are made at once, and parts that a task remembers.
+CHUNK_TEXT, PIECE_TEXT, CACHE_PARTS = 32 << 20, 1 << 20, 200_000
 BLANK = "▁"
-#: A word of B: no piece has a blank after another character, so none crosses from one word to the next.
-WORD = re.compile(" +[^ ]*")
+#: Parts that are encoded in one text.
+JOINED = 50
+#: Where texts are cut into parts: at one blank between other characters. The pattern of A ends a piece there, whatever stands around, and
+#: no piece of B has a blank after another character, so neither has a token across.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Tokens(NamedTuple):
@@ -74,7 +77,7 @@ class Pair:
             vocab, alphabet = json.load(f)["model"]["vocab"], byte_alphabet()
         out = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            out[i] = bytes(alphabet[c] for c in token if c in alphabet) if all(c in alphabet for c in token) else token.encode()
+            out[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         return out
 
     @cached_property
@@ -99,51 +102,62 @@ class Pair:
         return sentencepiece.SentencePieceProcessor(model_file=self.paths[3])
 
     @cached_property
-    def words(self) -> dict[str, list[int]]:
-        encode, blank = self.b_model.encode, [self.b_model.piece_to_id(BLANK)]
-
-        class Known(dict):
-            def __missing__(self, word: str) -> list[int]:
-                ids = encode(word[1:]) if len(word) > 1 else blank  # the encoder adds the first blank itself, if there is a text
-                if len(word) <= 64:
-                    if len(self) >= CACHE_WORDS:
-                        self.clear()
-                    self[word] = ids
-                return ids
+    def a_sizes(self) -> np.ndarray:
+        return np.array([len(x) for x in self.a_bytes])
 
-        return Known()
+    @cached_property
+    def b_sizes(self) -> np.ndarray:
+        return np.array([len(x) for x in self.b_bytes])
 
     def a_ids(self, text: str) -> list[int]:
         return self.a_model.encode_ordinary(" " + text)
 
     def b_ids(self, text: str) -> list[int]:
-        words = self.words
-        return [i for word in WORD.findall(" " + text) for i in words[word]]
-
-    def encoded(self, texts: list[str | None]) -> tuple[Tokens, Tokens]:
-        """Tokens of A and B; none where they do not join to the blank and the text."""
-        found = []
-        for text in texts:
-            if not text or BLANK in text:  # that character is a blank for B, but not for the text
-                found.append(((), ()))
-                continue
-            whole, a, b = (" " + text).encode(), self.a_ids(text), self.b_ids(text)
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            found.append((a, b) if same else ((), ()))
-        return self._tokens([a for a, _ in found], self.a_sizes), self._tokens([b for _, b in found], self.b_sizes)
+        return self.b_model.encode(text) if text else [self.b_model.piece_to_id(BLANK)]  # the encoder adds the blank itself, if there is a text
+
+    def _both(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B of a blank and the text; None where they do not join to it."""
+        a, b, whole = self.a_ids(text), self.b_ids(text), (" " + text).encode()
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+        return (np.array(a, np.int32), np.array(b, np.int32)) if same else None
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the tokens of parts. Those with no white space at their ends are encoded in one text, where none has a token across."""
+        known = self.known
+        inner = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
+        found = [(some, self._both(" ".join(some))) for some in (inner[k : k + JOINED] for k in range(0, len(inner), JOINED))]
+        good = [(some, both) for some, both in found if both is not None]
+        if good:
+            names = [p for some, _ in good for p in some]
+            size = np.cumsum([len(p.encode()) + 1 for p in names])
+            ids = [np.concatenate([both[k] for _, both in good]) for k in (0, 1)]
+            cuts = [(4 * np.searchsorted(np.cumsum(sizes[x]), size, "right")).tolist() for x, sizes in zip(ids, (self.a_sizes, self.b_sizes), strict=True)]
+            a, b = ids[0].tobytes(), ids[1].tobytes()
+            known.update(zip(names, zip(map(a.__getitem__, map(slice, [0, *cuts[0]], cuts[0])), map(b.__getitem__, map(slice, [0, *cuts[1]], cuts[1])))))  # noqa: B905
+        for p in parts:
+            if p not in known:
+                one = self._both(p)
+                known[p] = one and (one[0].tobytes(), one[1].tobytes())
 
     @cached_property
-    def a_sizes(self) -> np.ndarray:
-        return np.array([len(x) for x in self.a_bytes])
+    def known(self) -> dict[str, tuple[bytes, bytes] | None]:
+        return {}
 
-    @cached_property
-    def b_sizes(self) -> np.ndarray:
-        return np.array([len(x) for x in self.b_bytes])
+    def encoded(self, texts: list[str | None]) -> tuple[Tokens, Tokens]:
+        """Tokens of A and B of the whole texts, part by part; none where they do not join to the blank and the text."""
+        # U+2581 is a blank for B, but not for the text
+        parts = [CUT.split(t) if t and BLANK not in t else [] for t in texts]
+        if len(self.known) > CACHE_PARTS:
+            self.known.clear()
+        self._learn(list({p for row in parts for p in row}.difference(self.known)))
+        found = [[self.known[p] for p in row] for row in parts]
+        pairs = [tuple(b"".join(x) for x in zip(*row, strict=True)) if row and None not in row else (b"", b"") for row in found]
+        return tuple(self._tokens([x[k] for x in pairs], sizes) for k, sizes in enumerate((self.a_sizes, self.b_sizes)))
 
     @staticmethod
-    def _tokens(lists: list, sizes: np.ndarray) -> Tokens:
-        ids = np.array([i for x in lists for i in x], np.int64)
-        return Tokens(ids, np.cumsum(sizes[ids]), np.array([len(x) for x in lists], np.int64))
+    def _tokens(blocks: list[bytes], sizes: np.ndarray) -> Tokens:
+        ids = np.frombuffer(b"".join(blocks), np.int32).astype(np.int64)
+        return Tokens(ids, np.cumsum(sizes[ids]), np.array([len(x) // 4 for x in blocks], np.int64))
 
     @cached_property
     def written_ids(self) -> np.ndarray:
@@ -169,7 +183,8 @@ class Pair:
 
 def links(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, id of A, id of B) of every two tokens that overlap: the union of ends cuts the bytes into their common parts."""
-    cuts = np.union1d(a.end, b.end)
+    cuts = np.sort(np.concatenate([a.end, b.end]))
+    cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)] if len(cuts) else cuts
     at, bt = np.searchsorted(a.end, cuts), np.searchsorted(b.end, cuts)
     return np.searchsorted(np.cumsum(a.count), at, "right"), a.ids[at], b.ids[bt]
 
@@ -246,7 +261,7 @@ def pair_index(df: DataFrame, pair: Pair, id_col: str, text_col: str, folder: st
         for batch in batches:
             for i, j, _, _ in tk.chunks(batch.column(1), CHUNK_TEXT):
                 part, levels, stats = batch.slice(i, j - i), [], []
-                for x, y, _, _ in tk.chunks(part.column(1), PIECE_TEXT):
+                for x, y, _, _ in tk.chunks(part.column(1), PIECE_TEXT):  # an empty batch has none
                     a, b = two.encoded(part.column(1).slice(x, y - x).to_pylist())
                     n_groups, groups = two.groups(a, b)
                     text, p, q = links(a, b)
