@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has made and not removed.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset (tests on one machine), a temporary one."""
@@ -15,7 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/maskline-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/maskline-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def work(spark: SparkSession) -> Iterator[None]:
+    """What is done inside may make work folders; all of them are removed at the end, when its results have been read or published."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for folder in _made[first:]:
+            remove(spark, folder)
+        del _made[first:]
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -78,3 +78,24 @@ def test_collisions_of_codes_are_drawn_anew(spark):
     got, left, _ = m.unique_draws(reals, lambda salt: rel.drawn_code("s", m.F.col("real"), salt) if salt else m.F.col("code"), spark.createDataFrame([("9-ZZZ",)], "fake string"), 5, shared_dir(spark))
     got = {x.real: x.fake for x in got.collect()}
     assert left.isEmpty() and got["p0"] == "1-ABC" and len(set(got.values())) == 5
+
+
+def test_what_draws_leave_is_numbered(spark, tmp_path, monkeypatch):
+    from maskline.operators import related
+
+    monkeypatch.setattr(related, "ROUNDS", 2)
+    reals = spark.createDataFrame([(f"p{k}",) for k in range(9)], "real string")
+    taken = spark.createDataFrame([("a-2-3",)], "fake string")
+    got = related._unique(reals, lambda salt: related.F.lit(f"a-{salt}"), taken, "s", str(tmp_path)).collect()
+    assert len(got) == 9 == len({x.fake for x in got} - {"a-2-3"}) and {x.real for x in got} == {f"p{k}" for k in range(9)}
+
+
+def test_work_folders_go(spark, tmp_path):
+    from pathlib import Path
+
+    from maskline import shared
+
+    with shared.work(spark):
+        folder = shared.shared_dir(spark)
+        assert shared.written(spark.range(3), folder, "x").count() == 3 and Path(folder, "x").exists()
+    assert not Path(folder).exists() and folder not in shared._made
