@@ -5,8 +5,8 @@ Chosen-path join (Christiani and Pagh 2017; Christiani, Pagh and Sivertsen
 coordinates. A run splits all sets by the value at a coordinate that the path
 so far selects, and with probability 1/THRESHOLD - 1 by a second one, level
 after level; similar sets stay together in some branch. Buckets of at most
-BUCKET sets are compared by brute force, larger ones in random blocks, which
-links what is nearly equal. Sets that fall into a larger bucket then start anew
+BUCKET sets are compared by brute force, some of the larger ones in random blocks,
+which links what is nearly equal. Sets that fall into a larger bucket then start anew
 in more runs and twice as deep. There a bucket whose sets are all linked already
 needs no more work; large ones are split further, and what is still large after DEPTH levels
 is compared in pairs of blocks, so that no task holds a large group. Runs repeat
@@ -49,6 +49,8 @@ RECALL = 0.999
 COORDINATES = 128
 LEVELS, DEPTH = 3, 9
 BUCKET, BLOCK = 400, 100
+#: One in so many large buckets links its random blocks; the sets of all of them start anew.
+LARGE_SHARE = 4
 #: Bytes of the sets of one block, and rows up to which the ids of candidates are sent to all executors (16 bytes each).
 BLOCK_BYTES, SMALL_ROWS = 16 << 20, 2_000_000
 #: Share of equal coordinates from which two sets are candidates: 4.2 deviations below the threshold.
@@ -308,12 +310,14 @@ def _candidate_edges(sketches: DataFrame, folder: str) -> DataFrame:
     members = paths.join(sizes.hint("merge"), "path")
     # a large bucket: one round of random blocks, other ones for each path
     block = F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("node", "path"), F.ceil(per_block))).otherwise(F.lit(0))
-    edges = _edges(members.select(F.xxhash64("path", block).alias("group"), "node", "label", F.lit(0).alias("side")), sketches, folder, "all")
+    some = (F.col("size") <= BUCKET) | (F.pmod(F.col("path"), F.lit(LARGE_SHARE)) == 0)
+    edges = _edges(members.where(some).select(F.xxhash64("path", block).alias("group"), "node", "label", F.lit(0).alias("side")), sketches, folder, "all")
     large = written(members.where(F.col("size") > BUCKET).select("node").distinct(), folder, "large")
     if large.isEmpty():
         return edges
     # sets of large buckets: more runs, split level after level, where they are not linked yet
     linked = components(edges, f"{folder}/first")
+    edges = linked.select(F.col("node").alias("u"), F.col("label").alias("v"))  # the same components, by fewer steps
     own = large.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     own = written(sketches.join(own.hint("merge"), "node"), folder, "large-sketches")
     paths = _paths(own, runs(DEPTH), 2 * LEVELS)
@@ -338,27 +342,26 @@ def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
     nodes = written(nodes, folder, "nodes")
     sketches = written(rows.select("uid", "sketch").join(nodes.select("uid", "node").hint("merge"), "uid").select("node", "sketch"), folder, "sketches")
     edges = _candidate_edges(sketches, folder)
-    groups = written(components(edges, f"{folder}/candidates"), folder, "groups")
+    groups = components(edges, f"{folder}/candidates")
 
     # every pair of a candidate component, exactly
     members = written(groups.join(nodes.select("node", "uid", "weight").hint("merge"), "node"), folder, "members")
     few = members.hint("broadcast" if members.count() <= SMALL_ROWS else "merge")
     sets = written(_hash_sets(rows.select("uid", "text").join(few, "uid")), folder, "sets")
-    sizes = written(sets.groupBy("label").agg(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("hashes")) / BLOCK_BYTES).alias("size")), folder, "group-sizes")
+    sizes = sets.groupBy("label").agg(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("hashes")) / BLOCK_BYTES).alias("size"))
     parts = blocks(sets.join(sizes, "label"), "label", F.col("size"))
     compared = in_groups(parts.select("group", "node", "side", "weight", "hashes"), _verified, "node long, root long, links long")
     compared = written(compared.groupBy("node", "root").agg(F.sum("links").alias("links")), folder, "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), f"{folder}/links")
-    linked = written(linked, folder, "linked")
     tied = written(nodes.join(linked, "node").join(links, "node"), folder, "tied")
-    least = written(tied.groupBy("label").agg(F.min("least").alias("class_id")), folder, "least")
+    least = tied.groupBy("label").agg(F.min("least").alias("class_id"))
     tied = tied.join(least, "label").select("node", "class_id", "links")
     final = nodes.join(tied, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     final = written(final, folder, "final")
     levels = ["all", *map(str, range(2 * LEVELS, DEPTH + 1, LEVELS))]
     work = [f"{kind}-{k}" for k in levels for kind in ("paths", "sizes", "edges")]
-    discard(rows.sparkSession, folder, *work, "large", "first", "large-sketches", "nodes", "sketches", "candidates", "groups", "group-sizes", "members", "sets", "compared", "links", "linked", "tied", "least")
+    discard(rows.sparkSession, folder, *work, "large", "first", "large-sketches", "nodes", "sketches", "candidates", "members", "sets", "compared", "links", "tied")
     return final
 
 
