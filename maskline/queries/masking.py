@@ -305,12 +305,11 @@ def hit_counts(db: Tables) -> DataFrame:
 )
 def hit_counts_by_mode(db: Tables) -> DataFrame:
     """Account names of several words, for information; and last fours, of which a faulty pass has lost some: fewer fakes than reals."""
-    numbers = jobs.number_terms(db.ledger.select("account_num"), written(mq.account_fakes(db), shared_dir(db.spark), "numbers"))
-    mapping = written(mq.account_name_fakes(db).select("category", "real", "fake").union(numbers.where("category = 'last4'")), shared_dir(db.spark), "mapping")
+    mapping = ledger_mapping(db)
     after = k.mask_text(db.ledger.select("seq", "description", "account"), ["description", "account"], mapping, SEED, k.LEDGER, blanket=False)
     lost = F.when(F.col("seq").cast("long") % 10 == 1, F.regexp_replace("description", "[0-9]", "z")).otherwise(F.col("description"))
     name = F.col("category") == "account_name"
-    rules = mapping.select(F.when(name, "account names").otherwise("last fours").alias("rule"), F.when(name, "info").otherwise("drop").alias("mode"), "real", "fake")
+    rules = mapping.where("category in ('account_name', 'last4')").select(F.when(name, "account names").otherwise("last fours").alias("rule"), F.when(name, "info").otherwise("drop").alias("mode"), "real", "fake")
     counted = lambda df, x: c.hit_counts(db.ledger, df, x, rules.where(name if x == "account" else ~name))
     return counted(after, "account").union(counted(after.withColumn("description", lost), "description"))
 
