@@ -45,6 +45,8 @@ CELLS = 20_000_000
 LEAST_COUNT = 2
 UNKNOWN = "und"
 CACHE_WORDS = 60_000
+#: Rows that go back to the JVM at once: what is carried along may be whole texts.
+OUT_ROWS = 500
 
 
 ASCII_WORD = re.compile("[a-z]+")
