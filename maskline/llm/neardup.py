@@ -5,10 +5,12 @@ Chosen-path join (Christiani and Pagh 2017; Christiani, Pagh and Sivertsen
 coordinates. A run splits all sets by the value at a coordinate that the path
 so far selects, and with probability 1/THRESHOLD - 1 by a second one, level
 after level; similar sets stay together in some branch. Buckets of at most
-BUCKET sets are compared by brute force, some of the larger ones in random blocks,
-which links what is nearly equal. Sets that fall into a larger bucket then start anew
-in more runs and twice as deep. There a bucket whose sets are all linked already
-needs no more work; large ones are split further, and what is still large after DEPTH levels
+BUCKET sets are compared by brute force. A bucket whose sets are all linked already
+needs no more work, so SCOUTS runs go first, in which larger buckets are compared in
+random blocks: that links most of a large group. Later a large bucket of one linked
+group and at most BUCKET / 2 other sets is dealt into blocks, each with all of
+the others, so that only these are copied. Sets of other large buckets start anew
+in more runs and twice as deep; what is still large after DEPTH levels
 is compared in pairs of blocks, so that no task holds a large group. Runs repeat
 until a pair at the threshold meets with probability RECALL: for all sets after
 LEVELS levels, for those of large buckets even after DEPTH levels.
@@ -49,8 +51,8 @@ RECALL = 0.999
 COORDINATES = 128
 LEVELS, DEPTH = 3, 9
 BUCKET, BLOCK = 400, 100
-#: One in so many large buckets links its random blocks; the sets of all of them start anew.
-LARGE_SHARE = 4
+#: Runs before the others, in which large buckets link their random blocks.
+SCOUTS = 2
 #: Bytes of the sets of one block, and rows up to which the ids of candidates are sent to all executors (16 bytes each).
 BLOCK_BYTES, SMALL_ROWS = 16 << 20, 2_000_000
 #: Share of equal coordinates from which two sets are candidates: 4.2 deviations below the threshold.
@@ -154,8 +156,8 @@ def _descend(path: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np
     return path, rows
 
 
-def _paths(df: DataFrame, n_runs: int = 0, levels: int = LEVELS) -> DataFrame:
-    """(path, node, label) of sets (node, label, sketch) in so many runs, or of (node, label, sketch, path), so many levels down."""
+def _paths(df: DataFrame, n_runs: int = 0, levels: int = LEVELS, after: int = 0) -> DataFrame:
+    """(path, node, label) of sets (node, label, sketch) in so many runs (after others), or of (node, label, sketch, path), so many levels down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +167,7 @@ def _paths(df: DataFrame, n_runs: int = 0, levels: int = LEVELS) -> DataFrame:
                 values = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 own = np.arange(len(node))
                 if n_runs:
-                    start = [(np.full(len(node), start, np.uint64), own) for start in starts(n_runs)]
+                    start = [(np.full(len(node), start, np.uint64), own) for start in starts(after + n_runs)[after:]]
                 else:
                     start = [(part.column(3).to_numpy().view(np.uint64), own)]
                 for path, rows in start:
@@ -289,46 +291,64 @@ def _hash_sets(df: DataFrame) -> DataFrame:
     return df.select("label", "node", "weight", "text").mapInArrow(run, "label long, node long, weight long, hashes binary")
 
 
-def _sized(paths: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(paths, sizes (path, size) of the buckets in which not all sets are linked yet), both written."""
-    paths = written(paths, folder, f"paths-{name}")
-    sizes = paths.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b"))
-    return paths, written(sizes.where("size > 1 and a <> b").select("path", "size"), folder, f"sizes-{name}")
-
-
-def _edges(members: DataFrame, sketches: DataFrame, folder: str, name: str) -> DataFrame:
+def _edges(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Star edges (u, v) between the labels of members (group, node, label, side)."""
     rows = members.select("group", "node", "label", "side").join(sketches.select("node", "sketch").hint("merge"), "node")
-    found = in_groups(rows.select("group", "label", "side", "sketch"), _candidates, "u long, v long")
-    return written(found.distinct(), folder, f"edges-{name}")
+    return in_groups(rows.select("group", "label", "side", "sketch"), _candidates, "u long, v long")
+
+
+def _shapes(paths: DataFrame) -> DataFrame:
+    """(path, size, most, major) of the buckets of (path, node, label) in which not all sets are linked yet: the label that most sets have."""
+    labels = paths.groupBy("path", "label").agg(F.count("*").alias("n"))
+    shapes = labels.groupBy("path").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", "n").alias("major"))
+    return shapes.where("most < size")
+
+
+def _dealt(rows: DataFrame, crowd: Column) -> DataFrame:
+    """(group, node, label, side) of bucket members with their shapes: one group, or pairs of blocks, or in a crowd blocks of its major label with all others in each."""
+    n = F.when(F.col("size") <= BUCKET, 1).otherwise(F.ceil(F.col("size") / (BUCKET // 2))).cast("int")
+    return (
+        rows.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int"))
+        .withColumn("_other", F.explode(F.when(crowd & (F.col("label") == F.col("major")), F.array("_own")).otherwise(F.sequence(F.lit(0), n - 1))))
+        .withColumn("group", F.when(crowd, F.xxhash64("path", "_other", "_other")).otherwise(F.xxhash64("path", F.least("_own", "_other"), F.greatest("_own", "_other"))))
+        .withColumn("side", F.when(crowd | (F.col("_own") == F.col("_other")), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2))
+    )
+
+
+def _level(paths: DataFrame, sketches: DataFrame, folder: str, name: str, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, (node, label, path) in the buckets that are too large to be compared before the last level, None without such)."""
+    paths = written(paths, folder, f"paths-{name}")
+    shapes = written(_shapes(paths), folder, f"sizes-{name}")
+    crowd = (F.col("size") > BUCKET) & (F.col("size") - F.col("most") <= BUCKET // 2)
+    now = (F.col("size") <= BUCKET) | crowd | F.lit(last)
+    edges = _edges(_dealt(paths.join(shapes.where(now).hint("merge"), "path"), crowd), sketches)
+    later = shapes.where(~now).select("path")
+    return edges, None if last or later.isEmpty() else paths.join(later.hint("merge"), "path")
 
 
 def _candidate_edges(sketches: DataFrame, folder: str) -> DataFrame:
     """Star edges (u, v) of pairs that are likely similar: runs of splits, brute force in small buckets."""
-    per_block = F.col("size") / (BUCKET // 2)
-    paths, sizes = _sized(_paths(sketches.withColumn("label", F.col("node")), runs(LEVELS)), folder, "all")
-    members = paths.join(sizes.hint("merge"), "path")
-    # a large bucket: one round of random blocks, other ones for each path
-    block = F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("node", "path"), F.ceil(per_block))).otherwise(F.lit(0))
-    some = (F.col("size") <= BUCKET) | (F.pmod(F.col("path"), F.lit(LARGE_SHARE)) == 0)
-    edges = _edges(members.where(some).select(F.xxhash64("path", block).alias("group"), "node", "label", F.lit(0).alias("side")), sketches, folder, "all")
-    large = written(members.where(F.col("size") > BUCKET).select("node").distinct(), folder, "large")
-    if large.isEmpty():
+    paths = written(_paths(sketches.withColumn("label", F.col("node")), SCOUTS, after=runs(DEPTH)), folder, "paths-scouts")
+    sizes = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+    block = F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("size") / (BUCKET // 2)))).otherwise(F.lit(0))
+    groups = paths.join(sizes.hint("merge"), "path").select(F.xxhash64("path", block).alias("group"), "node", "label", F.lit(0).alias("side"))
+    linked = components(_edges(groups, sketches), f"{folder}/scouted")
+    few = linked.hint("broadcast" if linked.count() <= SMALL_ROWS else "merge")
+    known = sketches.join(few, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    found, rest = _level(_paths(known, runs(LEVELS)), sketches, folder, "all")
+    edges = linked.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found)  # the same components, by fewer steps
+    if rest is None:
         return edges
     # sets of large buckets: more runs, split level after level, where they are not linked yet
-    linked = components(edges, f"{folder}/first")
-    edges = linked.select(F.col("node").alias("u"), F.col("label").alias("v"))  # the same components, by fewer steps
-    own = large.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    own = written(sketches.join(own.hint("merge"), "node"), folder, "large-sketches")
+    own = written(sketches.join(rest.select("node", "label").distinct().hint("merge"), "node"), folder, "large")
     paths = _paths(own, runs(DEPTH), 2 * LEVELS)
     for level in range(2 * LEVELS, DEPTH + 1, LEVELS):
-        paths, sizes = _sized(paths, folder, str(level))
-        wanted = sizes if level >= DEPTH else sizes.where(F.col("size") <= BUCKET)
-        edges = edges.union(_edges(blocks(paths.join(wanted.hint("merge"), "path"), "path", per_block), own, folder, str(level)))
-        rest = sizes.where(F.col("size") > BUCKET).select("path")
-        if level >= DEPTH or rest.isEmpty():
+        found, rest = _level(paths, own, folder, str(level), level >= DEPTH)
+        edges = edges.union(found)
+        if rest is None:
             break
-        paths = _paths(paths.join(rest.hint("merge"), "path").select("path", "node").join(own.hint("merge"), "node")).distinct()
+        paths = _paths(rest.select("path", "node").join(own.hint("merge"), "node")).distinct()
     return edges
 
 
@@ -338,11 +358,10 @@ def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
     The large sides are merged on sorted keys. Only the ids of candidates go to
     all executors where they are few (SMALL_ROWS), so that the texts stay in place.
     """
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid"), F.min(name).alias("least"), F.count("*").alias("weight"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid"), F.min(name).alias("least"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, folder, "nodes")
-    sketches = written(rows.select("uid", "sketch").join(nodes.select("uid", "node").hint("merge"), "uid").select("node", "sketch"), folder, "sketches")
-    edges = _candidate_edges(sketches, folder)
-    groups = components(edges, f"{folder}/candidates")
+    groups = components(_candidate_edges(nodes.select("node", "sketch"), folder), f"{folder}/candidates")
+    nodes = nodes.drop("sketch")
 
     # every pair of a candidate component, exactly
     members = written(groups.join(nodes.select("node", "uid", "weight").hint("merge"), "node"), folder, "members")
@@ -359,9 +378,9 @@ def _joined(rows: DataFrame, name: Column, folder: str) -> DataFrame:
     tied = tied.join(least, "label").select("node", "class_id", "links")
     final = nodes.join(tied, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     final = written(final, folder, "final")
-    levels = ["all", *map(str, range(2 * LEVELS, DEPTH + 1, LEVELS))]
-    work = [f"{kind}-{k}" for k in levels for kind in ("paths", "sizes", "edges")]
-    discard(rows.sparkSession, folder, *work, "large", "first", "large-sketches", "nodes", "sketches", "candidates", "members", "sets", "compared", "links", "tied")
+    levels = ["scouts", "all", *map(str, range(2 * LEVELS, DEPTH + 1, LEVELS))]
+    work = [f"{kind}-{k}" for k in levels for kind in ("paths", "sizes")]
+    discard(rows.sparkSession, folder, *work, "scouted", "large", "nodes", "candidates", "members", "sets", "compared", "links", "tied")
     return final
 
 

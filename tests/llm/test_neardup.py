@@ -97,3 +97,24 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long"), shared_dir(spark)).collect()}
     assert got == {x: k for x, k in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+@pytest.mark.parametrize("others", [0, 1, 3, 7])
+def test_dealt_buckets_compare_every_pair_of_labels(spark, monkeypatch, others):
+    """One linked group with a few others is copied once, the others to each of its blocks; else pairs of blocks."""
+    monkeypatch.setattr(nd, "BUCKET", 6)
+    rows = [(1, k, 5) for k in range(40)] + [(1, 100 + k, 100 + k % 2) for k in range(others)] + [(2, k, k) for k in range(4)] + [(3, 9, 9)]
+    paths = spark.createDataFrame(rows, "path long, node long, label long")
+    shapes = {r.path: r for r in nd._shapes(paths).collect()}
+    assert set(shapes) == ({1, 2} if others else {2})
+    crowd = nd.F.expr("size > 6 and size - most <= 3")
+    got = nd._dealt(paths.join(nd._shapes(paths), "path"), crowd).select("path", "group", "node", "label", "side").collect()
+    met, groups = set(), {}
+    for r in got:
+        groups.setdefault((r.path, r.group), []).append(r)
+    for (path, _), members in groups.items():
+        met |= {(path, a.node, b.node) for a in members for b in members if a.side != b.side or a.side == 0}
+    want = {(p, a, b) for p, a, la in rows for q, b, lb in rows if p == q and p in shapes and la != lb}
+    assert want <= met
+    if 0 < others <= 3:
+        assert sum(r.path == 1 and r.node < 40 for r in got) == 40  # the linked group is not copied
