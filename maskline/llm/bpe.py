@@ -25,7 +25,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -215,6 +215,17 @@ class Codec:
         return block[np.repeat(offsets[ids] - begin, size) + np.arange(int(size.sum()))].tobytes()
 
 
+def _encoded(encoder: Callable[[str | None], np.ndarray], texts: pa.Array) -> pa.ListArray:
+    found = [encoder(t.as_py()) for t in texts]
+    offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+
+
+def _decoded(codec: Codec, ids: pa.ListArray) -> pa.Array:
+    texts = [codec.decode_bytes(pc.fill_null(i.values, -1).to_numpy(zero_copy_only=False) if i.is_valid else np.zeros(0, np.int32)).decode("utf-8", "replace") for i in ids]
+    return pa.array(texts, pa.string())
+
+
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for each row; no shuffle."""
     codec = df.sparkSession.sparkContext.broadcast(Codec(vocabulary))  # as large as the vocabulary file
@@ -224,10 +235,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for k in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(k, OUT_ROWS)
-                found = [encoder(t.as_py()) for t in part.column(1)]
-                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _encoded(encoder, part.column(1))], names=[id_col, "ids"])
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, with_id(df, id_col, "ids array<int>"))
 
@@ -240,16 +248,30 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
         for batch in batches:
             for k in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(k, OUT_ROWS)
-                texts = [codec.value.decode_bytes(pc.fill_null(i.values, -1).to_numpy(zero_copy_only=False) if i.is_valid else np.zeros(0, np.int32)).decode("utf-8", "replace") for i in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, ids_col, "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _decoded(codec.value, part.column(1))], names=[id_col, ids_col, "decoded"])
 
     return df.select(id_col, ids_col).mapInArrow(run, with_id(df, id_col, f"{ids_col} array<int>, decoded string"))
 
 
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded string) for each row: encoded, and its ids decoded, by one Python worker, so that a task needs one copy of the tables."""
+    codec = df.sparkSession.sparkContext.broadcast(Codec(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = codec.value.encoder()
+        for batch in batches:
+            for k in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(k, OUT_ROWS)
+                ids = _encoded(encoder, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(codec.value, ids)], names=[id_col, "ids", "decoded"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, with_id(df, id_col, "ids array<int>, decoded string"))
+
+
 def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, then its ids decoded."""
-    both = decode(encode(df, vocabulary, id_col), vocabulary, id_col)
-    return both.select(
+    return round_trip(df, vocabulary, id_col).select(
         id_col, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

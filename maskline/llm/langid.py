@@ -179,7 +179,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     return at
 
             seen = Seen(m.words)
-        for batch in batches:
+        for batch in (whole.slice(k, OUT_ROWS) for whole in batches for k in range(0, whole.num_rows, OUT_ROWS)):
             langs, scores = [], []
             for text in batch.column(1):
                 words = words_of(text.as_py()) if m is not None else []
@@ -201,6 +201,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 langs.append(m.langs[k])
                 scores.append(float(share[k]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, with_id(df, id_col, "lang_pred string, score double"))
 

@@ -56,3 +56,11 @@ def test_frames(spark, reference):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.digests(df.limit(0), PATH).count() == 0
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    df = spark.createDataFrame([(i, f"text {i} é <|endoftext|>" if i % 7 else None) for i in range(2500)], "doc_id long, text string")
+    plan = bpe.digests(df, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # else each task holds the tables twice
+    apart = bpe.decode(bpe.encode(df, PATH), PATH)
+    assert sorted(map(tuple, bpe.round_trip(df, PATH).collect())) == sorted(map(tuple, apart.collect()))

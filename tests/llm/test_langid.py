@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -70,3 +71,15 @@ def test_against_brute_force(spark):
 def test_sample_of_rows_without_ids(spark):
     df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
     assert 300 < li.training(df, F.lit(True), 500).count() < 700
+
+
+def test_carried_rows_go_back_in_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ein kleiner Satz" if i % 2 else "a small sentence", "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    model, taken = li.fit(docs.select("lang", "text"), li.shared_dir(spark)), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run))
+    li.predict(docs, model)
+    texts = ["ein Satz", None, "a sentence"] * 1000
+    got = list(taken[0](iter([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["doc_id", "text"])] * 2)))
+    assert max(b.num_rows for b in got) <= li.OUT_ROWS
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(3000)] * 2
+    assert [x for b in got for x in b.column(1).to_pylist()] == ["de", "und", "en"] * 2000
