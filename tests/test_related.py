@@ -80,6 +80,24 @@ def test_collisions_of_codes_are_drawn_anew(spark):
     assert left.isEmpty() and got["p0"] == "1-ABC" and len(set(got.values())) == 5
 
 
+def test_codes_hold_no_forbidden_word(spark):
+    reals = spark.createDataFrame([("BABF",), ("C0DE",)], "real string")
+    plain = {x.real: x.fake for x in m.salted_unique(reals, "seed-1", "entity", widen=True).collect()}
+    assert plain["BABF"] == "NAFP"
+    words = spark.createDataFrame([("Nafp",), ("Unlisted Word",), ("nbc",)], "value string")
+    codes = {x.real: x.fake for x in m.salted_unique(reals, "seed-1", "entity", widen=True, forbidden=words).collect()}
+    assert codes["BABF"] != "NAFP" and len(codes["BABF"]) == 4 and codes["C0DE"] == plain["C0DE"]
+    late = {x.real: x.fake for x in m.salted_unique(reals, "seed-1", "entity", rounds=1, widen=True, forbidden=words).collect()}
+    assert len(late) == 2 and "NAFP" not in late.values()  # also by rank
+    from maskline.shared import shared_dir
+
+    props = spark.createDataFrame([("G1",), ("G2",)], "value string")
+    streets = spark.createDataFrame([("g1", "1 a"), ("g2", "2 a")], "owner string, address string")
+    found = spark.createDataFrame([("1 a", "7 Nbcor St"), ("2 a", "8 Mardan St")], "real string, fake_street string")
+    got = {x.real: x.fake for x in rel.property_codes(props, streets, found, props.selectExpr("value as fake"), "s", shared_dir(spark), words).collect()}
+    assert got["g2"] == "8-MAR" and "NBC" not in got["g1"] and len(got) == 2
+
+
 def test_what_draws_leave_is_numbered(spark, tmp_path, monkeypatch):
     from maskline.operators import related
 
