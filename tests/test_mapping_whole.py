@@ -23,3 +23,25 @@ def test_a_full_shape_is_widened(spark):
     used = spark.createDataFrame([("00", "100")], "real string, fake string")
     more = m.extend(used, reals, "s", "short", rounds=1, widen=True).collect()
     assert len(more) == 100 == len({x.fake for x in more})
+
+
+def test_pools_go_on_past_one_more_word(spark):
+    for kind, base in (("single", m.POOL_WORDS), ("town", 4 * m.POOL_WORDS)):
+        tail = lambda size, kind=kind: [x.value for x in m.pool(spark, kind, size).tail(5)]
+        one, two = tail(2 * base), tail(base * (2 + m.POOL_WORDS))  # the last values with the first word more, and with a second one
+        assert len({*one, *two}) == 10 and all(b.startswith(a) for a, b in zip(one, two, strict=True))
+
+
+def test_forbidden_words_that_no_pool_has_strike_nothing(spark):
+    pool = m.pool(spark, "street", 3_000).union(m.pool(spark, "single", 5_000)).union(m.pool(spark, "town", 9_000)).union(m.pool(spark, "person", 100))
+    assert pool.count() == m.in_pools(pool.select("value")).count()
+    words = spark.createDataFrame([("Balalea",), ("Ann Balalea",), ("grove",), ("12 balalea st",), ("Nabb",), ("Ann",)], "value string")
+    assert {x.value for x in m.in_pools(words).collect()} == {"Balalea", "grove", "12 balalea st"}
+    assert m.allowed(pool, m.in_pools(words)).exceptAll(m.allowed(pool, words)).isEmpty() and m.allowed(pool, words).count() == m.allowed(pool, m.in_pools(words)).count() < pool.count()
+
+
+def test_rounds_end_where_few_are_placed(spark):
+    reals = spark.createDataFrame([(f"{i:03d}",) for i in range(900)], "real string")  # of 100 free values each round places less
+    got = m.salted_unique(reals, "s", "run", widen=True).collect()
+    assert len(got) == 900 == len({x.fake for x in got}) and not {x.fake for x in got} & {f"{i:03d}" for i in range(900)}
+    assert max(x.salt for x in got if x.salt < m.MOST_ROUNDS) <= 2
