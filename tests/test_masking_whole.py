@@ -14,3 +14,10 @@ def test_ledger_mapping_is_one_to_one_and_the_check_sees_it(spark, monkeypatch):
     for mapping, right in ((whole, True), (merged, False)):
         monkeypatch.setattr(q, "ledger_mapping", lambda _, mapping=mapping: mapping)
         assert q.bijection_check(db).first().one_to_one is right
+
+
+def test_the_report_builds_one_mapping(spark, monkeypatch):
+    calls, own = [], q.ledger_mapping
+    monkeypatch.setattr(q, "ledger_mapping", lambda db: calls.append(1) or own(db))
+    q.report(Tables(spark, "/root/testdata/sf0.001"))
+    assert len(calls) == 1
